@@ -13,8 +13,8 @@ A document's set holds its distinct shingles of five words.  Two documents link
 * Families of near copies are first gathered by verified links to a leader, and cells that then hold one cluster
   only are done: pairs within a family are never listed.
 
-Null or wordless text has an empty set, size 0, and stays alone.  Rows with one doc_id are one document with the links
-of each of them; a null doc_id gives a null component.  An empty table gives an empty result; other columns are ignored.
+Null or wordless text has an empty set, size 0, and stays alone.  Of rows with one doc_id each
+gets the component of its own set; a null doc_id gives a null component.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -339,7 +339,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     counts = summed(profile.where("part IS NOT NULL"), CELLS, CHUNK)
     postings = cut(_postings(texts, counts, parts), "jaccard-postings")
 
-    # copies: one document stands for each set; rows that share a doc_id hold their sets together
+    # copies: one document stands for each set
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     copies = cut(sets.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("first")), "jaccard-copies")
     wanted = cut(postings.select("doc_id").distinct().join(copies.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "jaccard-wanted")
