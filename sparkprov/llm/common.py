@@ -102,22 +102,36 @@ class WordHasher:
 
         self.up, self.down = run(self.BASE), run(pow(self.BASE, -1, 2**64))
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each word, number of its text, its first byte's place in the joined block)."""
-        raw = b"\n".join(texts) + b"\n"
-        data = np.frombuffer(raw, np.uint8)
+    def scan(self, data: np.ndarray, first: np.ndarray) -> "Words":
+        """Words of joined texts that begin at ``first``; a gap must end each text."""
         if len(data) > len(self.up):
             self._powers(2 * len(data))
-        gap = self.space[data]
-        flips = np.flatnonzero(np.diff(gap, prepend=True))
+        flips = np.flatnonzero(np.diff(self.space[data], prepend=True))
         starts, ends = flips[0::2], flips[1::2]
-        if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=run[1:])
-        h = (run[ends] - run[starts]) * self.down[starts]
+        return Words(self, run, starts, ends, np.searchsorted(first, starts, side="right") - 1)
+
+    def __call__(self, texts: list[bytes]) -> "Words":
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(first, starts, side="right") - 1, starts
+        return self.scan(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), first)
+
+
+class Words:
+    """Hashes of the words of a block (``h``), the number of each one's text (``doc``)."""
+
+    def __init__(self, hasher: WordHasher, run: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray):
+        self.hasher, self.run, self.starts, self.ends, self.doc = hasher, run, starts, ends, doc
+        self.h = self._between(starts, ends)
+
+    def _between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.run[ends] - self.run[starts]) * self.hasher.down[starts] + (ends - starts).astype(np.uint64))
+
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, doc) of the first ``k`` bytes of the words that are longer."""
+        long = self.ends - self.starts > k
+        starts = self.starts[long]
+        return mix(self._between(starts, starts + k), 7), self.doc[long]
 
 
 class Shingler:
@@ -127,7 +141,8 @@ class Shingler:
         self.k, self.words = k, WordHasher()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        h, doc, _ = self.words(texts)
+        words = self.words(texts)
+        h, doc = words.h, words.doc
         n, k = len(texts), self.k
         count = np.bincount(doc, minlength=n)
         first = np.concatenate([[0], np.cumsum(count)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "jaccard", "exact_dedup")
+MODULES = ("mixing", "token_counts", "jaccard", "exact_dedup", "secrets", "bpe", "quality", "toxicity", "language", "fingerprints")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
