@@ -6,7 +6,8 @@ A document's set holds its distinct shingles of five words.  Two documents link
 * Shingles are hashed to 64 bits; the hash's low bits give one of ``GROUPS`` groups, and the counts by group make the
   document a point.  Two points' summed coordinate minima bound the overlap of their sets from above.
 * Points meet in cells: the cell of a shingle that is among the rarest quarter of both sets (any pair at 0.75 shares
-  one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.
+  one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.  Sets too few of
+  whose rare shingles occur elsewhere can't be the smaller of a pair, and cells without a possible smaller one go.
 * A cell's points are packed into an R-tree (sorted by size, leaves bounded by coordinate maxima and sizes).  Leaf
   bounds, then point bounds discard pairs; the survivors' whole sets are compared.  Large cells are split into pieces
   that meet pairwise, so no task holds more than two pieces.
@@ -272,34 +273,58 @@ def _gather(found: DataFrame) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different clusters that the bounds of a cell's R-tree leave; ``one_each``: one a document and cluster."""
+    """Pairs of different clusters that the bounds of a cell's R-tree leave; ``one_each``: one a document and cluster.
+
+    Only sets marked ``small`` look for partners, of their own size or more.
+    """
     seen: set[tuple[int, int]] = set()
     for t in grouped(batches, ["token", "p", "q"]):
         if len(t) < 2:
             continue
         docs, clusters, sizes, half = (t.column(c).to_numpy() for c in ("doc_id", "cluster", "n", "half"))
+        askers = np.flatnonzero(t.column("small").to_numpy())
+        if not len(askers):
+            continue
         split = t.column("p")[0].as_py() != t.column("q")[0].as_py()
         points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
         tree = CountTree(points, sizes)
         left, right = [], []
-        for i in range(len(docs)):
+        for i in askers:
             at = tree.near(points[i].astype(np.int32), int(sizes[i]))
-            at = at[(clusters[at] != clusters[i]) & (docs[at] < docs[i])]
+            at = at[(clusters[at] != clusters[i]) & (sizes[at] >= sizes[i])]
             if split:
                 at = at[half[at] != half[i]]
             if one_each and len(at) > 1:
                 at = at[np.unique(clusters[at], return_index=True)[1]]
             for k in at:
-                pair = (int(clusters[i]), int(clusters[k])) if one_each else (int(docs[i]), int(docs[k]))
+                x, y = (clusters[i], clusters[k]) if one_each else (docs[i], docs[k])
+                pair = (int(min(x, y)), int(max(x, y)))
                 if pair not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(pair)
-                    left.append(docs[i])
-                    right.append(docs[k])
+                    left.append(max(docs[i], docs[k]))
+                    right.append(min(docs[i], docs[k]))
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _meetings(postings: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(token, doc_id, small): postings of one document a set, in cells where a pair can meet.
+
+    Of a pair, the set that isn't larger lacks less than a seventh of its members, so of its rarest quarter it shares all
+    but that: a set with fewer tokens that others have too can't be it (``small`` is false), and a cell without a small
+    one is no meeting.
+    """
+    held = cut(postings.join(firsts, "doc_id").distinct(), "jaccard-held")
+    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    held = cut(held.join(shared, "token", "left_semi"), "jaccard-shared")
+    n = F.col("n")
+    least = F.ceil(2 * NUM * n / (NUM + DEN)) - F.ceil(NUM * n / DEN) + 1
+    small = held.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("doc_id", F.lit(True).alias("small"))
+    marked = cut(held.join(small, "doc_id", "left").select("token", "doc_id", F.coalesce("small", F.lit(False)).alias("small")), "jaccard-marked")
+    return cut(marked.join(marked.where("small").select("token").distinct(), "token", "left_semi"), "jaccard-meetings")
+
+
 def _cells(postings: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
     """Postings of the cells with several clusters, large cells in pieces that meet pairwise."""
     held = postings.join(clusters, "doc_id")
@@ -307,7 +332,7 @@ def _cells(postings: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFr
     mixed = mixed.select("token", F.ceil(F.col("k") / PIECE).cast("int").alias("pieces"))
     rows = held.join(mixed, "token").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least("half", o).alias("p"), F.greatest("half", o).alias("q")))
-    rows = rows.withColumn("meet", F.explode(meet)).select("token", "doc_id", "cluster", "half", F.col("meet.p").alias("p"), F.col("meet.q").alias("q"))
+    rows = rows.withColumn("meet", F.explode(meet)).select("token", "doc_id", "small", "cluster", "half", F.col("meet.p").alias("p"), F.col("meet.q").alias("q"))
     return rows.join(found.select("doc_id", "n", "point"), "doc_id")
 
 
@@ -342,9 +367,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # copies: one document stands for each set
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     copies = cut(sets.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("first")), "jaccard-copies")
-    wanted = cut(postings.select("doc_id").distinct().join(copies.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "jaccard-wanted")
+    postings = _meetings(postings, copies.groupBy(F.col("first").alias("doc_id")).agg(F.min("n").alias("n")))
+    wanted = cut(postings.select("doc_id").distinct(), "jaccard-wanted")
     found = cut(_candidates(texts, wanted).dropDuplicates(["doc_id", "members"]), "jaccard-sets")
-    postings = postings.join(wanted, "doc_id", "left_semi").distinct()
 
     clusters = _gather(found.dropDuplicates(["doc_id"]))
     for one_each in (True, False):
