@@ -53,6 +53,7 @@ class Summary:
         for r in self.nodes.toLocalIterator():
             extra = {k: r[k] for k in ("member_count", "members") if k in r}
             yield r["id"], dict(r["attrs"] or {}) | extra
+
     def _ends(self):
         for r in self.edges.toLocalIterator():
             yield r["src"], r["dst"], {}

@@ -1,4 +1,432 @@
-"""Registered queries of the provenance engine and their SQL."""
+"""Registered queries: the operators over provenance views of the sample tables, each with its SQL.
 
+Views: an event is an execution of its event_type within its user's session; the n-th one uses state n-1 and generates
+state n.  region, nation, customer and orders hold each other as containers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import urns
+from .operators import build, membership, summarize
+from .plans.tables import table
+
+AUTHORITY = "my-authority"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- views
+
+EX = "ex AS (SELECT event_id, user_id, event_type, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+BASE = "urn:my-authority:sparkprov"
+STATE = f"'{BASE}:object:Python:session.State:' || user_id || '-' || "
+RUN = f"'{BASE}:function_execution:Python:script:' || user_id || ':' || event_type || '#' || event_id"
+TREE = """tree AS (
+  SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, '[' || n_nationkey || ']' AS label FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, '.customers[' || c_custkey || ']' FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, '.orders[' || o_orderkey || ']' FROM orders)"""
+
+
+def executions(spark: SparkSession, d: str) -> DataFrame:
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), order.alias("n"))
+
+
+def state(n) -> F.Column:
+    return urns.object_urn(AUTHORITY, F.lit("session.State"), F.concat_ws("-", "user_id", n))
+
+
+def run_urn() -> F.Column:
+    return urns.execution_urn(AUTHORITY, F.lit("script"), "user_id", "event_type", "event_id")
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    def edges(t, a, key_a, b, key_b, before):
+        return t.select(F.concat(F.lit(a), F.col(key_a)).alias("src"), F.concat(F.lit(b), F.col(key_b)).alias("dst"), F.concat(F.lit(before), F.lit("["), F.col(key_b), F.lit("]")).alias("label"))
+
+    rows = edges(table(spark, d, "nation"), "r", "n_regionkey", "n", "n_nationkey", "")
+    rows = rows.union(edges(table(spark, d, "customer"), "n", "c_nationkey", "c", "c_custkey", ".customers"))
+    return rows.union(edges(table(spark, d, "orders"), "c", "o_custkey", "o", "o_orderkey", ".orders"))
+
+
+# --- projections and identifiers
+
+
+@query(f"WITH {EX} SELECT {RUN} AS id, event_type AS label, n AS execution_order, k AS param_k, CAST(event_id AS VARCHAR) AS execution_id FROM ex")
+def exec_nodes(spark, d):
+    return executions(spark, d).select(run_urn().alias("id"), F.col("event_type").alias("label"), F.col("n").cast("long").alias("execution_order"), F.col("k").alias("param_k"), F.col("event_id").cast("string").alias("execution_id"))
+
+
+@query(f"WITH {EX}, u AS (SELECT {STATE} n AS id FROM ex) SELECT id, 'object' AS type, 'session.State' AS python_name, 'State' AS label, string_split(id, ':')[-1] AS data_hash FROM u")
+def entity_urns(spark, d):
+    rows = executions(spark, d).select(state("n").alias("id"))
+    info = urns.entity_info("id")
+    return rows.select("id", *(info[k].alias(k) for k in ("type", "python_name", "label", "data_hash")))
+
+
+@query(f"WITH {EX}, u AS (SELECT DISTINCT event_type FROM ex) SELECT '{BASE}:function:Python:' || event_type AS plain, '{BASE}:function:Python:events.' || event_type AS in_module, '{BASE}:script:Python:run.py:abc#' || event_type AS script, '{BASE}:file:sha256:' || event_type AS file FROM u")
+def function_urns(spark, d):
+    u = executions(spark, d).select("event_type").distinct()
+    return u.select(urns.function_urn(AUTHORITY, F.lit(""), "event_type").alias("plain"), urns.function_urn(AUTHORITY, F.lit("events"), "event_type").alias("in_module"), urns.script_urn(AUTHORITY, F.lit("/srv/run.py"), F.lit("abc"), "event_type").alias("script"), urns.file_urn(AUTHORITY, F.lit("sha256"), "event_type").alias("file"))
+
+
+@query("SELECT sha1(text) AS data_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def content_identity(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha1("text").alias("data_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+TRIPLES = f"""SELECT DISTINCT s, p, o FROM (
+  SELECT {RUN} AS s, 'usedFunction' AS p, event_type AS o FROM ex
+  UNION ALL SELECT {RUN}, 'executionOrder', CAST(n AS VARCHAR) FROM ex
+  UNION ALL SELECT {RUN}, 'used', {STATE} (n - 1) FROM ex WHERE n > 1
+  UNION ALL SELECT {STATE} n, 'wasGeneratedBy', {RUN} FROM ex)"""
+
+
+@query(f"WITH {EX} {TRIPLES}")
+def triple_explode(spark, d):
+    cell = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    rows = executions(spark, d).select(F.explode(F.array(cell(run_urn(), "usedFunction", F.col("event_type")), cell(run_urn(), "executionOrder", F.col("n").cast("string")), cell(run_urn(), "used", F.when(F.col("n") > 1, state(F.col("n") - 1))), cell(state("n"), "wasGeneratedBy", run_urn()))).alias("t"))
+    return rows.select("t.*").where("o IS NOT NULL").distinct()
+
+
+def _pairs(spark, d) -> DataFrame:
+    e = executions(spark, d)
+    pair = lambda n: F.concat(F.lit("_:"), "event_id", F.lit(n))
+    cell = lambda s, p, o, dt="": F.struct(s.cast("string").alias("s"), F.lit(p).alias("l"), o.cast("string").alias("o"), F.lit(dt).alias("o_datatype"))
+    event = F.col("event_id")
+    cells = [c for name, v in (("k", F.col("k")), ("type", F.col("event_type"))) for c in (cell(event, "hasParameter", pair(name)), cell(pair(name), "pairName", F.lit(name)), cell(pair(name), "pairValue", v, "#integer" if name == "k" else "#string"))]
+    return e.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
+
+
+@query(f"WITH {EX} SELECT CAST(event_id AS VARCHAR) AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex UNION ALL SELECT CAST(event_id AS VARCHAR), 'type', event_type FROM ex")
+def name_value_pivot(spark, d):
+    return build.pairs(_pairs(spark, d), "hasParameter").select("id", "name", "value")
+
+
+@query(f"WITH {EX} SELECT CAST(event_id AS VARCHAR) AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex")
+def attribute_selection(spark, d):
+    return build.chosen(build.pairs(_pairs(spark, d), "hasParameter"), ("k",)).select("id", "name", "value")
+
+
+@query(f"WITH {EX} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, count(DISTINCT k) AS n_values FROM ex GROUP BY 1, 2 HAVING count(DISTINCT k) > 1")
+def name_value_conflicts(spark, d):
+    return build.conflicts(executions(spark, d).select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("k").alias("value")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'attribute:' || lang END AS name FROM documents")
+def strip_namespace_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.concat(F.lit("attribute:"), "lang")).alias("name"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'default') AS filled FROM events")
+def json_params(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("default")).alias("filled"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 'builtins.NoneType' WHEN value = floor(value) THEN 'xsd:integer' ELSE 'xsd:double' END AS datatype, CASE WHEN event_type IN ('click', 'view') THEN 'parameter' ELSE 'input' END AS role FROM events")
+def value_datatypes(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.when(v.isNull(), "builtins.NoneType").when(v == F.floor(v), "xsd:integer").otherwise("xsd:double").alias("datatype"), F.when(F.col("event_type").isin("click", "view"), "parameter").otherwise("input").alias("role"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'http://www.w3.org/ns/prov#' || event_type WHEN event_id % 3 = 1 THEN 'http://x.org/' || event_type END AS uri FROM events")
+def curie_expand(spark, d):
+    t = F.col("event_type")
+    curie = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("prov:"), t)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("<http://x.org/"), t, F.lit(">"))).otherwise(F.concat(F.lit("no:"), t))
+    return table(spark, d, "events").select("event_id", urns.expand_curie(curie, {"prov": "http://www.w3.org/ns/prov#"}).alias("uri"))
+
+
+# --- joins
+
+
+@query(f"WITH {EX} SELECT DISTINCT {STATE} (n - 1) AS src, {RUN} AS dst FROM ex WHERE n > 1")
+def used_edges(spark, d):
+    return executions(spark, d).where("n > 1").select(state(F.col("n") - 1).alias("src"), run_urn().alias("dst")).distinct()
+
+
+@query(f"WITH {EX} SELECT {RUN} AS src, {STATE} n AS dst, event_type AS function_name, n AS execution_order FROM ex")
+def generated_edges(spark, d):
+    e = executions(spark, d)
+    made = e.select(run_urn().alias("src"), state("n").alias("dst"))
+    return made.join(e.select(run_urn().alias("src"), F.col("event_type").alias("function_name"), F.col("n").cast("long").alias("execution_order")), "src")
+
+
+@query(f"WITH {EX}, none AS (SELECT user_id, n FROM ex WHERE k % 10 = 0) SELECT {RUN} AS src, {STATE} n AS dst FROM ex WHERE NOT EXISTS (SELECT 1 FROM none WHERE none.user_id = ex.user_id AND none.n = ex.n)")
+def none_anti_join(spark, d):
+    e = executions(spark, d)
+    none = e.where("k % 10 = 0").select(state("n").alias("dst"))
+    return e.select(run_urn().alias("src"), state("n").alias("dst")).join(none, "dst", "left_anti").select("src", "dst")
+
+
+@query(f"WITH {EX} SELECT {STATE} n AS entity, {STATE} (n - 1) AS source FROM ex WHERE n > 1")
+def derived_from(spark, d):
+    e = executions(spark, d)
+    used = e.where("n > 1").select("event_id", state(F.col("n") - 1).alias("source"))
+    return used.join(e.select("event_id", state("n").alias("entity")), "event_id").select("entity", "source")
+
+
+@query(f"WITH {EX} SELECT {STATE} n AS entity, 'agent-' || user_id AS agent, c_name AS agent_name FROM ex LEFT JOIN customer ON c_custkey = user_id")
+def attributed_to(spark, d):
+    agents = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("agent_name"))
+    return executions(spark, d).join(agents, "user_id", "left").select(state("n").alias("entity"), F.concat(F.lit("agent-"), "user_id").alias("agent"), "agent_name")
+
+
+@query(f"WITH {TREE} SELECT * FROM tree")
+def membership_labels(spark, d):
+    return tree(spark, d)
+
+
+@query(f"WITH {TREE} SELECT 'c' || c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM tree WHERE src = 'c' || c_custkey)")
+def membership_subgraph(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).join(tree(spark, d).select(F.col("src").alias("id")), "id", "left_semi")
+
+
+LEVELS = f"""WITH RECURSIVE {TREE}, below AS (
+  SELECT src AS top, dst AS node, label, 1 AS level FROM tree WHERE src LIKE 'r%'
+  UNION ALL SELECT top, dst, below.label || tree.label, level + 1 FROM below JOIN tree ON src = node)"""
+
+
+@query(f"{LEVELS} SELECT top, level, count(*) AS members FROM below GROUP BY 1, 2")
+def container_levels(spark, d):
+    t = tree(spark, d)
+    level = t.where(F.col("src").startswith("r")).select(F.col("src").alias("top"), F.col("dst").alias("node"))
+    out = None
+    for n in (1, 2, 3):  # as deep as the annotation goes
+        rows = level.groupBy("top").agg(F.count(F.lit(1)).alias("members")).select("top", F.lit(n).alias("level"), "members")
+        out = rows if out is None else out.unionByName(rows)
+        level = level.join(t.select(F.col("src").alias("node"), F.col("dst").alias("below")), "node").select("top", F.col("below").alias("node"))
+    return out
+
+
+def _held(spark, d):
+    """Containers of orders that a function uses: (nodes, edges)."""
+    t = tree(spark, d)
+    ids = t.select(F.col("src").alias("id")).union(t.select(F.col("dst"))).distinct()
+    kind = F.substring("id", 1, 1)
+    label = F.when(kind == "r", "Region").when(kind == "n", "Nation").when(kind == "c", "Customer").otherwise("Order")
+    runs = t.where(F.col("dst").startswith("o")).select("dst")
+    nodes = ids.select("id", F.lit("object").alias("type"), label.alias("label")).union(runs.select(F.concat(F.lit("f"), "dst").alias("id"), F.lit("function").alias("type"), F.lit("ship").alias("label")))
+    edges = t.select("src", "dst", F.lit(True).alias("membership"), "label").union(runs.select(F.col("dst").alias("src"), F.concat(F.lit("f"), "dst"), F.lit(False), F.lit(None).cast("string")))
+    return nodes, edges
+
+
+@query(f"{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 3 UNION ALL SELECT dst, 'f' || dst, false, NULL FROM tree WHERE dst LIKE 'o%'")
+def condense_full(spark, d):
+    return membership.condense(*_held(spark, d))[1]
+
+
+@query(f"{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 2 UNION ALL SELECT src, dst, true, label FROM tree WHERE dst LIKE 'o%' UNION ALL SELECT dst, 'f' || dst, false, NULL FROM tree WHERE dst LIKE 'o%'")
+def condense_preserve(spark, d):
+    return membership.condense(*_held(spark, d), preserve=("Customer",))[1]
+
+
+# --- intervals
+
+
+@query(f"WITH {EX} SELECT user_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS orders FROM ex GROUP BY 1")
+def interval_collect(spark, d):
+    return executions(spark, d).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x.cast("string")), ",").alias("orders"))
+
+
+@query(f"WITH {EX} SELECT user_id, '<' || string_agg(printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)), ';' ORDER BY n) || '>' AS intervals FROM ex WHERE event_type = 'click' GROUP BY 1")
+def interval_strings(spark, d):
+    return executions(spark, d).where("event_type = 'click'").groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("intervals"))
+
+
+@query(f"{LEVELS} SELECT top AS id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS sum_orders FROM below JOIN orders ON node = 'o' || o_orderkey GROUP BY 1")
+def interval_propagation(spark, d):
+    t = tree(spark, d).withColumn("membership", F.lit(True))
+    touches = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("execution_order"))
+    found = membership.intervals(touches, t).where(F.col("id").startswith("r"))
+    return found.select("id", F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_orders"))
+
+
+# --- grouping and summaries
+
+GRAPH = """nodes AS (
+  SELECT 'r' || r_regionkey AS id, 'Region' AS label, r_name AS attr FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'Nation', NULL FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'Customer', c_mktsegment FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'Order', o_orderpriority FROM orders)"""
+
+
+def _graph(spark, d) -> DataFrame:
+    part = lambda t, a, key, label, attr: table(spark, d, t).select(F.concat(F.lit(a), key).alias("id"), F.lit(label).alias("label"), (F.col(attr) if attr else F.lit(None).cast("string")).alias("attr"))
+    rows = part("region", "r", "r_regionkey", "Region", "r_name").union(part("nation", "n", "n_nationkey", "Nation", None))
+    return rows.union(part("customer", "c", "c_custkey", "Customer", "c_mktsegment")).union(part("orders", "o", "o_orderkey", "Order", "o_orderpriority"))
+
+
+def _nodes(spark, d) -> DataFrame:
+    g = _graph(spark, d)
+    one = F.create_map(F.lit("attr"), F.struct(F.col("attr").alias("value"), F.lit(None).cast("double").alias("num")))
+    return g.select("id", F.lit("object").alias("type"), "label", F.map_filter(one, lambda k, v: v["value"].isNotNull()).alias("attrs"), F.from_json(F.lit("{}"), build.ATTRS).alias("params"))
+
+
+def _counted(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    return groups.groupBy("g").agg(F.count(F.lit(1)).alias("member_count"), F.min("id").alias("first_member")).select("member_count", "first_member")
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label")
+def group_by_label(spark, d):
+    n = _nodes(spark, d)
+    return _counted(summarize.group_key(n, {}), n)
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label IN ('Customer', 'Order') THEN attr END")
+def group_by_attribute(spark, d):
+    n = _nodes(spark, d)
+    return _counted(summarize.group_key(n, {"Customer": ("attr",), "Order": ("attr",)}), n)
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label IN ('Region', 'Nation') THEN attr END")
+def group_by_missing_attribute(spark, d):
+    n = _nodes(spark, d)
+    return _counted(summarize.group_key(n, {"Region": ("attr",), "Nation": ("attr",)}), n)
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label = 'Order' THEN attr LIKE '1%' END")
+def group_by_callable(spark, d):
+    n = _nodes(spark, d)
+    return _counted(summarize.group_key(n, {"Order": (lambda nodes: F.col("attrs")["attr"]["value"].startswith("1"),)}), n)
+
+
+@query(f"WITH {EX} SELECT count(*) AS member_count, min('e' || event_id) AS first_member FROM ex GROUP BY event_type, k")
+def group_by_params(spark, d):
+    value = F.struct(F.col("k").cast("string").alias("value"), F.col("k").cast("double").alias("num"))
+    n = executions(spark, d).select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("function").alias("type"), F.col("event_type").alias("label"), F.from_json(F.lit("{}"), build.ATTRS).alias("attrs"), F.create_map(F.lit("k"), value).alias("params"))
+    return _counted(summarize.group_key(n, {}), n)
+
+
+@query(f"WITH {EX} SELECT event_type AS label, string_agg(CAST(k AS VARCHAR), ';' ORDER BY k) AS k_values FROM (SELECT DISTINCT event_type, k FROM ex) GROUP BY 1")
+def summarize_values(spark, d):
+    return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(summarize.joined_values(F.col("k").cast("string"), F.col("k").cast("double")).alias("k_values"))
+
+
+@query(f"WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex WHERE n <= 12) SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1")
+def summarize_intervals(spark, d):
+    text = executions(spark, d).where("n <= 12").groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("t"))
+    return text.select("user_id", summarize.merge_intervals(F.col("t")).alias("intervals"))
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS member_count, string_agg('c' || c_custkey, ';' ORDER BY 'c' || c_custkey) AS members FROM customer GROUP BY 1")
+def members(spark, d):
+    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("member_count"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("c"), "c_custkey"))), ";").alias("members"))
+
+
+def _rounds(n: int) -> str:
+    out = f"WITH {TREE}, {GRAPH}, g0 AS (SELECT id, label || '|' || coalesce(CASE WHEN label IN ('Customer', 'Order') THEN attr END, '') AS g FROM nodes)"
+    for i in range(n):
+        out += f""", s{i} AS (SELECT src AS id, string_agg(g, ',' ORDER BY g) AS sign FROM (SELECT DISTINCT src, g FROM tree JOIN g{i} ON id = dst) GROUP BY src),
+        g{i + 1} AS (SELECT g{i}.id, md5(g || '#' || coalesce(sign, '')) AS g FROM g{i} LEFT JOIN s{i} ON g{i}.id = s{i}.id)"""
+    return out
+
+
+def _topology(spark, d):
+    n = _nodes(spark, d)
+    return summarize.refine(summarize.group_key(n, {"Customer": ("attr",), "Order": ("attr",)}), tree(spark, d))[0]
+
+
+@query(_rounds(4) + " SELECT count(*) AS member_count, min(id) AS first_member FROM g4 GROUP BY g")
+def snap_topology(spark, d):
+    return _counted(_topology(spark, d), None)
+
+
+@query(_rounds(4) + ", least AS (SELECT g, min(id) AS first FROM g4 GROUP BY g) SELECT DISTINCT a.first AS src, b.first AS dst FROM tree JOIN g4 x ON x.id = src JOIN g4 y ON y.id = dst JOIN least a ON a.g = x.g JOIN least b ON b.g = y.g")
+def snap_superedges(spark, d):
+    groups = _topology(spark, d)
+    named = groups.join(groups.groupBy("g").agg(F.min("id").alias("first")), "g").select("id", "first")
+    return tree(spark, d).join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+@query(_rounds(4) + ", v AS (SELECT DISTINCT g, label, attr FROM g4 JOIN nodes ON nodes.id = g4.id), c AS (SELECT g, count(*) AS member_count FROM g4 GROUP BY g) SELECT min(label) AS label, string_agg(attr, ';' ORDER BY attr) AS attr, any_value(member_count) AS member_count FROM v JOIN c ON c.g = v.g GROUP BY v.g")
+def aggregate_graph(spark, d):
+    nodes, _ = summarize.aggregate(_nodes(spark, d), tree(spark, d), {"Customer": ("attr",), "Order": ("attr",)}, record_members=False)
+    return nodes.select(F.col("attrs")["label"].alias("label"), F.col("attrs")["attr"].alias("attr"), "member_count")
+
+
+@query(f"WITH {GRAPH} SELECT id, label, CASE WHEN attr IS NULL OR label = 'Order' THEN 0 ELSE 1 END AS n_attrs FROM nodes")
+def remove_attributes(spark, d):
+    kept = F.map_filter("attrs", lambda k, _: ~((k == "attr") & (F.col("label") == "Order")))
+    return _nodes(spark, d).select("id", "label", F.size(kept).alias("n_attrs"))
+
+
+# --- sets, containers, sources
+
+
+@query(f"WITH {EX} {TRIPLES}")
+def merge_sources(spark, d):
+    t = triple_explode(spark, d)
+    return t.where(F.hash("s") % 3 != 0).unionByName(t.where(F.hash("s") % 2 != 0)).unionByName(t).distinct()
+
+
+@query("SELECT vec_id, i - 1 AS idx, '[' || (i - 1) || ']' AS label, embedding[i] AS element FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def array_membership(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "element"))
+    return rows.select("vec_id", F.col("idx").cast("long").alias("idx"), urns.membership_label(F.lit("index"), F.col("idx").cast("string")).alias("label"), "element")
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n_members FROM conversations")
+def conversation_containers(spark, d):
+    w = Window.partitionBy("conv_id")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", (F.row_number().over(w.orderBy("turn")) - 1).cast("long").alias("ordinal"), F.count(F.lit(1)).over(w).alias("n_members"))
+
+
+@query(f"{LEVELS} SELECT 'prov:' || repeat('*', level) AS term, count(*) AS typed FROM below GROUP BY 1")
+def container_annotations(spark, d):
+    levels = container_levels(spark, d)
+    return levels.groupBy(F.concat(F.lit("prov:"), F.repeat(F.lit("*"), F.col("level"))).alias("term")).agg(F.sum("members").alias("typed"))
+
+
+@query(f"WITH {EX} SELECT a.event_id, max(b.n) AS statement FROM ex a JOIN ex b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.n <= a.n GROUP BY 1")
+def statement_asof(spark, d):
+    last = F.max(F.when(F.col("event_type") == "view", F.col("n"))).over(Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return executions(spark, d).withColumn("statement", last.cast("long")).where("statement IS NOT NULL").select("event_id", "statement")
+
+
+@query()
+def file_identity(spark, d):
+    from .sources.files import hash_files
+
+    return hash_files(spark, f"{d}/region.parquet").select("hash_type", F.length("hash").alias("n_hex"))
+
+
+@query()
+def rdf_roundtrip(spark, d):
+    """Triples of the trace written as N-Triples by the executors and read back."""
+    import uuid
+
+    from .plans.tables import shared_dir
+    from .sources.reader import read_triples, write_nt
+
+    t = triple_explode(spark, d).select(F.col("s"), F.concat(F.lit("urn:p#"), "p").alias("p"), "o", F.lit("literal").alias("o_kind"), F.lit("http://www.w3.org/2001/XMLSchema#string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"), F.lit("x").alias("source"))
+    path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    write_nt(t, path)
+    return read_triples(spark, path, form="nt").select("s", build.local_name("p").alias("p"), "o")
+
+
+SQL["rdf_roundtrip"] = SQL["triple_explode"]
+FLAGSHIP = "WITH " + EX + " SELECT event_type AS label, count(*) AS member_count, string_agg(DISTINCT CAST(k AS VARCHAR), ';' ORDER BY CAST(k AS VARCHAR)) AS k_values, min(n) AS first_order FROM ex GROUP BY 1"
+
+
+@query(FLAGSHIP)
+def trace_summary(spark, d):
+    e = executions(spark, d)
+    return e.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("member_count"), F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), ";").alias("k_values"), F.min("n").cast("long").alias("first_order"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The container graph's summary by attributes and topology."""
+    return aggregate_graph(spark, d)
