@@ -61,7 +61,8 @@ def trained(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], np.ndarr
         yield pa.RecordBatch.from_pydict({"w": pa.array([fit(texts, np.array(y, float)).astype(np.float32).tobytes()], pa.binary())})
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    return np.frombuffer(ordered.mapInArrow(run, "w binary").first()["w"], np.float32)
+    row = ordered.mapInArrow(run, "w binary").first()
+    return np.frombuffer(row["w"], np.float32) if row else fit([], np.zeros(0)).astype(np.float32)  # no labelled row: no task
 
 
 def scored(docs: DataFrame, weights: np.ndarray, features: Callable[[], Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]]) -> DataFrame:

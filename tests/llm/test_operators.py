@@ -1,0 +1,206 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkprov.llm import bpe, exact_dedup, fingerprints, jaccard, language, mixing, quality, secrets, token_counts, toxicity
+from sparkprov.llm.common import components
+
+from ..conftest import against_duckdb
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept int"
+SF = "/root/testdata/sf0.001"
+LONG = "word " * 30_000
+
+
+def frame(spark, texts, start=0):
+    return spark.createDataFrame([(i, t, "en", "s" if i is None or i % 3 else None, 0, "x", 1) for i, t in enumerate(texts, start)], SCHEMA)
+
+
+ODD = [None, "", " \t\n", "a b", "a  b", "A B c d e f g", LONG, LONG, "naïve café 𝒳 \u00a0 x", "<|endoftext|> it's  ", "x"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nulls(spark):
+    return spark.createDataFrame([(None, None, None, None, None, None, None), (None, "a b c", None, None, None, None, None), (3, "a b c", None, None, None, None, None), (3, "a b c", None, None, None, None, None)], SCHEMA)
+
+
+@pytest.mark.parametrize("name, module", [("op1_mixing", mixing), ("op4_exact_dedup", exact_dedup)])
+def test_sql(spark, name, module):
+    mine, other = against_duckdb(module.QUERIES[name](spark, SF), module.SQL[name], SF)
+    assert mine == other
+
+
+def test_mixing(spark, odd, empty, nulls):
+    rows = mixing.mix_sources(odd).collect()
+    assert len(rows) == len(ODD) and all(r.taken <= 3 * r.size for r in rows)
+    for source in {r.source for r in rows}:
+        assert abs(sum(r.taken for r in rows if r.source == source) - next(r.target for r in rows if r.source == source)) <= 1
+    assert abs(sum({r.source: r.target for r in rows}.values()) - sum(r.size for r in rows)) < 1e-6
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(nulls).count() == 4
+    assert mixing.mixed_documents(odd).columns == odd.columns
+
+
+def test_exact_dedup(spark, odd, empty, nulls):
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(odd).collect()}
+    assert [got[i].keep_id for i in range(5)] == [2, 2, 2, 4, 4] and got[4].kept and not got[3].kept and got[7].keep_id == 6
+    weak = exact_dedup.exact_groups(odd, digest=lambda b: bytes([len(b) % 2]))  # collisions are told apart by bytes
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in weak.collect()} == {(r.doc_id, r.keep_id, r.group_size) for r in got.values()}
+    assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.exact_groups(nulls).count() == 4
+    assert exact_dedup.keep_one(nulls).count() == 2
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_jaccard(spark, odd, empty, nulls):
+    rng = random.Random(1)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 6, 40, 200]))) for _ in range(25)]
+    texts = list(ODD) + base
+    for t in base * 3:
+        words = t.split()
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    lead = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b = sets[j]
+                if a and b and 4 * len(a & b) >= 3 * len(a | b):
+                    lead[i] = lead[j] = min(lead[i], lead[j])
+    got = {r.doc_id: r for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(s), lead[i]) for i, s in enumerate(sets)]
+    assert jaccard.jaccard_components(empty).count() == 0
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.jaccard_components(nulls).collect()) == [(-1, -1), (-1, -1), (3, 3), (3, 3)]
+
+
+def test_tree_never_loses_a_pair():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**62, rng.integers(5, 60)).astype(np.uint64)) for _ in range(60)]
+    sets += [np.sort(np.append(s[1:], rng.integers(0, 2**62, 1).astype(np.uint64))) for s in sets]
+    tree = jaccard.CountTree(np.array([jaccard.point(s) for s in sets]), np.array([len(s) for s in sets]))
+    for i, s in enumerate(sets):
+        near = set(tree.near(jaccard.point(s).astype(np.int32), len(s)))
+        assert all(j in near for j in range(len(sets)) if jaccard.linked(s, sets[j]))
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, **{i: 4 for i in range(4, 10)}}
+
+
+def test_token_counts(spark, odd, tmp_path):
+    import public_tokenizers
+
+    rng = random.Random(4)
+    docs = [[rng.randrange(1, 9) for _ in range(rng.choice([0, 1, 3, 50]))] for _ in range(40)]
+    flat = np.array([x for d in docs for x in [*d, 0]] + [5, 5], "<u2")
+    (tmp_path / "a.bin").write_bytes(flat.tobytes())
+    for block in (2, 8, 1 << 20):
+        got = {r.ordinal: r.n_tokens for r in token_counts.count_tokens(spark, f"file://{tmp_path}", eod=0, block_bytes=block).collect()}
+        assert got == dict(enumerate([*map(len, docs), 2]))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        folder, manifest = token_counts.write_flat(odd, f.read(), public_tokenizers.PATTERN)
+    joined = manifest.join(token_counts.count_tokens(spark, folder), ["file", "ordinal"])
+    assert {r.doc_id for r in joined.where("n_tokens = 0").collect()} == {0, 1} and joined.count() == len(ODD)
+
+
+def test_bpe(spark, odd, empty, nulls):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in bpe.digests(odd, path).collect()}
+    for i, text in enumerate(ODD):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.digests(empty).count() == 0 and bpe.digests(nulls).count() == 4
+
+
+def test_fingerprints(spark, odd, empty, nulls):
+    got = {r.doc_id: r for r in fingerprints.fingerprints(odd).collect()}
+    for i, text in enumerate(ODD):
+        a, b = text or "", ODD[(i + 1) % len(ODD)] or ""
+        k = len(a) // 4
+        assert got[i].edited == a[: len(a) - k] + b[:k]
+        mine = fingerprints.fingerprint(a.encode())
+        assert got[i].fingerprint == fingerprints.written(mine)
+        assert got[i].near_next == fingerprints.containment(mine, fingerprints.fingerprint(b.encode()))
+    assert fingerprints.fingerprints(empty).count() == 0 and fingerprints.fingerprints(nulls).count() == 4
+
+
+def test_secrets(spark, odd, empty, nulls):
+    forest = secrets.Forest.train(*secrets.made_findings())
+    x, y = secrets.made_findings(600, seed=99)
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.9
+    got = secrets.find_secrets(frame(spark, ['the api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" here', "card 4572801887383181 and", "none"]), forest).collect()
+    assert [(r.doc_id, r.start, r.length, r.secret) for r in got] == [(0, 15, 40, True), (1, 5, 16, False)]
+    assert secrets.find_secrets(empty, forest).count() == 0 and secrets.find_secrets(nulls, forest).count() == 0 and secrets.find_secrets(odd, forest).count() == 0
+
+
+def test_quality_and_language_held_out(spark, odd, empty, nulls):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.op7_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out")
+    assert got.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+    got = language.op9_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
+    none = labels.where("false")
+    assert {r.score for r in quality.quality_scores(odd, none).collect()} == {0.5}
+    assert quality.quality_scores(nulls, none).count() == 4 and quality.quality_scores(empty, labels).count() == 0
+    out = {r.doc_id: r for r in language.predicted(odd, *language.prototypes(odd.select("text", "lang"))).collect()}
+    assert out[0].lang_pred == out[1].lang_pred == "und" and out[6].lang_pred == "en"
+    assert language.predicted(empty, ["en"], np.ones((1, language.SIZE))).count() == 0
+
+
+def test_toxicity_counterfactuals(spark, odd):
+    rng = random.Random(7)
+    texts, y = [], []
+    for i in range(600):
+        bad = i % 2 == 0
+        words = [f"w{chr(97 + rng.randrange(26))}" for _ in range(6)] + (["vile"] if bad else [])
+        words += ["women"] if rng.random() < (0.8 if bad else 0.1) else []
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        y.append(float(bad))
+    swap = toxicity.swapper()
+    plain, fair = (toxicity.fit(texts, np.array(y), penalty=p) for p in (0.0, 2.0))
+    feature = toxicity.Features()
+
+    def gap(w):
+        a, b = (float(w[feature([t])[0][0]].sum()) for t in (b"women live here", swap(b"women live here")))
+        return abs(a - b)
+
+    assert gap(fair) < gap(plain)
+    assert float(fair[feature([b"a vile thing"])[0][0]].sum()) > 0 > float(fair[feature([b"men live here"])[0][0]].sum())
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.keep_clean(odd, none, 0.6).count() == len(ODD) and Counter(r.score for r in toxicity.toxicity_scores(odd, none).collect()) == {0.5: len(ODD)}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and 0 < after.count()
+    assert corpus_pipeline.run(spark, SF).count() > 0
