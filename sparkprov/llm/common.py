@@ -65,8 +65,9 @@ def blocks(rows: Iterable[tuple[object, bytes]], size: int = BLOCK) -> Iterator[
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text") -> Iterator[tuple[object, bytes]]:
-    for b in batches:
-        yield from zip(b.column(key).to_pylist(), byte_texts(b.column(text)))
+    for whole in batches:
+        for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+            yield from zip(b.column(key).to_pylist(), byte_texts(b.column(text)))
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
