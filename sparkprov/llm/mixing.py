@@ -99,13 +99,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("k1")) & F.col("source").eqNullSafe(F.col("k2")) & (size == F.col("k3"))
     out = docs.join(kept, same).select(*docs.columns, F.explode("copies").alias("_position"))
-    return out.orderBy("_position").drop("_position")
+    return out.orderBy("_position", "doc_id").drop("_position")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     rows = mix_sources(documents(spark, sf_dir))
     first = F.get("positions", F.lit(0)).alias("position")
-    return rows.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
 OP1_SQL = r"""
