@@ -1,11 +1,9 @@
 """BPE encoding and decoding with a distinct-word table.
 
-Texts are split into words (the pieces that byte-pair merges never cross) in chunks of whole documents.  Each chunk sends
-its distinct words to buckets by hash; a bucket encodes each distinct word once and sends the ids back, word by word, to
-the chunk, which joins them to its documents by position.  Decoding joins ids with the vocabulary's pieces.
-
-Chunks are found twice (for words, for documents).  Should Spark deal rows differently the second time, words that the
-chunk's table lacks are encoded on the spot, so results never depend on the dealing.
+Texts are split into words (the pieces that byte-pair merges never cross) in chunks of whole documents.  A chunk numbers
+its distinct words and keeps each document as the numbers of its words; both are written once.  The words go to buckets
+by hash; a bucket encodes each distinct word once and sends the ids back to the chunk, which joins them to its documents
+by position.  Decoding joins ids with the vocabulary's pieces.
 
 Null text counts as empty: no ids, an empty text.  Rows with a null or repeated doc_id stay rows of their own.  An empty
 table gives an empty result; other columns are ignored.
@@ -13,14 +11,18 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, documents, partitions, rows_of
+from .common import blocks, cut, documents, partitions, rows_of
 
 #: Fixed value: the published pattern of byte-level BPE words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,26 +39,24 @@ PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+", re.ASCII)
 CHUNK_BYTES = 6 << 20
+DOC_WORDS = 1 << 18
 
 
 class Splitter:
     """Text to words; added tokens are words of their own."""
 
     def __init__(self, model: str):
-        added = [x["content"] for x in json.loads(model)["added_tokens"]]
-        self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.any = regex.compile(PATTERN).findall
+        self.tokens = [x["content"] for x in json.loads(model)["added_tokens"]]
+        self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.tokens, key=len, reverse=True))) + ")")
+        self.any, self.plain = regex.compile(PATTERN).findall, PLAIN_PATTERN.findall
 
     def words(self, text: str) -> list[str]:
-        return PLAIN_PATTERN.findall(text) if PLAIN.fullmatch(text) else self.any(text)
+        return self.plain(text) if text.isascii() or PLAIN.fullmatch(text) else self.any(text)
 
     def __call__(self, text: str) -> list[str]:
-        if not self.added:
-            return self.words(text)
-        parts = self.added.split(text)
-        if len(parts) == 1:
+        if not any(t in text for t in self.tokens):
             return self.words(text)
-        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self.words(p))]
+        return [w for i, p in enumerate(self.added.split(text)) for w in ([p] if i % 2 else self.words(p))]
 
 
 def pieces(model: str) -> list[bytes]:
@@ -69,125 +69,163 @@ def pieces(model: str) -> list[bytes]:
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
-def pack(words: list[bytes], numbers: np.ndarray | None = None) -> bytes:
-    """Byte strings (and as many numbers) as one compressed value."""
-    lengths = np.array([len(w) for w in words], np.uint32)
-    head = np.array([len(words), 0 if numbers is None else 1], np.int64)
-    return zstandard.compress(head.tobytes() + lengths.tobytes() + (b"" if numbers is None else numbers.astype(np.int64).tobytes()) + b"".join(words), 1)
+def pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of int32 (their bytes by place, as high ones repeat) and byte strings as one compressed value."""
+    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in parts]
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], "<i8").tobytes() + b"".join(raw), 1)
 
 
-def unpack(data: bytes) -> tuple[list[bytes], np.ndarray | None]:
+def unpack(data: bytes) -> list[bytes]:
     raw = zstandard.decompress(data)
-    n, has = np.frombuffer(raw, np.int64, 2)
-    lengths = np.frombuffer(raw, np.uint32, n, 16)
-    at = 16 + 4 * int(n)
-    numbers = np.frombuffer(raw, np.int64, n, at) if has else None
-    at += 8 * int(n) * int(has)
-    ends = at + np.cumsum(lengths, dtype=np.int64)
-    return [raw[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist())], numbers
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(chunk, doc_ids, texts): whole documents, about CHUNK_BYTES together."""
-
-    part = TaskContext.get().partitionId()
-    for k, (ids, texts) in enumerate(blocks(rows_of(batches), CHUNK_BYTES)):
-        yield (part << 32) + k, ids, texts
+    n = int.from_bytes(raw[:8], "little")
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(raw, "<i8", n, 8)])
+    return [raw[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def ints(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def pack_docs(ids: list, numbers: list[np.ndarray]) -> bytes:
+    """Documents as their words' numbers: doc_ids, which of them are null, counts of words, numbers."""
+    known = np.array([0 if i is None else i for i in ids], "<i8").tobytes()
+    return pack(known, bytes(i is None for i in ids), np.array([len(x) for x in numbers]), np.concatenate(numbers))
+
+
+def _send(model: Callable[[], str], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks as rows of words by bucket (words: numbers, lengths, bytes) and rows of documents (no bucket)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part = Splitter(model()), TaskContext.get().partitionId()
+        for k, (ids, texts) in enumerate(blocks(rows_of(batches), CHUNK_BYTES)):
+            chunk = (part << 32) + k
+            place: dict[str, int] = defaultdict()
+            place.default_factory = place.__len__
+            held: list[np.ndarray] = []
+            docs, first, size = [], 0, 0
+            for i, t in enumerate(texts):
+                held.append(np.array([place[w] for w in split(t.decode())], np.int32))
+                size += len(held[-1])
+                if size > DOC_WORDS or i + 1 == len(texts):
+                    docs.append(pack_docs(ids[first : i + 1], held))
+                    held, first, size = [], i + 1, 0
+            dealt: dict[int, tuple[list[int], list[bytes]]] = {}
+            for number, w in enumerate(place):
+                raw = w.encode()
+                numbers, words = dealt.setdefault(zlib.crc32(raw) % parts, ([], []))
+                numbers.append(number)
+                words.append(raw)
+            buckets = list(dealt)
+            packs = [pack(np.array(n), np.array([len(w) for w in ws]), b"".join(ws)) for n, ws in dealt.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk] * len(packs), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "chunk", "packed"])
+            for d in docs:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([chunk], pa.int64()), pa.array([d], pa.binary())], names=["bucket", "chunk", "packed"])
 
+    return run
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every document; ``model`` is the tokenizer's JSON text."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    shared = spark.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(shared.value)
-        for chunk, _, found in _chunks(batches):
-            words: set[str] = set()
-            for t in found:
-                words.update(split(t.decode()))
-            dealt: list[list[bytes]] = [[] for _ in range(parts)]
-            for w in words:
-                raw = w.encode()
-                dealt[zlib.crc32(raw) % parts].append(raw)
-            full = [i for i in range(parts) if dealt[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack(sorted(dealt[i])) for i in full], pa.binary())], names=["bucket", "chunk", "words"])
+def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words by bucket to their ids (packed: numbers, counts of ids, ids); each distinct word of a bucket is encoded once."""
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer = Tokenizer.from_str(model())
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            out = []
-            for packed in b.column(2).to_pylist():
-                words, _ = unpack(packed)
+            for chunk, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                numbers, lengths, raw = unpack(packed)
+                ends = np.cumsum([0, *ints(lengths)]).tolist()
+                words = [raw[x:y] for x, y in zip(ends, ends[1:])]
                 new = [w for w in words if w not in known]
                 for i in range(0, len(new), 1024):
                     some = new[i : i + 1024]
-                    known.update((w, np.array(e.ids, np.int32)) for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)))
-                out.append(pack([known[w].tobytes() for w in words]))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["chunk", "words", "ids", "docs"])
-
-    def send_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, found in _chunks(batches):
-            for k in range(0, len(ids), 512):
-                some = np.array([-1 if i is None else i for i in ids[k : k + 512]], np.int64)
-                null = bytes(i is None for i in ids[k : k + 512])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([null], pa.binary()), pa.array([pack(found[k : k + 512], some)], pa.binary())], names=["chunk", "words", "ids", "docs"])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(shared.value)
-        tables: dict[int, list[tuple[bytes, bytes]]] = {}
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for b in batches:
-            for chunk, words, ids, found in zip(*(b.column(i).to_pylist() for i in range(4))):
-                (held if words is None else tables).setdefault(chunk, []).append((found, ids) if words is None else (words, ids))
-        spare = None
-        while held:
-            chunk, packs = held.popitem()
-            place: dict[str, int] = {}
-            flat: list[bytes] = []
-            for words, ids in tables.pop(chunk, []):
-                for w in unpack(words)[0]:
-                    place[w.decode()] = len(place)
-                flat += unpack(ids)[0]
-            for packed, null in packs:
-                texts, ids = unpack(packed)
-                split_texts = [split(t.decode()) for t in texts]
-                for w in {w for ws in split_texts for w in ws if w not in place}:
-                    spare = spare or Tokenizer.from_str(shared.value)
-                    place[w] = len(place)
-                    flat.append(np.array(spare.encode(w, add_special_tokens=False).ids, np.int32).tobytes())
-                data = [b"".join([flat[place[w]] for w in ws]) for ws in split_texts]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in data)])
-                for lo in range(0, len(ids), 64):
-                    hi = min(lo + 64, len(ids))
-                    values = np.frombuffer(b"".join(data[lo:hi]), np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()), pa.array(values))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64(), mask=np.frombuffer(null, bool)[lo:hi]), lists], names=["doc_id", "ids"])
-
-    form = "chunk long, words binary, ids binary, docs binary"
-    words = texts.mapInArrow(send_words, "bucket int, chunk long, words binary").repartition(parts, "bucket")
-    table = words.mapInArrow(encode_words, form)
-    return table.union(texts.mapInArrow(send_docs, form)).repartition(parts, "chunk").mapInArrow(assemble, "doc_id long, ids array<int>")
+                    for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                        known[w] = struct.pack(f"<{len(e)}i", *e.ids)
+                found = [known[w] for w in words]
+                out = pack(ints(numbers), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([False]), pa.array([out], pa.binary())], names=["chunk", "doc", "packed"])
+
+    return run
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk, words before documents, to (doc_id, ids); one chunk's words are held at a time."""
+    current, tables = None, []
+    start = count = flat = np.zeros(0, np.int64)
+    for b in batches:
+        for chunk, doc, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if chunk != current:
+                current, tables = chunk, []
+            if not doc:
+                tables.append([ints(x) for x in unpack(packed)])
+                continue
+            if tables:
+                numbers, counts, flat = (np.concatenate([t[i] for t in tables]).astype(np.int64) for i in range(3))
+                start, count = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+                start[numbers], count[numbers] = np.cumsum(counts) - counts, counts
+                tables = []
+            ids, null, sizes, words = unpack(packed)
+            ids, null, words = np.frombuffer(ids, "<i8"), np.frombuffer(null, bool), ints(words)
+            ends = np.concatenate([[0], np.cumsum(ints(sizes), dtype=np.int64)])
+            for lo in range(0, len(ids), 64):
+                hi = min(lo + 64, len(ids))
+                w = words[ends[lo] : ends[hi]]
+                n = count[w]
+                at = np.concatenate([[0], np.cumsum(n)])
+                values = flat[np.repeat(start[w] - at[:-1], n) + np.arange(at[-1])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at[ends[lo : hi + 1] - ends[lo]], pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64(), mask=null[lo:hi]), lists], names=["doc_id", "ids"])
+
+
+def _by_chunk(docs: DataFrame, model: str) -> DataFrame:
+    """Encoded words and documents of each chunk together, words first."""
+    spark = docs.sparkSession
+    parts, shared = partitions(spark), spark.sparkContext.broadcast(model)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = cut(texts.mapInArrow(_send(lambda: shared.value, parts), "bucket int, chunk long, packed binary"), "bpe-chunks")
+    words = sent.where("bucket IS NOT NULL").repartition(parts, "bucket").mapInArrow(_encode_words(lambda: shared.value), "chunk long, doc boolean, packed binary")
+    rows = words.union(sent.where("bucket IS NULL").select("chunk", F.lit(True).alias("doc"), "packed"))
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "doc")
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids array<int>) of every document; ``model`` is the tokenizer's JSON text."""
+    return _by_chunk(docs, model).mapInArrow(_assemble, "doc_id long, ids array<int>")
+
+
+def _lists(column: pa.Array) -> Iterator[list[int]]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum([0, *(x or 0 for x in pc.list_value_length(column).to_pylist())]).tolist()
+    return (flat[x:y] for x, y in zip(ends, ends[1:]))
+
+
+def _join_pieces(table: Callable[[], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = table().__getitem__
+        for whole in batches:
+            for b in (whole.slice(i, 64) for i in range(0, len(whole), 64)):
+                texts = [b"".join(map(piece, ids)).decode("utf-8", "replace") for ids in _lists(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+    return run
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, text): each id joined with its piece; the vocabulary, of fixed size, is broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(pieces(model))
+    return rows.select("doc_id", "ids").mapInArrow(_join_pieces(lambda: shared.value), "doc_id long, ids array<int>, text string")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for whole in batches:
-            for b in (whole.slice(i, 128) for i in range(0, len(whole), 128)):
-                texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids array<int>, text string")
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sha(x: str) -> str:
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    for b in batches:
+        ids = list(_lists(b.column(1)))
+        hashes = [sha(",".join(map(str, x))) for x in ids], [sha(x) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, hashes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -198,9 +236,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         model = f.read()
-    out = decode(encode(docs, model), model)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(model))
+    join = _join_pieces(lambda: shared.value)
+    # encode, decode and digests in one Python process a task
+    return _by_chunk(docs, model).mapInArrow(lambda b: _digest(join(_assemble(b))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
