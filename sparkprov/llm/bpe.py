@@ -1,9 +1,12 @@
 """BPE encoding and decoding with a distinct-word table.
 
 Texts are split into words (the pieces that byte-pair merges never cross) in chunks of whole documents.  A chunk numbers
-its distinct words and keeps each document as the numbers of its words; both are written once.  The words go to buckets
-by hash; a bucket encodes each distinct word once and sends the ids back to the chunk, which joins them to its documents
-by position.  Decoding joins ids with the vocabulary's pieces.
+its distinct words and keeps each document as the numbers of its words.  The words go to buckets by hash; a bucket
+encodes each distinct word once and sends the ids back to the chunk, which joins them to its documents by position.
+Decoding joins ids with the vocabulary's pieces.
+
+A chunk's name is a digest of its content.  Should a lost task be run again and be dealt other rows (a scan of files
+isn't), the names differ and the join fails for want of words; it can't mix two dealings.
 
 Null text counts as empty: no ids, an empty text.  Rows with a null or repeated doc_id stay rows of their own.  An empty
 table gives an empty result; other columns are ignored.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, cut, documents, partitions, rows_of
+from .common import blocks, documents, partitions, rows_of
 
 #: Fixed value: the published pattern of byte-level BPE words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +41,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+", re.ASCII)
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 16 << 20
 DOC_WORDS = 1 << 18
 
 
@@ -92,40 +95,47 @@ def pack_docs(ids: list, numbers: list[np.ndarray]) -> bytes:
     return pack(known, bytes(i is None for i in ids), np.array([len(x) for x in numbers]), np.concatenate(numbers))
 
 
+def chunk_name(ids: list, texts: list[bytes], *place: int) -> int:
+    found = hashlib.blake2b(repr((place, ids, [len(t) for t in texts])).encode(), digest_size=8)
+    for t in texts:
+        found.update(t)
+    return int.from_bytes(found.digest(), "little", signed=True)
+
+
 def _send(model: Callable[[], str], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Chunks as rows of words by bucket (words: numbers, lengths, bytes) and rows of documents (no bucket)."""
+    """Chunks as rows of words by bucket (gaps of their ascending numbers, lengths, bytes) and rows of documents, dealt evenly."""
+
+    def row(bucket: int, chunk: int, doc: bool, packed: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([doc]), pa.array([packed], pa.binary())], names=["bucket", "chunk", "doc", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = Splitter(model()), TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(blocks(rows_of(batches), CHUNK_BYTES)):
-            chunk = (part << 32) + k
+            chunk = chunk_name(ids, texts, part, k)
             place: dict[str, int] = defaultdict()
             place.default_factory = place.__len__
             held: list[np.ndarray] = []
-            docs, first, size = [], 0, 0
+            first, size, sent = 0, 0, 0
             for i, t in enumerate(texts):
                 held.append(np.array([place[w] for w in split(t.decode())], np.int32))
                 size += len(held[-1])
                 if size > DOC_WORDS or i + 1 == len(texts):
-                    docs.append(pack_docs(ids[first : i + 1], held))
-                    held, first, size = [], i + 1, 0
+                    yield row((chunk + sent) % parts, chunk, True, pack_docs(ids[first : i + 1], held))
+                    held, first, size, sent = [], i + 1, 0, sent + 1
             dealt: dict[int, tuple[list[int], list[bytes]]] = {}
             for number, w in enumerate(place):
                 raw = w.encode()
                 numbers, words = dealt.setdefault(zlib.crc32(raw) % parts, ([], []))
                 numbers.append(number)
                 words.append(raw)
-            buckets = list(dealt)
-            packs = [pack(np.array(n), np.array([len(w) for w in ws]), b"".join(ws)) for n, ws in dealt.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([chunk] * len(packs), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "chunk", "packed"])
-            for d in docs:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([chunk], pa.int64()), pa.array([d], pa.binary())], names=["bucket", "chunk", "packed"])
+            for bucket, (numbers, words) in dealt.items():
+                yield row(bucket, chunk, False, pack(np.diff(numbers, prepend=0), np.array([len(w) for w in words]), b"".join(words)))
 
     return run
 
 
 def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Words by bucket to their ids (packed: numbers, counts of ids, ids); each distinct word of a bucket is encoded once."""
+    """Words by bucket to their ids (gaps, counts of ids, ids), each distinct word encoded once; documents pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -134,8 +144,11 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
         tokenizer.no_padding()
         known: dict[bytes, bytes] = {}
         for b in batches:
-            for chunk, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                numbers, lengths, raw = unpack(packed)
+            for chunk, doc, packed in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                if doc:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([True]), pa.array([packed], pa.binary())], names=["chunk", "doc", "packed"])
+                    continue
+                gaps, lengths, raw = unpack(packed)
                 ends = np.cumsum([0, *ints(lengths)]).tolist()
                 words = [raw[x:y] for x, y in zip(ends, ends[1:])]
                 new = [w for w in words if w not in known]
@@ -144,7 +157,7 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
                     for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                         known[w] = struct.pack(f"<{len(e)}i", *e.ids)
                 found = [known[w] for w in words]
-                out = pack(ints(numbers), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4"))
+                out = pack(ints(gaps), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4"))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([False]), pa.array([out], pa.binary())], names=["chunk", "doc", "packed"])
 
     return run
@@ -152,22 +165,25 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk, words before documents, to (doc_id, ids); one chunk's words are held at a time."""
-    current, tables = None, []
+    current, whole, tables = None, None, []
     start = count = flat = np.zeros(0, np.int64)
     for b in batches:
         for chunk, doc, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
             if chunk != current:
                 current, tables = chunk, []
             if not doc:
-                tables.append([ints(x) for x in unpack(packed)])
+                gaps, counts, found = (ints(x) for x in unpack(packed))
+                tables.append((np.cumsum(gaps), counts, found))
                 continue
             if tables:
                 numbers, counts, flat = (np.concatenate([t[i] for t in tables]).astype(np.int64) for i in range(3))
                 start, count = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
                 start[numbers], count[numbers] = np.cumsum(counts) - counts, counts
-                tables = []
+                tables, whole = [], chunk
             ids, null, sizes, words = unpack(packed)
             ids, null, words = np.frombuffer(ids, "<i8"), np.frombuffer(null, bool), ints(words)
+            if len(words) and (whole != chunk or words.max() >= len(count) or not count[words].all()):
+                raise RuntimeError("a chunk's words and documents come from different dealings of rows")
             ends = np.concatenate([[0], np.cumsum(ints(sizes), dtype=np.int64)])
             for lo in range(0, len(ids), 64):
                 hi = min(lo + 64, len(ids))
@@ -184,9 +200,8 @@ def _by_chunk(docs: DataFrame, model: str) -> DataFrame:
     spark = docs.sparkSession
     parts, shared = partitions(spark), spark.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = cut(texts.mapInArrow(_send(lambda: shared.value, parts), "bucket int, chunk long, packed binary"), "bpe-chunks")
-    words = sent.where("bucket IS NOT NULL").repartition(parts, "bucket").mapInArrow(_encode_words(lambda: shared.value), "chunk long, doc boolean, packed binary")
-    rows = words.union(sent.where("bucket IS NULL").select("chunk", F.lit(True).alias("doc"), "packed"))
+    sent = texts.mapInArrow(_send(lambda: shared.value, parts), "bucket int, chunk long, doc boolean, packed binary")
+    rows = sent.repartition(parts, "bucket").mapInArrow(_encode_words(lambda: shared.value), "chunk long, doc boolean, packed binary")
     return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "doc")
 
 
