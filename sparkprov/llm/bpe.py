@@ -89,10 +89,10 @@ def ints(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def pack_docs(ids: list, numbers: list[np.ndarray]) -> bytes:
+def pack_docs(ids: list, sizes: np.ndarray, numbers: np.ndarray) -> bytes:
     """Documents as their words' numbers: doc_ids, which of them are null, counts of words, numbers."""
     known = np.array([0 if i is None else i for i in ids], "<i8").tobytes()
-    return pack(known, bytes(i is None for i in ids), np.array([len(x) for x in numbers]), np.concatenate(numbers))
+    return pack(known, bytes(i is None for i in ids), sizes, numbers)
 
 
 def chunk_name(ids: list, texts: list[bytes], *place: int) -> int:
@@ -114,22 +114,30 @@ def _send(model: Callable[[], str], parts: int) -> Callable[[Iterator[pa.RecordB
             chunk = chunk_name(ids, texts, part, k)
             place: dict[str, int] = defaultdict()
             place.default_factory = place.__len__
-            held: list[np.ndarray] = []
-            first, size, sent = 0, 0, 0
-            for i, t in enumerate(texts):
-                held.append(np.array([place[w] for w in split(t.decode())], np.int32))
-                size += len(held[-1])
-                if size > DOC_WORDS or i + 1 == len(texts):
-                    yield row((chunk + sent) % parts, chunk, True, pack_docs(ids[first : i + 1], held))
-                    held, first, size, sent = [], i + 1, 0, sent + 1
+            held = [np.array([place[w] for w in split(t.decode())], np.int32) for t in texts]
+            every = np.concatenate(held)
+            # frequent words get small numbers, equally frequent ones by their bytes: documents and words pack tighter
+            words = [w.encode() for w in place]
+            count = np.bincount(every, minlength=len(words)).tolist()
+            order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
+            rank = np.zeros(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            every = rank[every]
+            ends = np.cumsum([0, *map(len, held)])
+            first = sent = 0
+            for i in range(1, len(texts) + 1):
+                if i == len(texts) or ends[i] - ends[first] > DOC_WORDS:
+                    docs = pack_docs(ids[first:i], np.diff(ends[first : i + 1]), every[ends[first] : ends[i]])
+                    yield row((chunk + sent) % parts, chunk, True, docs)
+                    first, sent = i, sent + 1
             dealt: dict[int, tuple[list[int], list[bytes]]] = {}
-            for number, w in enumerate(place):
-                raw = w.encode()
-                numbers, words = dealt.setdefault(zlib.crc32(raw) % parts, ([], []))
+            for number, i in enumerate(order):
+                numbers, some = dealt.setdefault(zlib.crc32(words[i]) % parts, ([], []))
                 numbers.append(number)
-                words.append(raw)
-            for bucket, (numbers, words) in dealt.items():
-                yield row(bucket, chunk, False, pack(np.diff(numbers, prepend=0), np.array([len(w) for w in words]), b"".join(words)))
+                some.append(words[i])
+            for bucket, (numbers, some) in dealt.items():
+                yield row(bucket, chunk, False, pack(np.diff(numbers, prepend=0), np.array([len(w) for w in some]), b"".join(some)))
+
 
     return run
 
