@@ -226,19 +226,22 @@ def in_bitmap(found: np.ndarray, x: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, name: str = "cc") -> DataFrame:
     """(node long, component long) for every node of ``links`` (a, b): the smallest node it reaches.
 
-    Large-star and small-star rounds over written tables; minima are grouped partially before any shuffle, so a hub
-    costs no more than its links.
+    Large-star and small-star rounds over written tables until each node hangs on one root that hangs on none; minima and
+    roles are grouped partially before any shuffle, so a hub costs no more than its links.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
+    while not _stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        after = cut(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), name)
-        moved = after.select("a", "b").exceptAll(edges.select("a", "b")).limit(1).count() + edges.select("a", "b").exceptAll(after.select("a", "b")).limit(1).count()
-        edges = after
-        if not moved:
-            break
+        edges = cut(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), name)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node of ``edges`` (a, b), each pair once, hangs on two others or on one that hangs itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()

@@ -69,18 +69,22 @@ class CountTree:
         """Least overlap of sets of n and m at NUM/DEN."""
         return -(-NUM * (n + m) // (NUM + DEN))
 
-    def near(self, p: np.ndarray, n: int) -> np.ndarray:
-        """Places (in the given order) of the points that may be within reach of point p of size n."""
+    def near(self, p: np.ndarray, n: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Places (in the given order) of the points that may be within reach of point p of size n.
+
+        ``wanted`` marks the places that can be a result; without it all can.
+        """
         leaves = np.flatnonzero((DEN * n >= NUM * self.low) & (DEN * self.high >= NUM * n))
         if len(leaves):
             leaves = leaves[np.minimum(self.top[leaves], p).sum(1) >= self.need(n, np.maximum(self.low[leaves], -(-NUM * n // DEN)))]
-        out = []
-        for leaf in leaves:
-            s = slice(self.starts[leaf], self.starts[leaf] + LEAF)
-            m = self.sizes[s]
-            ok = (np.minimum(self.points[s], p).sum(1) >= self.need(n, m)) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
-            out.append(self.order[s][ok])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        at = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+        at = at[at < len(self.sizes)]
+        if wanted is not None:
+            at = at[wanted[self.order[at]]]
+        m = self.sizes[at]
+        fits = DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
+        at, m = at[fits], m[fits]
+        return self.order[at[np.minimum(self.points[at], p).sum(1) >= self.need(n, m)]]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -290,10 +294,12 @@ def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.Re
         tree = CountTree(points, sizes)
         left, right = [], []
         for i in askers:
-            at = tree.near(points[i].astype(np.int32), int(sizes[i]))
-            at = at[(clusters[at] != clusters[i]) & (sizes[at] >= sizes[i])]
+            wanted = (clusters != clusters[i]) & (sizes >= sizes[i])
             if split:
-                at = at[half[at] != half[i]]
+                wanted &= half != half[i]
+            if not wanted.any():
+                continue
+            at = tree.near(points[i].astype(np.int32), int(sizes[i]), wanted)
             if one_each and len(at) > 1:
                 at = at[np.unique(clusters[at], return_index=True)[1]]
             for k in at:
