@@ -6,8 +6,9 @@ A document's set holds its distinct shingles of five words.  Two documents link
 * Shingles are hashed to 64 bits; the hash's low bits give one of ``GROUPS`` groups, and the counts by group make the
   document a point.  Two points' summed coordinate minima bound the overlap of their sets from above.
 * Points meet in cells: the cell of a shingle that is among the rarest quarter of both sets (any pair at 0.75 shares
-  one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.  Sets too few of
-  whose rare shingles occur elsewhere can't be the smaller of a pair, and cells without a possible smaller one go.
+  one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.  The rarest shingle a
+  pair shares is among the rarest seventh of the set that isn't larger: only these postings look for partners, and
+  cells without one go.
 * A cell's points are packed into an R-tree (sorted by size, leaves bounded by coordinate maxima and sizes).  Leaf
   bounds, then point bounds discard pairs; the survivors' whole sets are compared.  Large cells are split into pieces
   that meet pairwise, so no task holds more than two pieces.
@@ -131,21 +132,29 @@ def _profile(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, "doc_id long, n long, fa long, fb long, part int, counts binary")
 
 
-def rarest(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The part of a set of which every set at NUM/DEN or more shares a member: by count, then by hash."""
-    keep = len(s) - -(-NUM * len(s) // DEN) + 1
+def first(s: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
+    """Marks the ``keep`` rarest members of a sorted set: by count, then by hash."""
+    if keep >= len(s):
+        return np.ones(len(s), bool)
     c = counts[(s >> U64(45)).astype(np.int64)]
-    if keep < len(s):
-        edge = np.partition(c, keep - 1)[keep - 1]
-        sure = c < edge
-        ties = np.flatnonzero(c == edge)[: keep - int(sure.sum())]  # s is sorted: ties go by hash
-        sure[ties] = True
-        return s[sure]
-    return s
+    edge = np.partition(c, keep - 1)[keep - 1]
+    sure = c < edge
+    ties = np.flatnonzero(c == edge)[: keep - int(sure.sum())]  # s is sorted: ties go by hash
+    sure[ties] = True
+    return sure
+
+
+def rarest(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a set that holds the rarest member shared with any set at NUM/DEN or more, and marks of the part
+    that holds it when the other set isn't smaller: of n members at most n - need(n, n) are rarer, as the other lacks
+    no more."""
+    n = len(s)
+    kept = s[first(s, counts, n - -(-NUM * n // DEN) + 1)]
+    return kept, first(kept, counts, n - int(CountTree.need(n, n)) + 1)
 
 
 def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
-    """(token, doc_id) of the rarest quarters, for tokens of two documents at least.
+    """(token, doc_id, small) of the rarest quarters, for tokens of two documents at least; ``small`` as marked by rarest.
 
     Tokens whose cell stands out travel as rows of their own, dealt at random; the others packed by bucket.
     """
@@ -155,59 +164,62 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         cells, most = shared.value
-        tokens, owners, size = [], [], 0
+        tokens, marks, owners, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not tokens:
                 return
-            t = np.concatenate(tokens)
+            t, m = np.concatenate(tokens), np.concatenate(marks)
             d = np.repeat(np.array(owners, np.int64), [len(x) for x in tokens])
             hot = cells[(t >> U64(45)).astype(np.int64)] > most
-            h, o = t[hot], d[hot]
+            h, o, k = t[hot], d[hot], m[hot]
             salt = (mix(h ^ mix(o.view(np.uint64))) % U64(parts)).astype(np.int32)
             if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(h.view(np.int64)), pa.array(o), pa.nulls(len(h), pa.binary())], names=["bucket", "token", "doc_id", "pack"])
-            t, d = t[~hot], d[~hot]
+                yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(h.view(np.int64)), pa.array(o), pa.array(k), pa.nulls(len(h), pa.binary())], names=["bucket", "token", "doc_id", "small", "pack"])
+            t, d, m = t[~hot], d[~hot], m[~hot]
             bucket = (mix(t, 3) % U64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            t, d, bucket = t[order].view(np.int64), d[order], bucket[order]
+            t, d, m, bucket = t[order].view(np.int64), d[order], m[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(parts + 1))
             full = [i for i in range(parts) if edges[i] < edges[i + 1]]
-            packs = [np.concatenate([t[edges[i] : edges[i + 1]], d[edges[i] : edges[i + 1]]]).tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "token", "doc_id", "pack"])
+            packs = [b"".join(x[edges[i] : edges[i + 1]].tobytes() for x in (t, d, m)) for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.bool_()), pa.array(packs, pa.binary())], names=["bucket", "token", "doc_id", "small", "pack"])
 
         for ids, block in blocks(rows_of(batches)):
             for doc, s in zip(ids, shingles(block)):
                 if len(s) and doc is not None:
-                    tokens.append(rarest(s, cells))
+                    for to, x in zip((tokens, marks), rarest(s, cells)):
+                        to.append(x)
                     owners.append(doc)
                     size += len(tokens[-1])
             if size > 1 << 20:
                 yield from flush()
-                tokens, owners, size = [], [], 0
+                tokens, marks, owners, size = [], [], [], 0
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, list[np.ndarray]] = {}
+        packs: dict[int, list[bytes]] = {}
         for b in batches:
             light = []
-            for bucket, pack in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+            for bucket, pack in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
                 light.append(pack is None)
                 if pack is not None:
-                    packs.setdefault(bucket, []).append(np.frombuffer(pack, np.int64).reshape(2, -1))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2)], names=["token", "doc_id"]).filter(pa.array(light, pa.bool_()))
+                    packs.setdefault(bucket, []).append(pack)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3)], names=["token", "doc_id", "small"]).filter(pa.array(light, pa.bool_()))
         while packs:
-            t, d = np.concatenate(packs.popitem()[1], axis=1)
+            held = [(x, len(x) // 17) for x in packs.popitem()[1]]  # 8 bytes of token, 8 of doc_id, 1 of small
+            t, d = (np.concatenate([np.frombuffer(x, np.int64, n, at * n) for x, n in held]) for at in (0, 8))
+            m = np.concatenate([np.frombuffer(x, bool, n, 16 * n) for x, n in held])
             order = np.argsort(t, kind="stable")
-            t, d = t[order], d[order]
+            t, d, m = t[order], d[order], m[order]
             same = t[1:] == t[:-1]
             twice = np.zeros(len(t), bool)
             twice[1:] |= same
             twice[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(t[twice]), pa.array(d[twice])], names=["token", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[twice]), pa.array(d[twice]), pa.array(m[twice])], names=["token", "doc_id", "small"])
 
-    sent = texts.mapInArrow(send, "bucket int, token long, doc_id long, pack binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "token long, doc_id long")
+    sent = texts.mapInArrow(send, "bucket int, token long, doc_id long, small boolean, pack binary")
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "token long, doc_id long, small boolean")
 
 
 def _candidates(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,7 +291,7 @@ def _gather(found: DataFrame) -> DataFrame:
 def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different clusters that the bounds of a cell's R-tree leave; ``one_each``: one a document and cluster.
 
-    Only sets marked ``small`` look for partners, of their own size or more.
+    Only postings marked ``small`` look for partners, of their set's size or more.
     """
     seen: set[tuple[int, int]] = set()
     for t in grouped(batches, ["token", "p", "q"]):
@@ -317,18 +329,12 @@ def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.Re
 def _meetings(postings: DataFrame, firsts: DataFrame) -> DataFrame:
     """(token, doc_id, small): postings of one document a set, in cells where a pair can meet.
 
-    Of a pair, the set that isn't larger lacks less than a seventh of its members, so of its rarest quarter it shares all
-    but that: a set with fewer tokens that others have too can't be it (``small`` is false), and a cell without a small
-    one is no meeting.
+    A pair meets in the cell of its rarest common token, which ``small`` marks for the set that isn't larger; so a cell
+    without a marked posting, or with one only, is no meeting.
     """
     held = cut(postings.join(firsts, "doc_id").distinct(), "jaccard-held")
-    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    held = cut(held.join(shared, "token", "left_semi"), "jaccard-shared")
-    n = F.col("n")
-    least = F.ceil(2 * NUM * n / (NUM + DEN)) - F.ceil(NUM * n / DEN) + 1
-    small = held.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("doc_id", F.lit(True).alias("small"))
-    marked = cut(held.join(small, "doc_id", "left").select("token", "doc_id", F.coalesce("small", F.lit(False)).alias("small")), "jaccard-marked")
-    return cut(marked.join(marked.where("small").select("token").distinct(), "token", "left_semi"), "jaccard-meetings")
+    met = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("any")).where("k > 1 AND any").select("token")
+    return cut(held.join(met, "token", "left_semi"), "jaccard-meetings")
 
 
 def _cells(postings: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
@@ -373,7 +379,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # copies: one document stands for each set
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     copies = cut(sets.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("first")), "jaccard-copies")
-    postings = _meetings(postings, copies.groupBy(F.col("first").alias("doc_id")).agg(F.min("n").alias("n")))
+    postings = _meetings(postings, copies.select(F.col("first").alias("doc_id")).distinct())
     wanted = cut(postings.select("doc_id").distinct(), "jaccard-wanted")
     found = cut(_candidates(texts, wanted).dropDuplicates(["doc_id", "members"]), "jaccard-sets")
 

@@ -91,6 +91,42 @@ def test_jaccard(spark, odd, empty, nulls):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.jaccard_components(nulls).collect()) == [(-1, -1), (-1, -1), (3, 3), (3, 3)]
 
 
+def grouped(texts):
+    """The smallest number that links of 0.75 or more reach from each text, all pairs compared."""
+    sets = [shingles(t) for t in texts]
+    near = [[j for j, b in enumerate(sets) if a and b and 4 * len(a & b) >= 3 * len(a | b)] for a in sets]
+    lead = list(range(len(texts)))
+    while (after := [min([lead[i], *(lead[j] for j in near[i])]) for i in range(len(texts))]) != lead:
+        lead = after
+    return lead
+
+
+def stretched(seed, copies):
+    """Texts of rare words, each beside itself extended or cut by 20 to 33 %; with copies, some also by near copies."""
+    rng = random.Random(seed)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(40):
+        w = words(rng.choice([28, 32, 60, 104, 300]))
+        k = round(len(w) * rng.uniform(0.2, 0.33))
+        texts += [" ".join(w), " ".join(w + words(k) if i % 2 else w[: len(w) * 100 // (100 + rng.randrange(20, 34))])]
+        for _ in range(copies if i % 5 == 0 else 0):
+            near = list(w)
+            near[rng.randrange(len(near))] = words(1)[0]
+            texts.append(" ".join(near))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("copies", [0, 12])
+def test_jaccard_extended_and_cut(spark, copies):
+    texts = stretched(5 + copies, copies)
+    lead = grouped(texts)
+    assert sum(i != x for i, x in enumerate(lead)) > 20
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == lead
+
+
 def test_tree_never_loses_a_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**62, rng.integers(5, 60)).astype(np.uint64)) for _ in range(60)]
