@@ -231,6 +231,14 @@ def test_toxicity_counterfactuals(spark, odd):
     assert toxicity.keep_clean(odd, none, 0.6).count() == len(ODD) and Counter(r.score for r in toxicity.toxicity_scores(odd, none).collect()) == {0.5: len(ODD)}
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    texts = stretched(5, 0)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, frame(spark, texts), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(grouped(texts)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
