@@ -317,7 +317,7 @@ def summarize_values(spark, d):
 
 @query(f"WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex WHERE n <= 12) SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1")
 def summarize_intervals(spark, d):
-    text = executions(spark, d).where("n <= 12").groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("t"))
+    text = executions(spark, d).groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("t"))
     return text.select("user_id", summarize.merge_intervals(F.col("t")).alias("intervals"))
 
 

@@ -230,6 +230,15 @@ def test_queries_match_sql(spark):
         assert mine == other, name
 
 
+def test_summarized_intervals_are_whole(spark):
+    from sparkprov.queries import QUERIES
+
+    counts = {r.user_id: r["count"] for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").groupBy("user_id").count().collect()}
+    assert max(counts.values()) > 12
+    got = {r.user_id: r.intervals for r in QUERIES["summarize_intervals"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {u: "<" + ";".join(sorted(f"[{n}.0,{n}.0]" for n in range(1, k + 1))) + ">" for u, k in counts.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
