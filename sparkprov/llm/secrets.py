@@ -1,9 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of [A-Za-z0-9+/_=-] with a digit.  The forest sees its length, shares of
+Candidates are runs of 16 or more characters of [A-Za-z0-9+/_=-]; values of any length and character after a word that
+speaks for a secret and =, : or "is", or after "Bearer" (in quotes: all within; else up to white space, and up to the
+first of ``,;&`` too); and what stands between user: and @host.  Candidates may overlap.  The forest sees its length, shares of
 character classes, transitions between classes, entropy, the share that dictionary words cover, the path it comes from
 and the words around it.  It learns from labelled findings; as the tables have none, ``made_findings`` makes them from a
-seed (keys, tokens and passwords beside numbers, digests, identifiers, paths and encoded prose).
+seed (keys, tokens and passwords beside numbers, digests, identifiers, paths, rules and plain values).
 
 Null and empty texts have no findings; a null path counts as empty; repeated rows give repeated findings; an empty table
 gives an empty result; other columns are ignored.
@@ -24,19 +26,27 @@ from .common import documents
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 NEAR = 40
-#: Words that speak for a secret, words that speak against one, parts of paths that do, and plain words.
+SET = re.compile(r"[=:]+>?(?:\s*[\"']?bearer\s)?|\b(?:is|bearer)\s", re.I)
+NAME = re.compile(r"([\w\-]+)[\"'\]]*\s*$")
+VALUE = re.compile(r"""\s*(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?([^\s"',;&][^\s,;&]*))""")
+RUN = re.compile(r"\S+")
+ENDS = ".,;:)]}>\"'"
+#: Parts of names whose values are candidates, words that speak for a secret, words that speak against one, parts of paths that do, plain words and parts of long ones.
+NAMES = ("token", "secret", "passw", "passphrase", "pwd", "key", "auth", "bearer", "credential", "private", "access")
 FOR = ("token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
 AGAINST = ("sha", "checksum", "commit", "hash", "uuid", "guid", "version", "revision", "build", "example", "sample", "test", "dummy", "etag", "digest", "card", "phone", "order", "invoice")
 PATHS = ("test", "example", "doc", "fixture", "mock", "sample")
 PLAIN = ("the", "and", "for", "with", "from", "data", "file", "name", "user", "test", "time", "this", "that", "main", "list", "item", "page", "image", "index", "value", "table", "config", "server", "client", "report", "static", "module", "function", "request", "response")
 
+SYLLABLES = ("er", "sch", "ber", "tion", "men", "ta", "ver", "ein", "gen", "lo", "qui", "ra", "ment", "ne", "si", "ung", "des", "au")
+
 
 def features(found: str, before: str, after: str, path: str) -> list[float]:
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in found]
     n = len(found)
     counts = np.bincount(kinds, minlength=4) / n
     moves = np.zeros((4, 4))
-    np.add.at(moves, (kinds[:-1], kinds[1:]), 1 / (n - 1))
+    np.add.at(moves, (kinds[:-1], kinds[1:]), 1 / max(n - 1, 1))
     share = np.unique(list(found), return_counts=True)[1] / n
     low, covered, at = found.lower(), np.zeros(n, bool), 0
     for w in PLAIN:
@@ -56,7 +66,8 @@ def features(found: str, before: str, after: str, path: str) -> list[float]:
 def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings: (features, 1 for a secret)."""
     rng = np.random.default_rng(seed)
-    letters = {"hex": "0123456789abcdef", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    letters = {"hex": "0123456789abcdef", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+    letters["any"] = letters["alnum"] + "!#$%^&*?@+-_." * 2
 
     def draw(kind: str, k: int) -> str:
         return "".join(rng.choice(list(letters[kind]), k))
@@ -69,11 +80,17 @@ def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         word, bad = str(rng.choice(FOR)), str(rng.choice(AGAINST))
         path = str(rng.choice(["src/app/settings.py", "deploy/prod.env", "src7", "src12", "notes.txt"]))
         form = f"{prose()} {word} {rng.choice(['=', ':', '= ', ': '])}{rng.choice(['', chr(34), chr(39)])}"
-        kind = int(rng.integers(0, 12))
-        if kind < 5:
+        kind = int(rng.integers(0, 16))
+        if kind in (12, 13):
+            secret = draw("any", int(rng.integers(4, 24))) if rng.random() < 0.7 else str(rng.choice(PLAIN)).title() + draw("digits", int(rng.integers(2, 5))) + str(rng.choice(list("!#$?@")))
+            row = (secret, form if kind == 12 else f"{prose()} {rng.choice(['postgres://', 'https://', 'amqp://', ''])}{rng.choice(PLAIN)}:", '" ' + prose() if kind == 12 else f"@{rng.choice(PLAIN)}.{rng.choice(PLAIN)}/", path)
+        elif kind in (14, 15):
+            plain = str(rng.choice([str(rng.choice(PLAIN)), draw("digits", int(rng.integers(1, 6))), "required", "none", " ".join(map(str, rng.choice(PLAIN, 3))), str(rng.choice(PLAIN)).title() + "."]))
+            if kind == 15:
+                plain = [str(rng.choice(list("=-_/+"))) * int(rng.integers(16, 60)), "".join(str(w).title() for w in rng.choice(PLAIN, 5)), "_".join(map(str, rng.choice(PLAIN, 5))), "-".join(map(str, rng.choice(PLAIN, 5))), str(rng.choice(["a", "x", "ab"])) * 20, "".join(map(str, rng.choice(SYLLABLES, 7))), "".join(map(str, rng.choice(SYLLABLES, 7))).upper()][int(rng.integers(0, 7))]
+            row = (plain, form if kind == 14 or rng.random() < 0.2 else prose() + " ", " " + prose(), path)
+        elif kind < 5:
             secret = [draw("hex", int(rng.choice([32, 40, 64]))), draw("alnum", int(rng.integers(20, 64))), "AKIA" + draw("upper", 16), "ghp_" + draw("alnum", 36), "sk-" + draw("alnum", 48)][kind]
-            if not any(c.isdigit() for c in secret):
-                secret += "7"
             row = (secret, form if kind < 2 or rng.random() < 0.6 else prose() + " ", '" ' + prose(), path)
         else:
             plain = [
@@ -82,7 +99,7 @@ def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray
             ][kind - 5]
             row = (plain, f"{prose()} {bad} {rng.choice(['', '= ', ': '])}" if kind in (6, 7, 11) else prose() + " ", " " + prose(), path if kind != 11 else "tests/fixture.txt")
         rows.append(features(*row))
-        y.append(float(kind < 5))
+        y.append(float(kind < 5 or kind in (12, 13)))
     return np.array(rows), np.array(y)
 
 
@@ -136,14 +153,40 @@ class Forest:
         return total / len(self.trees)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate, every span once, in order."""
+    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    at = end = 0
+    while m := SET.search(text, at):
+        at = m.end()
+        name = NAME.search(text[max(0, m.start() - NEAR) : m.start()])
+        if not (m.group()[-1].isspace() and "bearer" in m.group().lower() or name and any(w in name[1].lower() for w in NAMES)):
+            continue
+        if v := VALUE.match(text, at):
+            a, b = v.span(v.lastindex)
+            at = v.end()
+            if v.lastindex < 3:
+                spans.add((a, b))
+                continue
+            spans.add((a, a + len(text[a:b].rstrip(ENDS)) or b))
+            if a >= end:  # the whole run, once
+                end = RUN.match(text, a).end()
+                spans.add((a, a + len(text[a:end].rstrip(ENDS))))
+    for m in RUN.finditer(text) if "@" in text else ():
+        if "@" not in m.group():
+            continue
+        pieces, start = m.group().split("://"), m.start()
+        for i, piece in enumerate(pieces):
+            a, b = piece.find(":") + 1, piece.rfind("@")
+            if 0 < a < b and (i or len(pieces) == 1):
+                spans.add((start + a, start + b))
+            start += len(piece) + 3
+    return sorted(x for x in spans if x[0] < x[1])
+
+
 def scan_text(text: str, path: str) -> list[tuple[int, int, list[float]]]:
     """(start, length, features) of each candidate."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        found = m.group()
-        if any(c.isdigit() for c in found):
-            out.append((m.start(), len(found), features(found, text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR], path)))
-    return out
+    return [(a, b - a, features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path)) for a, b in candidates(text)]
 
 
 def find_secrets(docs: DataFrame, forest: Forest, path: str = "source", least: float = 0.5) -> DataFrame:
