@@ -400,7 +400,8 @@ def statement_asof(spark, d):
 def file_identity(spark, d):
     from .sources.files import hash_files
 
-    return hash_files(spark, f"{d}/region.parquet").select("hash_type", F.length("hash").alias("n_hex"))
+    d = d.rstrip("/")
+    return hash_files(spark, d).select(F.substring_index("path", f"/{d.rsplit('/', 1)[-1]}/", -1).alias("name"), "hash_type", "hash")
 
 
 @query()

@@ -239,6 +239,17 @@ def test_summarized_intervals_are_whole(spark):
     assert got == {u: "<" + ";".join(sorted(f"[{n}.0,{n}.0]" for n in range(1, k + 1))) + ">" for u, k in counts.items()}
 
 
+def test_file_identity_of_every_table(spark):
+    import hashlib
+    from pathlib import Path
+
+    from sparkprov.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = {r.name: (r.hash_type, r.hash) for r in QUERIES["file_identity"](spark, d).collect()}
+    assert got == {p.name: ("sha256", hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(d).glob("*.parquet")}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
