@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, Shingler, bitmap, blocks, components, cut, documents, in_bitmap, mix, partitions, rows_of, summed
 
 GROUPS = 128
+MOST = (1 << 16) - 1
 CELLS = 1 << 19
 CHUNK = 1 << 13
 LEAF = 32
@@ -51,7 +52,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """Counts by group; ``MOST`` stands for itself or more."""
+    return np.minimum(np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MOST).astype(np.uint16)
+
+
+def unbound(points: np.ndarray) -> np.ndarray:
+    """Points with counts that bound nothing where they stand for more."""
+    points = points.astype(np.int32)
+    points[points == MOST] = np.iinfo(np.int32).max
+    return points
 
 
 class CountTree:
@@ -59,7 +68,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.argsort(sizes, kind="stable")
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.points, self.sizes = unbound(points[self.order]), sizes[self.order]
         self.starts = np.arange(0, len(sizes), LEAF)
         self.top = np.maximum.reduceat(self.points, self.starts, axis=0)
         self.low = self.sizes[self.starts]
@@ -75,6 +84,7 @@ class CountTree:
 
         ``wanted`` marks the places that can be a result; without it all can.
         """
+        p = unbound(p)
         leaves = np.flatnonzero((DEN * n >= NUM * self.low) & (DEN * self.high >= NUM * n))
         if len(leaves):
             leaves = leaves[np.minimum(self.top[leaves], p).sum(1) >= self.need(n, np.maximum(self.low[leaves], -(-NUM * n // DEN)))]
@@ -311,7 +321,7 @@ def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.Re
                 wanted &= half != half[i]
             if not wanted.any():
                 continue
-            at = tree.near(points[i].astype(np.int32), int(sizes[i]), wanted)
+            at = tree.near(points[i], int(sizes[i]), wanted)
             if one_each and len(at) > 1:
                 at = at[np.unique(clusters[at], return_index=True)[1]]
             for k in at:

@@ -137,6 +137,14 @@ def test_tree_never_loses_a_pair():
         assert all(j in near for j in range(len(sets)) if jaccard.linked(s, sets[j]))
 
 
+def test_point_of_a_very_large_set():
+    s = np.arange(70_000, dtype=np.uint64) * np.uint64(jaccard.GROUPS)  # all in one group
+    sets = [s, np.sort(np.append(s[1:], np.uint64(1)))]
+    points = np.array([jaccard.point(x) for x in sets])
+    assert jaccard.linked(*sets) and points[0, 0] == 65535
+    assert 1 in jaccard.CountTree(points, np.array([len(x) for x in sets])).near(points[0].astype(np.int32), len(s))
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
