@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,32 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut, drop, shared_dir  # noqa: F401  for the operators
+
 BLOCK = 1 << 20
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Read from ``spark.checkpoint.dir``.  Where that is unset and Spark runs in this one process (tests), a temporary
-    folder is set; on a cluster it must be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sparkprov-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,17 +62,21 @@ class WordHasher:
     """64-bit hashes of all words of a block of texts at once.
 
     A word is a longest run of bytes that ``space`` doesn't mark; each byte has a random value (``fold`` gives A-Z those
-    of a-z), a word's hash is a polynomial in an odd base, read off a running sum over the block.
+    of a-z), a word's hash is a polynomial in an odd base, read off a running sum over the block.  Polynomials modulo
+    2**64 of long words can be made to collide, so words of more than ``LONG`` bytes take a cryptographic digest instead.
+    A text of any length is read in windows that end at gaps, a word longer than a window by its digest alone.
     """
 
     BASE = 0xD1342543DE82EF95
+    LONG = 64
 
     def __init__(self, fold: bool = True, space: bytes = b" \t\n\x0b\x0c\r"):
         values = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
         if fold:
             values[65:91] = values[97:123]
-        self.values, self.space = values, np.zeros(256, bool)
+        self.values, self.space, self.fold = values, np.zeros(256, bool), fold
         self.space[list(space)] = True
+        self.gap = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in space) + b"]")
         self._powers(BLOCK)
 
     def _powers(self, n: int) -> None:
@@ -111,7 +95,37 @@ class WordHasher:
         starts, ends = flips[0::2], flips[1::2]
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=run[1:])
-        return Words(self, run, starts, ends, np.searchsorted(first, starts, side="right") - 1)
+        words = Words(self, run, starts, ends, np.searchsorted(first, starts, side="right") - 1)
+        for i in np.flatnonzero(ends - starts > self.LONG):
+            words.h[i] = self.digest(data[starts[i] : ends[i]].tobytes())
+        return words
+
+    def digest(self, word: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(word.lower() if self.fold else word, digest_size=8).digest(), "little")
+
+    def windows(self, text: bytes, size: int = BLOCK) -> Iterator[tuple[bytes, bool]]:
+        """The text in pieces that end at gaps; True marks a piece that is one word longer than ``size``."""
+        at = 0
+        while at < len(text):
+            found = self.gap.search(text, at + size)
+            end = found.start() if found else len(text)
+            if end - at > 2 * size:  # a long word stands at the end of the piece
+                word = max((m.end() for m in self.gap.finditer(text, at, at + size)), default=at)
+                if word > at:
+                    yield text[at:word], False
+                yield text[word:end], True
+            else:
+                yield text[at:end], False
+            at = end
+
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words and the number of each one's text; a long text alone is read in windows."""
+        if len(texts) != 1 or len(texts[0]) <= 2 * BLOCK:
+            words = self(texts)
+            return words.h, words.doc
+        pieces = self.windows(texts[0])
+        h = np.concatenate([np.array([self.digest(t)], np.uint64) if word else self([t]).h for t, word in pieces])
+        return h, np.zeros(len(h), np.int64)
 
     def __call__(self, texts: list[bytes]) -> "Words":
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -142,8 +156,7 @@ class Shingler:
         self.k, self.words = k, WordHasher()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = self.words(texts)
-        h, doc = words.h, words.doc
+        h, doc = self.words.hashes(texts)
         n, k = len(texts), self.k
         count = np.bincount(doc, minlength=n)
         first = np.concatenate([[0], np.cumsum(count)])

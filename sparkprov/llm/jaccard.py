@@ -7,38 +7,53 @@ A document's set holds its distinct shingles of five words.  Two documents link
   document a point.  Two points' summed coordinate minima bound the overlap of their sets from above.
 * Points meet in cells: the cell of a shingle that is among the rarest quarter of both sets (any pair at 0.75 shares
   one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.  The rarest shingle a
-  pair shares is among the rarest seventh of the set that isn't larger: only these postings look for partners, and
-  cells without one go.
-* A cell's points are packed into an R-tree (sorted by size, leaves bounded by coordinate maxima and sizes).  Leaf
-  bounds, then point bounds discard pairs; the survivors' whole sets are compared.  Large cells are split into pieces
-  that meet pairwise, so no task holds more than two pieces.
-* Families of near copies are first gathered by verified links to a leader, and cells that then hold one cluster
-  only are done: pairs within a family are never listed.
-
-Null or wordless text has an empty set, size 0, and stays alone.  Of rows with one doc_id each
-gets the component of its own set; a null doc_id gives a null component.  An empty table gives an empty result; other columns are ignored.
+  pair shares is among the rarest seventh of the set that isn't larger: only these postings look for partners, of their
+  set's size to a third more.  Postings without such a partner go, and of cells with the same documents one stays.
+* A large cell's points are packed into an R-tree (slabs by size, leaves by the slab's leading group, boxes of
+  coordinate maxima and size ranges); box bounds, then point bounds discard pairs, and the whole texts of the pairs left
+  are compared.  One tree over all points would bound nothing: in so many dimensions every box overlaps every query.
+* Families of near copies are first gathered by verified links to a leader, then by each cluster's best pair in each
+  cell; pairs within a cluster are never listed.  The last search is exhaustive between the clusters left.
+
+A text's set is its 64-bit hashes and equal sets are those with equal size and equal 128-bit sums: results are exact but
+for collisions of these hashes.  Words of up to 64 bytes have polynomial hashes, longer ones cryptographic digests.
+
+Null or wordless text has an empty set, size 0, and stays alone.  Rows with one doc_id but different texts are nodes of
+their own; a row's component is the smallest doc_id that its set reaches.  A null doc_id gives a null component and
+links nothing.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Shingler, bitmap, blocks, components, cut, documents, in_bitmap, mix, partitions, rows_of, summed
+from .common import U64, Shingler, bitmap, blocks, components, cut, documents, drop, in_bitmap, mix, partitions, rows_of, summed
 
-GROUPS = 128
-MOST = (1 << 16) - 1
+GROUPS = 256
+MOST = (1 << 8) - 1
 CELLS = 1 << 19
 CHUNK = 1 << 13
-LEAF = 32
-PIECE = 1024
-LEADERS = 4
+LEAF, FAN = 32, 16
+PIECE = 4096
+ROWS = 1 << 14
 ROUNDS = 4
+SUB = 8
 NUM, DEN = 3, 4
+#: Bytes of a posting: token, node, set size, whether it looks for partners.
+POSTING = (("token", np.int64), ("node", np.int64), ("n", np.int32), ("small", bool))
+
+
+def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Least overlap of sets of n and m at NUM/DEN."""
+    return -(-NUM * (n + m) // (NUM + DEN))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -53,93 +68,97 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Counts by group; ``MOST`` stands for itself or more."""
-    return np.minimum(np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MOST).astype(np.uint16)
+    return np.minimum(np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MOST).astype(np.uint8)
 
 
-def unbound(points: np.ndarray) -> np.ndarray:
-    """Points with counts that bound nothing where they stand for more."""
-    points = points.astype(np.int32)
-    points[points == MOST] = np.iinfo(np.int32).max
-    return points
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima, row by row; without bound where both counts of a group are ``MOST``."""
+    least = np.minimum(p, q)
+    total = least.sum(-1, dtype=np.int64)
+    return np.where(least.max(-1) == MOST, np.iinfo(np.int64).max, total)
 
 
 class CountTree:
-    """R-tree over count vectors: points in order of size, leaves of LEAF points with coordinate maxima and size range."""
+    """R-tree over count vectors: slabs of FAN leaves by size, in a slab leaves of LEAF points by its leading group.
+
+    The leading group is the one whose counts vary most.  ``discarded`` counts points by the bound that left them out.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        self.points, self.sizes = unbound(points[self.order]), sizes[self.order]
-        self.starts = np.arange(0, len(sizes), LEAF)
-        self.top = np.maximum.reduceat(self.points, self.starts, axis=0)
-        self.low = self.sizes[self.starts]
-        self.high = self.sizes[np.minimum(self.starts + LEAF, len(sizes)) - 1]
-
-    @staticmethod
-    def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Least overlap of sets of n and m at NUM/DEN."""
-        return -(-NUM * (n + m) // (NUM + DEN))
-
-    def near(self, p: np.ndarray, n: int, wanted: np.ndarray | None = None) -> np.ndarray:
-        """Places (in the given order) of the points that may be within reach of point p of size n.
-
-        ``wanted`` marks the places that can be a result; without it all can.
-        """
-        p = unbound(p)
-        leaves = np.flatnonzero((DEN * n >= NUM * self.low) & (DEN * self.high >= NUM * n))
-        if len(leaves):
-            leaves = leaves[np.minimum(self.top[leaves], p).sum(1) >= self.need(n, np.maximum(self.low[leaves], -(-NUM * n // DEN)))]
-        at = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+        order, wide = np.argsort(sizes, kind="stable"), LEAF * FAN
+        for i in range(0, len(order), wide):
+            slab = order[i : i + wide]
+            lead = int(points[slab].astype(np.float32).var(0).argmax())
+            order[i : i + wide] = slab[np.argsort(points[slab, lead], kind="stable")]
+        self.order, self.points, self.sizes = order, points[order], sizes[order]
+        self.slabs, self.leaves = (self._boxes(np.arange(0, len(order), step)) for step in (wide, LEAF))
+        self.discarded: Counter = Counter()
+
+    def _boxes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+
+    def _open(self, boxes: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+        top, low, high = (x[at] for x in boxes)
+        fits = (DEN * n >= NUM * low) & (DEN * high >= NUM * n)
+        at, top, low = at[fits], top[fits], low[fits]
+        return at[overlap_bound(top, p) >= need(n, np.maximum(low, -(-NUM * n // DEN)))]
+
+    def near(self, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the given order) of the points that may be within reach of point p of size n, and their bounds."""
+        slabs = self._open(self.slabs, np.arange(len(self.slabs[1])), p, n)
+        at = (slabs[:, None] * FAN + np.arange(FAN)).ravel()
+        leaves = self._open(self.leaves, at[at < len(self.leaves[1])], p, n)
+        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.sizes)]
-        if wanted is not None:
-            at = at[wanted[self.order[at]]]
+        self.discarded["box"] += len(self.sizes) - len(at)
         m = self.sizes[at]
         fits = DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
         at, m = at[fits], m[fits]
-        return self.order[at[np.minimum(self.points[at], p).sum(1) >= self.need(n, m)]]
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted stream, each as a table."""
-    held: list[pa.Table] = []
-    last = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if not len(t):
-            continue
-        columns = [t.column(k).to_numpy() for k in keys]
-        change = np.zeros(len(t), bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        cuts = np.flatnonzero(change)
-        bounds = [0, *cuts, len(t)]
-        for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
-            if (i or first != last) and held:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(t.slice(x, y - x))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.concat_tables(held)
+        bound = overlap_bound(self.points[at], p)
+        left = bound >= need(n, m)
+        self.discarded["point"] += len(m) - int(left.sum())
+        self.discarded["size"] += int((~fits).sum())
+        return self.order[at[left]], bound[left]
+
+
+def _keyed(docs: DataFrame, salt: int) -> DataFrame:
+    """(node, doc_id, text): the node is the doc_id, or with a salt a hash of doc_id and text."""
+    doc = F.col("doc_id").cast("long")
+    node = F.when(doc.isNotNull(), F.xxhash64(F.lit(salt), doc, "text")) if salt else doc
+    return docs.select(node.alias("node"), doc.alias("doc_id"), "text")
 
 
 def _profile(texts: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, fa, fb): set size and 128-bit set fingerprint; and each task's shingle counts (part, counts)."""
+    """Rows (node, doc_id, n, fa, fb, m0.., point): set size, 128-bit set fingerprint, min-hashes, point; and each
+    task's shingle counts (part, counts)."""
+    names = ["node", "doc_id", "n", "fa", "fb", *(f"m{j}" for j in range(ROUNDS))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(), np.zeros(CELLS, np.int64)
-        none = pa.nulls
-        for ids, block in blocks(rows_of(batches)):
+        rows = ((key, text) for b in batches for key, text in _keys_and_texts(b))
+        for keys, block in blocks(rows):
             sets = shingles(block)
             counts += np.bincount((np.concatenate(sets) >> U64(45)).astype(np.int64), minlength=CELLS)
-            prints = [(mix(s, 1).sum(dtype=np.uint64), mix(s, 2).sum(dtype=np.uint64)) for s in sets]
-            fa, fb = (np.array([p[i] for p in prints], np.uint64).view(np.int64) for i in (0, 1))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa), pa.array(fb), none(n, pa.int32()), none(n, pa.binary())], names=["doc_id", "n", "fa", "fb", "part", "counts"])
+            prints = np.array([[mix(s, salt).sum(dtype=np.uint64) for salt in (1, 2)] for s in sets], np.uint64).view(np.int64)
+            least = np.array([[mix(s, 4 + j).min() if len(s) else 0 for j in range(ROUNDS)] for s in sets], np.uint64).view(np.int64)
+            longs = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            longs += [pa.array(x) for x in (*prints.T, *least.T)]
+            points = pa.array([point(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            none = pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([*longs, points, *none], names=[*names, "point", "part", "counts"])
         parts = [i for i in range(CELLS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([*(none(len(parts), pa.int64()) for _ in range(4)), pa.array(parts, pa.int32()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in parts], pa.binary())], names=["doc_id", "n", "fa", "fb", "part", "counts"])
+        packed = [counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in parts]
+        none = [*(pa.nulls(len(parts), pa.int64()) for _ in names), pa.nulls(len(parts), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=[*names, "point", "part", "counts"])
+
+    kinds = ", ".join(f"{c} long" for c in names)
+    return texts.mapInArrow(scan, f"{kinds}, point binary, part int, counts binary")
 
-    return texts.mapInArrow(scan, "doc_id long, n long, fa long, fb long, part int, counts binary")
+
+def _keys_and_texts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bytes]]:
+    docs = batch.column("doc_id").to_pylist()
+    for doc, (node, text) in zip(docs, rows_of([batch], "node")):
+        yield (node, doc), text
 
 
 def first(s: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
@@ -160,15 +179,27 @@ def rarest(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     no more."""
     n = len(s)
     kept = s[first(s, counts, n - -(-NUM * n // DEN) + 1)]
-    return kept, first(kept, counts, n - int(CountTree.need(n, n)) + 1)
+    return kept, first(kept, counts, n - int(need(n, n)) + 1)
+
+
+def partnered(token: np.ndarray, n: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Marks postings, sorted by token and size, that look for a partner of fitting size or are one."""
+    cell = np.cumsum(np.append(True, token[1:] != token[:-1])[: len(token)]) << 36
+    key = cell + n
+    low = np.searchsorted(key, key, "left")
+    high = np.searchsorted(key, cell + DEN * n.astype(np.int64) // NUM, "right")
+    ask = small & (high - low > 1)
+    step = np.bincount(low[ask], minlength=len(key) + 1) - np.bincount(high[ask], minlength=len(key) + 1)
+    return np.cumsum(step)[: len(key)] > 0
 
 
 def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
-    """(token, doc_id, small) of the rarest quarters, for tokens of two documents at least; ``small`` as marked by rarest.
+    """(token, node, n, small) of the rarest quarters, in cells where sizes let two sets meet; ``small`` as by rarest.
 
-    Tokens whose cell stands out travel as rows of their own, dealt at random; the others packed by bucket.
+    Tokens whose count stands out travel as rows of their own, dealt at random and left whole; the others packed by
+    bucket, of which a task holds one at a time.
     """
-    heavy = counts.mean() + 6 * np.sqrt(counts.mean()) + 500
+    heavy, many = counts.mean() + 6 * np.sqrt(counts.mean()) + 500, parts * SUB
     shared = texts.sparkSession.sparkContext.broadcast((counts, heavy))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,28 +210,28 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if not tokens:
                 return
-            t, m = np.concatenate(tokens), np.concatenate(marks)
-            d = np.repeat(np.array(owners, np.int64), [len(x) for x in tokens])
+            each, m = [len(x) for x in tokens], np.concatenate(marks)
+            t = np.concatenate(tokens)
+            d, n = (np.repeat(np.array(x, np.int64), each) for x in zip(*owners))
             hot = cells[(t >> U64(45)).astype(np.int64)] > most
-            h, o, k = t[hot], d[hot], m[hot]
-            salt = (mix(h ^ mix(o.view(np.uint64))) % U64(parts)).astype(np.int32)
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(h.view(np.int64)), pa.array(o), pa.array(k), pa.nulls(len(h), pa.binary())], names=["bucket", "token", "doc_id", "small", "pack"])
-            t, d, m = t[~hot], d[~hot], m[~hot]
-            bucket = (mix(t, 3) % U64(parts)).astype(np.int32)
+            if hot.any():
+                salt = (mix(t[hot] ^ mix(d[hot].view(np.uint64))) % U64(many)).astype(np.int32)
+                rows = [t[hot].view(np.int64), d[hot], n[hot].astype(np.int32), m[hot]]
+                yield pa.RecordBatch.from_arrays([pa.array(salt), *map(pa.array, rows), pa.nulls(len(salt), pa.binary())], names=["bucket", *(c for c, _ in POSTING), "pack"])
+            bucket = (mix(t, 3) % U64(many)).astype(np.int32)[~hot]
             order = np.argsort(bucket, kind="stable")
-            t, d, m, bucket = t[order].view(np.int64), d[order], m[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(parts + 1))
-            full = [i for i in range(parts) if edges[i] < edges[i + 1]]
-            packs = [b"".join(x[edges[i] : edges[i + 1]].tobytes() for x in (t, d, m)) for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.bool_()), pa.array(packs, pa.binary())], names=["bucket", "token", "doc_id", "small", "pack"])
+            columns = [x[~hot][order].astype(kind, copy=False) if kind != np.int64 else x[~hot][order].view(kind) for x, (_, kind) in zip((t, d, n, m), POSTING)]
+            full, start = np.unique(bucket[order], return_index=True)
+            packs = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(start, [*start[1:], len(order)])]
+            none = [pa.nulls(len(full), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *none, pa.array(packs, pa.binary())], names=["bucket", *(c for c, _ in POSTING), "pack"])
 
-        for ids, block in blocks(rows_of(batches)):
+        for ids, block in blocks(rows_of(batches, "node")):
             for doc, s in zip(ids, shingles(block)):
                 if len(s) and doc is not None:
                     for to, x in zip((tokens, marks), rarest(s, cells)):
                         to.append(x)
-                    owners.append(doc)
+                    owners.append((doc, len(s)))
                     size += len(tokens[-1])
             if size > 1 << 20:
                 yield from flush()
@@ -208,208 +239,331 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, list[bytes]] = {}
+        held: list[bytes] = []
+        last = None
+
+        def cells() -> pa.RecordBatch:
+            width = sum(np.dtype(k).itemsize for _, k in POSTING)
+            columns, at = [], 0
+            for _, kind in POSTING:
+                columns.append(np.concatenate([np.frombuffer(x, kind, len(x) // width, at * (len(x) // width)) for x in held]))
+                at += np.dtype(kind).itemsize
+            held.clear()
+            order = np.lexsort((columns[2], columns[0]))
+            t, d, n, m = (x[order] for x in columns)
+            kept = partnered(t, n, m)
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (t, d, n, m)], names=[c for c, _ in POSTING])
+
         for b in batches:
-            light = []
-            for bucket, pack in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
-                light.append(pack is None)
-                if pack is not None:
-                    packs.setdefault(bucket, []).append(pack)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3)], names=["token", "doc_id", "small"]).filter(pa.array(light, pa.bool_()))
-        while packs:
-            held = [(x, len(x) // 17) for x in packs.popitem()[1]]  # 8 bytes of token, 8 of doc_id, 1 of small
-            t, d = (np.concatenate([np.frombuffer(x, np.int64, n, at * n) for x, n in held]) for at in (0, 8))
-            m = np.concatenate([np.frombuffer(x, bool, n, 16 * n) for x, n in held])
-            order = np.argsort(t, kind="stable")
-            t, d, m = t[order], d[order], m[order]
-            same = t[1:] == t[:-1]
-            twice = np.zeros(len(t), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(t[twice]), pa.array(d[twice]), pa.array(m[twice])], names=["token", "doc_id", "small"])
-
-    sent = texts.mapInArrow(send, "bucket int, token long, doc_id long, small boolean, pack binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "token long, doc_id long, small boolean")
-
-
-def _candidates(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, m0.., point, members) of the wanted documents: a bitmap of fixed size, then an exact join."""
-    marks = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id"))
+            packs = b.column("pack")
+            light = packs.is_null()
+            yield b.select([c for c, _ in POSTING]).filter(light)
+            for bucket, pack in zip(b.column("bucket").to_pylist(), packs.to_pylist()):
+                if pack is None:
+                    continue
+                if bucket != last and held:
+                    yield cells()
+                held.append(pack)
+                last = bucket
+        if held:
+            yield cells()
+
+    kinds = "token long, node long, n int, small boolean"
+    sent = texts.select("node", "text").mapInArrow(send, f"bucket int, {kinds}, pack binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, kinds)
+
+
+def _cells(postings: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(token, node, n, small): postings of one node a set; of cells with the same postings one stays.
+
+    Cells are told apart by the exclusive or of their postings' hashes, 128 bits.
+    """
+    held = cut(postings.join(firsts, "node", "left_semi").distinct(), "jaccard-held")
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node", "small")).alias(c) for salt, c in enumerate("xy")]
+    met = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("any"), *marks).where("k > 1 AND any")
+    met = met.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    out = cut(held.join(met, "token", "left_semi"), "jaccard-cells")
+    drop(held)
+    return out
+
+
+def _picked(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``table`` that may be of the nodes: a bitmap of fixed size; an exact join has to follow."""
+    marks = table.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        for b in batches:
+            b = b.filter(b.column("node").is_valid())
+            ids = b.column("node").to_numpy(zero_copy_only=False)
+            if len(ids):
+                yield b.filter(pa.array(in_bitmap(marks.value, ids)))
 
-        def chosen() -> Iterator[tuple[object, bytes]]:
-            for b in batches:
-                b = b.filter(b.column(0).is_valid())
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                if len(ids):
-                    yield from rows_of([b.filter(pa.array(in_bitmap(marks.value, ids)))])
+    return table.mapInArrow(read, table.schema)
 
-        for ids, block in blocks(chosen()):
-            sets = shingles(block)
-            least = [[int(mix(s, 4 + j).min().view(np.int64)) if len(s) else 0 for s in sets] for j in range(ROUNDS)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in least), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", *(f"m{j}" for j in range(ROUNDS)), "point", "members"],
-            )
-
-    kinds = ", ".join(["doc_id long", "n long", *(f"m{j} long" for j in range(ROUNDS)), "point binary", "members binary"])
-    return texts.mapInArrow(read, kinds).join(wanted, "doc_id", "left_semi")
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each group of up to PIECE sets sharing a key: (doc_id, leader) of those verified against a leader."""
-    for t in grouped(batches, ["key", "piece"]):
-        if len(t) < 2:
-            continue
-        ids = t.column("doc_id").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
-        left, docs, heads = list(np.argsort(ids)), [], []
-        for _ in range(LEADERS):
-            if len(left) < 2:
-                break
-            head, rest = left[0], []
-            for i in left[1:]:
-                if linked(sets[head], sets[i]):
-                    docs.append(ids[i])
-                    heads.append(ids[head])
-                else:
-                    rest.append(i)
-            left = rest
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int64())], names=["doc_id", "leader"])
-
-
-def _gather(found: DataFrame) -> DataFrame:
-    """(doc_id, cluster): near copies under a leader.  Each round groups the leaders left by another min-hash.
-
-    This saves work later and decides nothing: sets that no round brings together stay clusters of their own.
-    """
-    parts = partitions(found.sparkSession)
-    clusters = found.select("doc_id", F.col("doc_id").alias("cluster"))
-    for j in range(ROUNDS):
-        left = clusters.where("doc_id = cluster").select("doc_id")
-        keys = found.select("doc_id", F.col(f"m{j}").alias("key")).join(left, "doc_id", "left_semi")
-        many = keys.groupBy("key").count().where("count > 1").withColumn("pieces", F.ceil(F.col("count") / PIECE).cast("int"))
-        dealt = keys.join(many, "key").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).alias("piece"))
-        sets = dealt.join(found.select("doc_id", "members"), "doc_id")
-        heads = cut(sets.repartition(parts, "key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_lead, "doc_id long, leader long"), "jaccard-leaders")
-        clusters = cut(clusters.join(heads.withColumnRenamed("doc_id", "cluster"), "cluster", "left").select("doc_id", F.coalesce("leader", "cluster").alias("cluster")), "jaccard-clusters")
-    return clusters
+
+def _packed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, z): the whole texts of the nodes, compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3).compress
+        for b in batches:
+            z = [press(t) for _, t in rows_of([b], "node")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(z, pa.binary())], names=["node", "z"])
+
+    found = _picked(texts.select("node", "text"), nodes).mapInArrow(pack, "node long, z binary")
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("z").alias("z"))
 
 
-def _search(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different clusters that the bounds of a cell's R-tree leave; ``one_each``: one a document and cluster.
+def _stars(points: DataFrame) -> DataFrame:
+    """(a, b): each node with the least node of the same min-hash, if their points and sizes let them link.
 
-    Only postings marked ``small`` look for partners, of their set's size or more.
+    This saves work later and decides nothing: sets that no min-hash brings together stay clusters of their own.
     """
-    seen: set[tuple[int, int]] = set()
-    for t in grouped(batches, ["token", "p", "q"]):
-        if len(t) < 2:
-            continue
-        docs, clusters, sizes, half = (t.column(c).to_numpy() for c in ("doc_id", "cluster", "n", "half"))
-        askers = np.flatnonzero(t.column("small").to_numpy())
-        if not len(askers):
-            continue
-        split = t.column("p")[0].as_py() != t.column("q")[0].as_py()
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
-        tree = CountTree(points, sizes)
-        left, right = [], []
-        for i in askers:
-            wanted = (clusters != clusters[i]) & (sizes >= sizes[i])
-            if split:
-                wanted &= half != half[i]
-            if not wanted.any():
-                continue
-            at = tree.near(points[i], int(sizes[i]), wanted)
-            if one_each and len(at) > 1:
-                at = at[np.unique(clusters[at], return_index=True)[1]]
-            for k in at:
-                x, y = (clusters[i], clusters[k]) if one_each else (docs[i], docs[k])
-                pair = (int(min(x, y)), int(max(x, y)))
-                if pair not in seen:
-                    if len(seen) < 1 << 20:
-                        seen.add(pair)
-                    left.append(max(docs[i], docs[k]))
-                    right.append(min(docs[i], docs[k]))
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
-def _meetings(postings: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(token, doc_id, small): postings of one document a set, in cells where a pair can meet.
-
-    A pair meets in the cell of its rarest common token, which ``small`` marks for the set that isn't larger; so a cell
-    without a marked posting, or with one only, is no meeting.
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("m")) for j in range(ROUNDS))))
+    keys = points.select("node", "n", each.alias("key")).select("node", "n", "key.j", "key.m")
+    leads = keys.groupBy("j", "m").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pairs = keys.join(leads, ["j", "m"]).where("node <> lead.node").where(DEN * F.least("n", "lead.n") >= NUM * F.greatest("n", "lead.n"))
+    pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    sides = [points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in "ab"]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in (b.slice(i, ROWS) for i in range(0, len(b), ROWS)):
+                p, q = (_points(t.column(c)) for c in ("pa", "pb"))
+                n, m = (t.column(c).to_numpy() for c in ("na", "nb"))
+                yield t.select(["a", "b"]).filter(pa.array(overlap_bound(p, q) >= need(n, m)))
+
+    return pairs.join(sides[1], "b").join(sides[0], "a").mapInArrow(bound, "a long, b long")
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
+def _meetings(cells: DataFrame, clusters: DataFrame, points: DataFrame) -> DataFrame:
+    """Postings of the cells with several clusters, with their points, by meeting (token, p, q).
+
+    A cell of more than PIECE postings is dealt to pieces, its main cluster's apart from the others'; pieces of the main
+    cluster meet those of the others, and the others' meet each other.  ``own`` is a posting's piece.
     """
-    held = cut(postings.join(firsts, "doc_id").distinct(), "jaccard-held")
-    met = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("any")).where("k > 1 AND any").select("token")
-    return cut(held.join(met, "token", "left_semi"), "jaccard-meetings")
+    held = cells.join(clusters, "node")
+    each = held.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    mixed = each.groupBy("token").agg(F.sum("c").alias("k"), F.max(F.struct("c", "cluster")).alias("main"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    whole = F.col("k") <= PIECE
+
+    def pieces(c: Column) -> Column:
+        return F.when(whole, 1).otherwise(F.ceil(c / PIECE)).cast("int")
 
+    mixed = mixed.select("token", F.col("main.cluster").alias("main"), whole.alias("whole"), pieces(F.col("main.c")).alias("mine"), pieces(F.col("k") - F.col("main.c")).alias("others"))
+    rows = held.join(mixed, "token").withColumn("main", ~F.col("whole") & (F.col("cluster") == F.col("main")))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mine")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("whole"), 0).when(F.col("main"), at).otherwise(F.col("mine") + at))
+    before, after = F.sequence(F.lit(0), F.col("mine") - 1), F.sequence(F.col("mine"), F.col("mine") + F.col("others") - 1)
+    others = F.when(F.col("whole"), F.array(F.lit(0))).when(F.col("main"), after).otherwise(F.concat(before, after))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "small", "cluster")
+    return rows.join(points.select("node", "point"), "node")
 
-def _cells(postings: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
-    """Postings of the cells with several clusters, large cells in pieces that meet pairwise."""
-    held = postings.join(clusters, "doc_id")
-    mixed = held.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-    mixed = mixed.select("token", F.ceil(F.col("k") / PIECE).cast("int").alias("pieces"))
-    rows = held.join(mixed, "token").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least("half", o).alias("p"), F.greatest("half", o).alias("q")))
-    rows = rows.withColumn("meet", F.explode(meet)).select("token", "doc_id", "small", "cluster", "half", F.col("meet.p").alias("p"), F.col("meet.q").alias("q"))
-    return rows.join(found.select("doc_id", "n", "point"), "doc_id")
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A stream sorted by ``keys`` as tables of whole groups, of about ROWS rows; and where the groups begin."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        change = np.zeros(len(t), bool)
+        change[:1] = True
+        for k in keys:
+            c = t.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(change)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for b in (whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)):
+            held.append(b)
+            size += len(b)
+            if size >= ROWS:
+                t = pa.Table.from_batches(held)
+                at = starts(t)
+                if len(at) > 1:
+                    yield t.slice(0, int(at[-1])), at[:-1]
+                    t = t.slice(int(at[-1])).combine_chunks()
+                held, size = t.to_batches(), len(t)
+    if size:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
+def _fitting(n: np.ndarray, small: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, k) of rows of one group, sorted by group and size: i looks for partners, k is as large to a third more."""
+    key = (group.astype(np.int64) << 36) + n
+    low = np.searchsorted(key, key, "left")
+    high = np.searchsorted(key, (group.astype(np.int64) << 36) + DEN * n.astype(np.int64) // NUM, "right")
+    ask = np.flatnonzero(small)
+    many = (high - low)[ask]
+    i = np.repeat(ask, many)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[ask], many)
+    return i, k
+
+
+def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes in different clusters that the bounds leave: (a, b, cluster of the one that asks, tightness).
+
+    All of them if ``every``, else the tightest of each meeting and asking cluster.  Cells that would fill one leaf
+    compare points directly, several cells at once and each pair once.
+    """
+    for t, starts in _runs(batches, ["token", "p", "q"]):
+        group = np.zeros(len(t), np.int64)
+        group[starts[1:]] = 1
+        group = np.cumsum(group)
+        n = t.column("n").to_numpy().astype(np.int64)
+        order = np.lexsort((n, group))
+        t, n, group = t.take(pa.array(order)), n[order], group[order]
+        node, cluster, small, own, p, q = (t.column(c).to_numpy() for c in ("node", "cluster", "small", "own", "p", "q"))
+        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        apart = p != q
+        sizes = np.bincount(group)
+        direct = sizes[group] <= LEAF
+        found = []
+        i, k = _fitting(n, small & direct, group)
+        ok = (cluster[i] != cluster[k]) & (~apart[i] | (own[i] != own[k]))
+        i, k = i[ok], k[ok]
+        if every:  # a pair that meets in several cells is bounded once
+            low, high = np.minimum(node[i], node[k]), np.maximum(node[i], node[k])
+            once = np.lexsort((high, low))
+            fresh = np.append(True, (low[once][1:] != low[once][:-1]) | (high[once][1:] != high[once][:-1]))[: len(once)]
+            i, k = i[once[fresh]], k[once[fresh]]
+        for x in range(0, len(i), ROWS):
+            a, b = i[x : x + ROWS], k[x : x + ROWS]
+            bound = overlap_bound(points[a], points[b])
+            left = bound >= need(n[a], n[b])
+            found.append((a[left], b[left], bound[left]))
+        for g in np.flatnonzero(sizes > LEAF):
+            at = np.flatnonzero(group == g)
+            tree = CountTree(points[at], n[at])
+            for a in at[small[at]]:
+                near, bound = tree.near(points[a], int(n[a]))
+                b = at[near]
+                ok = (cluster[b] != cluster[a]) & (n[b] >= n[a])
+                if apart[a]:
+                    ok &= own[b] != own[a]
+                if not every and ok.any():  # the tightest of these is enough
+                    ok &= np.arange(len(b)) == np.flatnonzero(ok)[bound[ok].argmax()]
+                found.append((np.full(int(ok.sum()), a), b[ok], bound[ok]))
+        i, k, bound = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in range(3))
+        tight = np.minimum(bound / np.maximum(n[i] + n[k], 1), 1.0)
+        if not every:
+            order = np.lexsort((node[k], node[i], -tight, cluster[i], group[i]))
+            i, k, tight = i[order], k[order], tight[order]
+            best = np.append(True, (cluster[i][1:] != cluster[i][:-1]) | (group[i][1:] != group[i][:-1]))[: len(i)]
+            i, k, tight = i[best], k[best], tight[best]
+        if len(i):
+            columns = [np.minimum(node[i], node[k]), np.maximum(node[i], node[k]), cluster[i], tight]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "asks", "tight"])
+
+
+def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose whole texts' sets link."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    texts = _picked(packed, wanted)
 
-def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, open_ = Shingler(), zstandard.ZstdDecompressor().decompress
+
+        def verdicts(rows: list[tuple]) -> pa.RecordBatch:
+            some = {a: x for a, _, x, _ in rows} | {b: x for _, b, _, x in rows}
+            sets = {}
+            for keys, block in blocks((k, open_(x)) for k, x in some.items()):
+                sets.update(zip(keys, shingles(block)))
+            ok = [(a, b) for a, b, _, _ in rows if linked(sets[a], sets[b])]
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in ok], pa.int64()) for c in range(2)], names=["a", "b"])
+
+        held, size = [], 0
         for b in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for i in range(0, len(b), 64):
+                for row in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                    held.append(row)
+                    size += len(row[2]) + len(row[3])
+                    if size > 1 << 19:
+                        yield verdicts(held)
+                        held, size = [], 0
+        if held:
+            yield verdicts(held)
 
-    sets = found.select("doc_id", "members")
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return both.mapInArrow(test, "a long, b long")
+    both = pairs.join(texts.toDF("b", "zb"), "b").join(texts.toDF("a", "za"), "a").select("a", "b", "za", "zb")
+    return both.mapInArrow(test, "a long, b long").distinct()
 
 
 def _merge(clusters: DataFrame, links: DataFrame) -> DataFrame:
-    """Clusters joined by links between documents."""
+    """Clusters joined by links between nodes."""
     ends = links.join(clusters.toDF("a", "ca"), "a").join(clusters.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     joined = components(ends, "jaccard-cc").toDF("cluster", "into")
-    return cut(clusters.join(joined, "cluster", "left").select("doc_id", F.coalesce("into", "cluster").alias("cluster")), "jaccard-merged")
+    return cut(clusters.join(joined, "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")), "jaccard-clusters")
+
+
+def _clusters(cells: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, cluster) of every node that stands in a cell: the least node that links reach."""
+    parts = partitions(cells.sparkSession)
+    nodes = cut(cells.select("node").distinct(), "jaccard-nodes")
+    points = _picked(rows.select("node", "n", *(f"m{j}" for j in range(ROUNDS)), "point"), nodes)
+    points = cut(points.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-points")
+    packed = cut(_packed(texts, nodes), "jaccard-texts")
+    clusters = cut(nodes.select("node", F.col("node").alias("cluster")), "jaccard-clusters")
+
+    def gathered(pairs: DataFrame) -> DataFrame | None:
+        links = cut(_verified(pairs, packed), "jaccard-links")
+        out = None if links.isEmpty() else _merge(clusters, links)
+        drop(links, *([] if out is None else [clusters]))
+        return out
+
+    stars = cut(_stars(points), "jaccard-pairs")
+    if not stars.isEmpty():
+        clusters = gathered(stars) or clusters
+    drop(stars)
+    for every in (False, False, True):
+        met = _meetings(cells, clusters, points).repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
+        pairs = met.mapInArrow(lambda b, all_=every: _search(b, all_), "a long, b long, asks long, tight double")
+        if not every:  # one a cluster; the last search lists what is left
+            pairs = pairs.groupBy("asks").agg(F.max(F.struct("tight", "a", "b")).alias("best")).select("best.a", "best.b")
+        pairs = cut(pairs.select("a", "b").distinct(), "jaccard-pairs")
+        if pairs.isEmpty():
+            drop(pairs)
+            break
+        clusters = gathered(pairs) or clusters
+        drop(pairs)
+    drop(nodes, points, packed)
+    return clusters
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per document."""
     spark = docs.sparkSession
-    parts = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = cut(_profile(texts), "jaccard-profile")
-    rows = profile.where("n IS NOT NULL").select("doc_id", "n", "fa", "fb")
-    counts = summed(profile.where("part IS NOT NULL"), CELLS, CHUNK)
-    postings = cut(_postings(texts, counts, parts), "jaccard-postings")
-
-    # copies: one document stands for each set
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL")
-    copies = cut(sets.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("first")), "jaccard-copies")
-    postings = _meetings(postings, copies.select(F.col("first").alias("doc_id")).distinct())
-    wanted = cut(postings.select("doc_id").distinct(), "jaccard-wanted")
-    found = cut(_candidates(texts, wanted).dropDuplicates(["doc_id", "members"]), "jaccard-sets")
-
-    clusters = _gather(found.dropDuplicates(["doc_id"]))
-    for one_each in (True, False):
-        cells = _cells(postings, clusters, found)
-        cells = cells.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
-        pairs = cut(cells.mapInArrow(lambda b, one=one_each: _search(b, one), "a long, b long").distinct(), "jaccard-pairs")
-        if pairs.isEmpty():
+    for salt in count():
+        texts = _keyed(docs, salt)
+        profile = cut(_profile(texts), "jaccard-profile")
+        rows = profile.where("n IS NOT NULL").drop("part", "counts")
+        sets = rows.where("n > 0 AND node IS NOT NULL")
+        copies = cut(sets.groupBy("fa", "fb", "n", "node").agg(F.min("doc_id").alias("low")), "jaccard-copies")
+        if copies.groupBy("node").count().where("count > 1").isEmpty():
             break
-        links = cut(_verified(pairs, found), "jaccard-links")
-        if not links.isEmpty():
-            clusters = _merge(clusters, links.distinct())
+        drop(profile, copies)  # one node with two sets: other nodes
+    firsts = cut(copies.groupBy("fa", "fb", "n").agg(F.min("node").alias("node"), F.min("low").alias("low")), "jaccard-firsts")
+    counts = summed(profile.where("part IS NOT NULL").select("part", "counts"), CELLS, CHUNK)
+    postings = cut(_postings(texts, counts, partitions(spark)), "jaccard-postings")
+    cells = _cells(postings, firsts.select("node"))
+    drop(postings, copies)
+    clusters = _clusters(cells, sets, texts)
+    drop(cells)
 
     # every distinct set's component, then every row's
-    nodes = copies.select("fa", "fb", "n", "first").join(clusters.toDF("first", "cluster"), "first", "left").withColumn("cluster", F.coalesce("cluster", "first"))
-    out = rows.join(nodes.toDF("_first", "_fa", "_fb", "_n", "cluster"), (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") == F.col("_n")), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cluster", "doc_id")).alias("cluster"))
-    lowest = out.where("doc_id IS NOT NULL").groupBy("cluster").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("cluster", "_c")
-    return out.join(lowest, F.col("cluster") == F.col("_c"), "left").select("doc_id", "n_shingles", "component_id")
+    nodes = firsts.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    lowest = nodes.groupBy("cluster").agg(F.min("low").alias("component"))
+    found = nodes.join(lowest, "cluster").select("fa", "fb", "n", "component")
+    inside = F.col("n") > 0
+    out = rows.where(inside).join(found, ["fa", "fb", "n"], "left").select("doc_id", "n", "component")
+    out = out.union(rows.where(~inside).select("doc_id", "n", F.lit(None).cast("long")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -422,4 +576,21 @@ def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES, SQL = {"op3_jaccard": op3_jaccard}, {}
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+members AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes o ON o.doc_id = b WHERE 100 * c >= 75 * (m.n + o.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, low AS component_id
+FROM sizes JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id
+"""
+QUERIES, SQL = {"op3_jaccard": op3_jaccard}, {"op3_jaccard": OP3_SQL}

@@ -38,7 +38,7 @@ def nulls(spark):
     return spark.createDataFrame([(None, None, None, None, None, None, None), (None, "a b c", None, None, None, None, None), (3, "a b c", None, None, None, None, None), (3, "a b c", None, None, None, None, None)], SCHEMA)
 
 
-@pytest.mark.parametrize("name, module", [("op1_mixing", mixing), ("op4_exact_dedup", exact_dedup)])
+@pytest.mark.parametrize("name, module", [("op1_mixing", mixing), ("op3_jaccard", jaccard), ("op4_exact_dedup", exact_dedup)])
 def test_sql(spark, name, module):
     mine, other = against_duckdb(module.QUERIES[name](spark, SF), module.SQL[name], SF)
     assert mine == other
@@ -131,18 +131,58 @@ def test_tree_never_loses_a_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**62, rng.integers(5, 60)).astype(np.uint64)) for _ in range(60)]
     sets += [np.sort(np.append(s[1:], rng.integers(0, 2**62, 1).astype(np.uint64))) for s in sets]
+    sets *= 8  # more than one slab
     tree = jaccard.CountTree(np.array([jaccard.point(s) for s in sets]), np.array([len(s) for s in sets]))
-    for i, s in enumerate(sets):
-        near = set(tree.near(jaccard.point(s).astype(np.int32), len(s)))
-        assert all(j in near for j in range(len(sets)) if jaccard.linked(s, sets[j]))
+    for i, s in enumerate(sets[:120]):
+        near, bound = tree.near(jaccard.point(s), len(s))
+        assert set(near) >= {j for j in range(len(sets)) if jaccard.linked(s, sets[j])}
+        assert all(b >= len(np.intersect1d(s, sets[j])) for j, b in zip(near, bound))
+    assert tree.discarded["box"] > 0
 
 
 def test_point_of_a_very_large_set():
-    s = np.arange(70_000, dtype=np.uint64) * np.uint64(jaccard.GROUPS)  # all in one group
+    s = np.arange(1_000, dtype=np.uint64) * np.uint64(jaccard.GROUPS)  # all in one group
     sets = [s, np.sort(np.append(s[1:], np.uint64(1)))]
     points = np.array([jaccard.point(x) for x in sets])
-    assert jaccard.linked(*sets) and points[0, 0] == 65535
-    assert 1 in jaccard.CountTree(points, np.array([len(x) for x in sets])).near(points[0].astype(np.int32), len(s))
+    assert jaccard.linked(*sets) and points[0, 0] == jaccard.MOST
+    assert 1 in jaccard.CountTree(points, np.array([len(x) for x in sets])).near(points[0], len(s))[0]
+
+
+def test_jaccard_nodes_are_sets(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, a), (5, b), (6, a), (3, b), (None, a)]
+    got = jaccard.jaccard_components(spark.createDataFrame([(i, t, "en", None, 0, "x", 1) for i, t in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id or -1, r.component_id or -1) for r in got)) == [(-1, -1), (3, 3), (5, 3), (5, 5), (6, 5)]
+
+
+def test_jaccard_meetings_of_a_large_cell(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", 6)
+    cells = [(1, i, 10, True) for i in range(40)]
+    for main in (40, 30, 3):  # nodes of the main cluster
+        clusters = [(i, 0 if i < main else i) for i in range(40)]
+        make = spark.createDataFrame
+        points = make([(i, b"") for i in range(40)], "node long, point binary")
+        met = jaccard._meetings(make(cells, "token long, node long, n int, small boolean"), make(clusters, "node long, cluster long"), points).collect()
+        groups = {}
+        for r in met:
+            groups.setdefault((r.p, r.q), []).append(r)
+        pairs = Counter((min(x.node, y.node), max(x.node, y.node)) for g in groups.values() for x in g for y in g if x.node < y.node and x.cluster != y.cluster and (x.p == x.q or x.own != y.own))
+        assert set(pairs) == {(i, j) for i in range(40) for j in range(i + 1, 40) if j >= main} and all(len(g) <= 30 for g in groups.values())
+
+
+def test_words_of_long_texts():
+    from sparkprov.llm.common import BLOCK, Shingler, WordHasher
+
+    rng = random.Random(3)
+    words = [("w%d" % rng.randrange(10**6)).encode() for _ in range(400_000)]
+    long = b" ".join(words)
+    hasher = WordHasher()
+    assert len(long) > 2 * BLOCK and (hasher.hashes([long])[0] == hasher([long]).h).all()
+    giant = b"a b " + b"X" * (3 * BLOCK) + b" c"
+    other = b"a b " + b"x" * (3 * BLOCK) + b" c"
+    assert (hasher.hashes([giant])[0] == hasher.hashes([other])[0]).all() and len(hasher.hashes([giant])[0]) == 4
+    fifty = b"word " * 10_000_000
+    assert len(Shingler()([fifty])[0]) == 1
 
 
 def test_components(spark):
