@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from ..settings import setting
+from .plugins import converted, routed
 
 #: Attributes that are taken besides an object's own dictionary.
 METADATA = ("units", "shape", "dtype", "t_start", "t_stop", "id", "nix_name", "dimensionality", "pid", "create_time")
@@ -19,6 +20,17 @@ def type_name(obj) -> str:
     return f"{type(obj).__module__}.{type(obj).__qualname__}"
 
 
+def ordered(obj):
+    """The object, sets as sorted lists with a mark: their order differs between sessions."""
+    if isinstance(obj, (set, frozenset)):
+        return (type(obj).__name__, sorted((ordered(x) for x in obj), key=repr))
+    if type(obj) in (list, tuple):
+        return type(obj)(map(ordered, obj))
+    if type(obj) is dict:
+        return {k: ordered(v) for k, v in obj.items()}
+    return obj
+
+
 class ObjectInformation:
     """Describes objects; hashes are remembered by id as long as this lives (one call's inputs, another's outputs)."""
 
@@ -37,10 +49,11 @@ class ObjectInformation:
         elif members and all(type(m).__module__.split(".")[0] in builtin for m in members):
             found = (str(hash(tuple(members))), "Python_hash")
         elif isinstance(obj, DataFrame):
-            found = (format(obj.semanticHash() & 0xFFFFFFFF, "08x"), "plan_hash")
+            plan = obj._jdf.queryExecution().analyzed().canonicalized().toString()
+            found = (hashlib.sha1(f"{obj.schema.simpleString()}\n{plan}".encode()).hexdigest(), "plan_sha1")
         else:
             try:
-                data = cloudpickle.dumps(obj)
+                data = cloudpickle.dumps(ordered(obj))
             except Exception:  # open handles, sessions: what can't be pickled is told apart by its repr
                 data = repr(obj).encode()
             found = (hashlib.sha1(data).hexdigest(), "content_sha1")
@@ -63,12 +76,23 @@ class ObjectInformation:
                     details[name] = getattr(obj, name)
                 except Exception:
                     continue
-        value = obj if isinstance(obj, (str, bool, int, float, complex)) or type(obj).__module__ == "numpy" and getattr(obj, "shape", None) == () else str(obj) if kind in setting("store_values") else None
-        return {"kind": "object", "hash": digest, "hash_method": method, "type": kind, "details": {k: literal(v) for k, v in details.items()}, "value": None if value is None else literal(value)}
+        scalar = isinstance(obj, (str, bool, int, float, complex)) or type(obj).__module__ == "numpy" and getattr(obj, "shape", None) == ()
+        value = obj if scalar else str(obj) if kind in setting("store_values") else None
+        found = routed(kind, details)
+        return {
+            "kind": "object",
+            "hash": digest,
+            "hash_method": method,
+            "type": kind,
+            "details": {k: literal(v) for k, v in found["attributes"].items()},
+            "annotations": {k: literal(v) for k, v in found["annotations"].items()},
+            "value": None if value is None else literal(value),
+        }
 
 
 def literal(v) -> tuple[str, str]:
-    """(text, xsd type) of a value."""
+    """(text, xsd type) of a value, converted first."""
+    v = converted(v)
     if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
         return str(bool(v)).lower(), "boolean"
     if isinstance(v, int) or type(v).__name__.startswith(("int", "uint")) and type(v).__module__ == "numpy":

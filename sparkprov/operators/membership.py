@@ -31,10 +31,17 @@ def condense(nodes: DataFrame, edges: DataFrame, preserve=()) -> tuple[DataFrame
     gone = cut(gone, "condense-gone")
     edges = cut(edges, "condense-edges")
     flag = gone.select(F.col("id").alias("dst"), F.lit(True).alias("out"))
-    front = cut(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(flag, "dst").select("src", F.col("dst").alias("via"), F.coalesce("label", F.lit("")).alias("label")), "condense-front")
-    found = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "membership", "label")
-    inner = cut(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(flag, "dst", "left").select(F.col("src").alias("via"), "dst", F.coalesce("label", F.lit("")).alias("next"), F.coalesce("out", F.lit(False)).alias("out")), "condense-inner")
+    front = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(flag, "dst")
+    front = cut(front.select("src", F.col("dst").alias("via"), F.coalesce("label", F.lit("")).alias("label")), "condense-front")
+    found = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    found = found.select("src", "dst", "membership", "label")
+    inner = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(flag, "dst", "left")
+    next_ = F.coalesce("label", F.lit("")).alias("next")
+    inner = cut(inner.select(F.col("src").alias("via"), "dst", next_, F.coalesce("out", F.lit(False)).alias("out")), "condense-inner")
+    most, rounds = gone.count(), 0
     while not front.isEmpty():
+        if (rounds := rounds + 1) > most:  # a path without repeats has no more steps
+            raise ValueError("memberships form a cycle")
         on = front.join(inner, "via").select("src", "dst", F.concat("label", "next").alias("label"), "out")
         found = found.unionByName(on.where("NOT out").select("src", "dst", F.lit(True).alias("membership"), "label"))
         front = cut(on.where("out").select("src", F.col("dst").alias("via"), "label").distinct(), "condense-front")
@@ -42,6 +49,25 @@ def condense(nodes: DataFrame, edges: DataFrame, preserve=()) -> tuple[DataFrame
     return nodes.join(gone, "id", "left_anti"), edges
 
 
+def subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that stand in a membership, and all edges between them."""
+    held = edges.where("membership")
+    ids = held.select(F.col("src").alias("id")).union(held.select("dst")).distinct()
+    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes.join(ids, "id", "left_semi"), inside.select(*edges.columns)
+
+
+def levels(tops: DataFrame, memberships: DataFrame, depth: int) -> DataFrame:
+    """(top, node, level): what containers (id) hold, level by level to ``depth``; level 0 is the container itself."""
+    at = tops.select(F.col("id").alias("top"), F.col("id").alias("node"), F.lit(0).alias("level"))
+    below = memberships.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    out = at
+    for n in range(1, depth + 1):
+        at = at.join(below, "node").select("top", F.col("next").alias("node"), F.lit(n).alias("level"))
+        out = out.unionByName(at)
+    return out
+
+
 def interval_text(orders) -> F.Column:
     """<[a,a];[b,b]> of an array of execution orders."""
     piece = F.transform(F.array_sort(orders), lambda x: F.format_string("[%.1f,%.1f]", x.cast("double"), x.cast("double")))

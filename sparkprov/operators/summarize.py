@@ -2,45 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import inspect
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, drop
 
 
 def refine(groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """Split groups (id, g) until the members of each have edges to the same groups: (groups, rounds).
 
-    Each round all groups split at once.  The set of groups a node reaches is held as its size and two sums of hashes,
-    grouped partially before the shuffle; the coarsest stable partition is unique, so the order of splits is no matter.
+    Each round all groups split at once.  The set of groups a node reaches is held as its size and 128 bits of exclusive ors of
+    hashes, grouped partially before the shuffle; the coarsest stable partition is unique, so the order of splits is no matter.
     """
     groups = cut(groups.select("id", F.sha1(F.col("g").cast("string")).alias("g")), "refine")
     edges = cut(edges.select("src", "dst").distinct(), "refine-edges")
     n, rounds = groups.select("g").distinct().count(), 0
     while True:
         reach = edges.join(groups.withColumnRenamed("id", "dst"), "dst").select("src", "g").distinct()
-        bits = F.sha1(F.col("g"))
-        part = [F.conv(F.substring(bits, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(3)]
-        sign = reach.groupBy(F.col("src").alias("id")).agg(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *(F.sum(p).cast("string") for p in part)).alias("sign"))
+        marks = [F.bit_xor(F.xxhash64(F.lit(salt), "g")).cast("string") for salt in range(2)]
+        sign = reach.groupBy(F.col("src").alias("id")).agg(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *marks).alias("sign"))
         after = cut(groups.join(sign, "id", "left").select("id", F.sha1(F.concat_ws("|", "g", F.coalesce("sign", F.lit("")))).alias("g")), "refine")
-        rounds += 1
-        m = after.select("g").distinct().count()
+        drop(groups)
         groups = after
+        rounds += 1
+        m = groups.select("g").distinct().count()
         if m == n:
+            drop(edges)
             return groups, rounds
         n = m
 
 
-def group_key(nodes: DataFrame, attributes: dict[str, tuple], use_function_parameters: bool = True) -> DataFrame:
-    """(id, g): label, then parameter values in order of name for functions, else the chosen attributes; missing is null."""
+def _cell(x, nodes: DataFrame, edges: DataFrame | None) -> Column | DataFrame:
+    """What one entry of a group key takes: an attribute's value, or what a callable gives."""
+    if not callable(x):
+        return F.col("attrs")[x]["value"]
+    several = sum(p.default is p.empty for p in inspect.signature(x).parameters.values()) > 1
+    return x(nodes, edges) if several else x(nodes)
+
+
+def group_key(
+    nodes: DataFrame, attributes: dict[str, tuple], use_function_parameters: bool = True, edges: DataFrame | None = None
+) -> DataFrame:
+    """(id, g): label, then parameter values in order of name for functions, else the chosen attributes; missing is null.
+
+    A callable takes the nodes, or nodes and edges so that it can look at neighbours.  It gives a Column of the nodes, or
+    a DataFrame (id, value) of at most one row a node, which is joined.
+    """
+    held, more = nodes, 0
     key: Column = F.lit(None).cast("array<string>")
     for label, names in attributes.items():
-        cells = [x(nodes) if callable(x) else F.col("attrs")[x]["value"] for x in ((names,) if isinstance(names, str) or callable(names) else names)]
-        key = F.when(F.col("label") == label, F.array(*(c.cast("string") for c in cells))).otherwise(key)
+        cells = []
+        for x in (names,) if isinstance(names, str) or callable(names) else names:
+            c = _cell(x, nodes, edges)
+            if isinstance(c, DataFrame):
+                name, more = f"_key{more}", more + 1
+                held = held.join(c.select("id", F.col("value").cast("string").alias(name)), "id", "left")
+                c = F.col(name)
+            cells.append(c.cast("string"))
+        key = F.when(F.col("label") == label, F.array(*cells)).otherwise(key)
     if use_function_parameters:
         params = F.transform(F.array_sort(F.map_keys("params")), lambda k: F.col("params")[k]["value"])
         key = F.when(F.col("type") == "function", params).otherwise(key)
-    return nodes.select("id", F.to_json(F.struct("label", F.coalesce(key, F.array().cast("array<string>")).alias("key")), {"ignoreNullFields": "false"}).alias("g"))
+    whole = F.struct("label", F.coalesce(key, F.array().cast("array<string>")).alias("key"))
+    return held.select("id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("g"))
 
 
 def joined_values(value: Column, num: Column) -> Column:
@@ -49,27 +75,55 @@ def joined_values(value: Column, num: Column) -> Column:
 
 
 def merge_intervals(text: Column) -> Column:
-    """All [a,b] pieces of a text, sorted as text, repeats kept."""
-    return F.concat(F.lit("<"), F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit(r"(\[[\d+.,]+\])"), F.lit(1))), ";"), F.lit(">"))
+    """The intervals of a ;-joined text of them, brackets < > and repeats allowed, as one text: sorted as text."""
+    pieces = F.filter(F.split(F.translate(text, "<>", ""), ";"), lambda x: x != "")
+    return F.concat(F.lit("<"), F.array_join(F.array_sort(pieces), ";"), F.lit(">"))
+
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with their place (long, from 0) in the order of a column without repeats.
 
-def aggregate(nodes: DataFrame, edges: DataFrame, attributes: dict[str, tuple], use_function_parameters: bool = True, remove_attributes=None, record_members: bool = True) -> tuple[DataFrame, DataFrame]:
+    Rows are sorted by range; a place is the place within the range plus the ranges' sizes before, one row a range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    sorted_ = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    sorted_ = cut(sorted_.withColumn("_range", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1)), "numbered")
+    before = F.sum("n").over(Window.orderBy("_range")) - F.col("n")
+    sizes = sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", before.alias("_before"))
+    return sorted_.join(F.broadcast(sizes), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+
+
+def aggregate(
+    nodes: DataFrame,
+    edges: DataFrame,
+    attributes: dict[str, tuple],
+    use_function_parameters: bool = True,
+    remove_attributes=None,
+    record_members: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """(summary nodes (id, attrs, member_count, members), summary edges (src, dst)).
 
-    A callable in ``attributes`` takes the nodes DataFrame and gives a Column.  Steps are numbered by least member id.
+    A callable in ``attributes`` takes the nodes DataFrame (and the edges, if it has a second parameter) and gives a
+    Column of the nodes, or rows (id, value).  Steps are numbered by least member id.
     """
-    drop = [remove_attributes] if isinstance(remove_attributes, str) else list(remove_attributes or ())
-    groups, _ = refine(group_key(nodes, attributes, use_function_parameters), edges)
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("member_count"), F.min("id").alias("least"), *([F.array_join(F.array_sort(F.collect_set("id")), ";").alias("members")] if record_members else []))
-    from pyspark.sql import Window
+    left_out = [remove_attributes] if isinstance(remove_attributes, str) else list(remove_attributes or ())
+    groups, _ = refine(group_key(nodes, attributes, use_function_parameters, edges), edges)
+    listed = [F.array_join(F.array_sort(F.collect_set("id")), ";").alias("members")] if record_members else []
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("member_count"), F.min("id").alias("least"), *listed)
+    steps = cut(numbered(sizes, "least").withColumn("step", F.concat(F.lit("Step "), "place")).drop("least", "place"), "steps")
+
+    def entry(name, value: Column, num: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"), num.alias("num"))
 
-    steps = cut(sizes.withColumn("step", F.concat(F.lit("Step "), F.row_number().over(Window.orderBy("least")) - 1)).drop("least"), "steps")
-    fixed = [c for c in ("type", "label", "python_name", "data_hash", "hash_type", "execution_id", "execution_order") if c in nodes.columns]
-    entry = lambda n, v, num: F.struct(F.lit(n).alias("name"), v.alias("value"), num.alias("num"))
     none = F.lit(None).cast("double")
-    cells = F.concat(F.array(*(entry(c, F.col(c).cast("string"), F.col(c).cast("double") if c == "execution_order" else none) for c in fixed)), F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("name"), e["value"]["value"].alias("value"), e["value"]["num"].alias("num"))))
-    values = nodes.select("id", F.explode(cells).alias("c")).select("id", "c.*").where(F.col("value").isNotNull() & ~F.col("name").isin(drop))
-    values = values.join(groups, "id").groupBy("g", "name").agg(joined_values(F.col("value"), F.col("num")).alias("value"))
+    fixed = [c for c in ("type", "label", "python_name", "data_hash", "hash_type", "execution_id", "execution_order") if c in nodes.columns]
+    fixed = [entry(F.lit(c), F.col(c).cast("string"), F.col(c).cast("double") if c == "execution_order" else none) for c in fixed]
+    own = F.transform(F.map_entries("attrs"), lambda e: entry(e["key"], e["value"]["value"], e["value"]["num"]))
+    values = nodes.select("id", F.explode(F.concat(F.array(*fixed), own)).alias("c")).select("id", "c.*")
+    values = values.where(F.col("value").isNotNull() & ~F.col("name").isin(left_out))
+    values = values.join(groups, "id").select("g", "name", "value", "num").distinct()
+    values = values.groupBy("g", "name").agg(joined_values(F.col("value"), F.col("num")).alias("value"))
     values = values.withColumn("value", F.when(F.col("name") == "Time Interval", merge_intervals(F.col("value"))).otherwise(F.col("value")))
     attrs = values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attrs"))
     out = steps.join(attrs, "g", "left").select(F.col("step").alias("id"), "attrs", "member_count", *(["members"] if record_members else []))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..settings import NAMESPACE, TAG
 from ..sources.rdf import PROV, RDF, XSD, Triple
-from ..sources.reader import SCHEMA, distinct_triples
+from ..sources.reader import distinct_triples
 
 PREFIXES = {"prov": PROV, "xsd": XSD, "rdf": RDF, "sp": NAMESPACE}
 MEMBERSHIPS = ("attribute", "subscript")
@@ -95,14 +92,128 @@ def record_triples(r: dict) -> list[Triple]:
     return out
 
 
-def log_triples(log: DataFrame, distinct: bool = True) -> DataFrame:
-    """Triples of a DataFrame of records as JSON text (column ``value``)."""
+ENTITY = (
+    "struct<kind: string, type: string, hash: string, hash_type: string, hash_method: string, path: string, value: array<string>, "
+    "types: array<string>, details: map<string, array<string>>, annotations: map<string, array<string>>, detail_types: map<string, array<string>>>"
+)
+RECORD = (
+    "authority string, session string, execution_id string, order long, code string, started string, ended string, types array<string>, "
+    "script struct<path: string, hash: string>, function struct<name: string, module: string, version: string>, "
+    f"inputs array<{ENTITY}>, outputs array<{ENTITY}>, params array<string>, param_types map<string, array<string>>"
+)
+KINDS = "array<struct<s: string, p: string, o: string, o_kind: string, o_datatype: string>>"
+
+
+def _triple(s: Column, p: str, o: Column, datatype: Column | str | None = None) -> Column:
+    """A struct (s, p, o, o_kind, o_datatype); without a datatype the object is a URI or blank node."""
+    o = o.cast("string")
+    if datatype is None:
+        kind, type_ = F.when(o.startswith("_:"), "bnode").otherwise("uri"), F.lit(None).cast("string")
+    else:
+        kind = F.lit("literal")
+        type_ = F.concat(F.lit(XSD), F.lit(datatype) if isinstance(datatype, str) else datatype)
+    p = F.lit(p if ":" in p else NAMESPACE + p)
+    return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), type_.alias("o_datatype"))
+
+
+def _typed(s: Column, kind: Column | str, more: Column | None = None) -> Column:
+    """The triples of a node's types: one of the ontology's own, then those an annotation adds."""
+    own = F.array(_triple(s, RDF + "type", F.concat(F.lit(NAMESPACE), F.lit(kind) if isinstance(kind, str) else kind)))
+    if more is None:
+        return own
+    return F.concat(own, F.transform(F.coalesce(more, F.array().cast("array<string>")), lambda t: _triple(s, RDF + "type", t)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("s", "p", "o", "o_kind", "o_datatype", "o_lang", "source")
-        for b in batches:
-            rows = [(*t, r["session"]) for r in map(json.loads, b.column(0).to_pylist()) for t in record_triples(r)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names=names)
+def _named(s: Column, relation: str, n: Column, key: Column, value: Column, datatype: Column, more: Column) -> Column:
+    """The triples of a name/value pair of ``s``; its blank node is named by execution, relation, place and ``s``."""
+    tail = F.replace(F.right(F.substring_index(s, ":", -1), F.lit(40)), F.lit("#"), F.lit("."))
+    b = F.concat(F.lit("_:"), F.concat_ws(".", F.col("execution_id"), F.lit(relation), n.cast("string"), tail))
+    values = F.array(_triple(b, "pairName", key, "string"), _triple(b, "pairValue", value, datatype))
+    return F.concat(F.array(_triple(s, relation, b)), _typed(b, "NameValuePair", more), values)
 
-    out = log.select("value").mapInArrow(run, SCHEMA)
+
+def _entity_triples(x: Column, uri: Column, script: Column) -> Column:
+    def named(relation: str, found: Column) -> Column:
+        def one(e: Column, n: Column) -> Column:
+            return _named(uri, relation, n, e["key"], e["value"][0], e["value"][1], x["detail_types"][e["key"]])
+
+        return F.flatten(F.transform(F.map_entries(found), one))
+
+    pairs = [named("hasAttribute", x["details"]), named("hasAnnotation", x["annotations"])]
+    none = F.array().cast(KINDS)
+    value = F.when(x["value"].isNotNull(), F.array(_triple(uri, PROV + "value", x["value"][0], x["value"][1])))
+    about = F.concat(F.array(_triple(uri, "hashSource", x["hash_method"], "string")), *(F.coalesce(c, none) for c in (value, *pairs)))
+    is_file = x["kind"] == "file"
+    types = _typed(uri, F.when(is_file, "FileEntity").otherwise("DataObjectEntity"), x["types"])
+    agent = F.array(_triple(uri, PROV + "wasAttributedTo", script))
+    return F.concat(types, agent, F.when(is_file, F.array(_triple(uri, "filePath", x["path"], "string"))).otherwise(about))
+
+
+def log_triples(log: DataFrame, distinct: bool = True) -> DataFrame:
+    """Triples of a DataFrame of records as JSON text (column ``value``), by expressions alone.
+
+    They are those of ``record_triples``; a record with an entity of unknown kind is an error, one that isn't JSON gives
+    nothing.
+    """
+    r = log.select(F.from_json("value", RECORD).alias("r")).select("r.*").where("script IS NOT NULL")
+    base = F.concat(F.lit("urn:"), "authority", F.lit(f":{TAG}"))
+    script = F.concat(base, F.lit(":script:Python:"), F.substring_index("script.path", "/", -1), F.lit(":"), "script.hash", F.lit("#"), "session")
+    name = F.concat_ws(".", F.nullif(F.col("function.module"), F.lit("")), "function.name")
+    run = F.concat(base, F.lit(":function_execution:Python:"), F.concat_ws(":", "script.hash", "session", name), F.lit("#"), "execution_id")
+    function = F.concat(base, F.lit(":function:Python:"), name)
+
+    def uri(x: Column) -> Column:
+        found = F.when(x["kind"] == "object", F.concat(base, F.lit(":object:Python:"), x["type"], F.lit(":"), x["hash"]))
+        found = found.when(x["kind"] == "file", F.concat(base, F.lit(":file:"), x["hash_type"], F.lit(":"), x["hash"]))
+        return found.otherwise(F.raise_error(F.concat(F.lit("no entity: "), x["kind"])))
+
+    def pair(text: Column) -> tuple[Column, Column, Column]:
+        return tuple(F.get_json_object(text, at) for at in ("$[0]", "$[1][0]", "$[1][1]"))
+
+    r = r.withColumns({"_script": script, "_run": run, "_function": function, "_ins": F.transform("inputs", uri), "_outs": F.transform("outputs", uri)})
+    script, run, function, ins, outs = (F.col(c) for c in ("_script", "_run", "_function", "_ins", "_outs"))
+
+    def described(found: Column, uris: Column) -> Column:
+        return F.flatten(F.transform(found, lambda x, i: _entity_triples(x, uris[i], script)))
+
+    entities = [described(F.col("inputs"), ins), described(F.col("outputs"), outs)]
+    common = F.concat(_typed(script, "ScriptAgent"), F.array(_triple(script, "scriptPath", F.col("script.path"), "string")), *entities)
+
+    key, value, datatype = pair(F.col("params")[0])
+    member = F.array(
+        _triple(ins[0], PROV + "hadMember", outs[0]),
+        F.when(key == "name", _triple(outs[0], "fromAttribute", value, "string"))
+        .when(key == "slice", _triple(outs[0], "containerSlice", value, "string"))
+        .otherwise(_triple(outs[0], "containerIndex", value, datatype)),
+    )
+
+    def param(text: Column, n: Column) -> Column:
+        key, value, datatype = pair(text)
+        return _named(run, "hasParameter", n, key, value, datatype, F.col("param_types")[key])
+
+    empty = F.lit("")
+    own = F.concat(
+        _typed(function, "Function"),
+        F.array(
+            _triple(function, "functionName", F.col("function.name"), "string"),
+            _triple(function, "implementedIn", F.col("function.module"), "string"),
+            _triple(function, "functionVersion", F.coalesce("function.version", empty), "string"),
+        ),
+        _typed(run, "FunctionExecution", F.col("types")),
+        F.array(
+            _triple(run, PROV + "startedAtTime", F.col("started"), "dateTime"),
+            _triple(run, PROV + "endedAtTime", F.col("ended"), "dateTime"),
+            _triple(run, PROV + "wasAssociatedWith", script),
+            _triple(run, "usedFunction", function),
+            _triple(run, "codeStatement", F.coalesce("code", empty), "string"),
+            _triple(run, "executionOrder", F.col("order"), "integer"),
+        ),
+        F.flatten(F.transform("params", param)),
+        F.transform(ins, lambda i: _triple(run, PROV + "used", i)),
+        F.transform(outs, lambda o: _triple(o, PROV + "wasGeneratedBy", run)),
+        F.flatten(F.transform(outs, lambda o: F.transform(ins, lambda i: _triple(o, PROV + "wasDerivedFrom", i)))),
+    )
+    is_member = F.col("function.name").isin(*MEMBERSHIPS) & (F.col("function.module") == "")
+    out = r.select(F.explode(F.concat(common, F.when(is_member, member).otherwise(own))).alias("t"), F.col("session").alias("source"))
+    out = out.select("t.s", "t.p", "t.o", "t.o_kind", "t.o_datatype", F.lit(None).cast("string").alias("o_lang"), "source")
     return distinct_triples(out) if distinct else out

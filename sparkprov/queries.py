@@ -1,17 +1,23 @@
 """Registered queries: the operators over provenance views of the sample tables, each with its SQL.
 
-Views: an event is an execution of its event_type within its user's session; the n-th one uses state n-1 and generates
-state n.  region, nation, customer and orders hold each other as containers.
+Trace: an event is an execution of its event_type within its user's session; the n-th one uses state n-1 and generates
+state n.  It is written as a log of execution records, which ``log_triples`` and ``build`` turn into triples and a graph.
+Containers: region, nation, customer and orders hold each other, as a log of memberships or directly as edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import urns
 from .operators import build, membership, summarize
-from .plans.tables import table
+from .operators.asof import last_before
+from .operators.graph import ProvGraph
+from .plans.history import log_triples
+from .plans.tables import shared_dir, table
+from .settings import NAMESPACE
+from .sources.document import ProvDocument
 
 AUTHORITY = "my-authority"
 QUERIES: dict = {}
@@ -30,10 +36,15 @@ def query(sql: str | None = None):
 
 # --- views
 
-EX = "ex AS (SELECT event_id, user_id, event_type, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+EX = """ex AS (
+  SELECT event_id, user_id, event_type, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
 BASE = "urn:my-authority:sparkprov"
 STATE = f"'{BASE}:object:Python:session.State:' || user_id || '-' || "
 RUN = f"'{BASE}:function_execution:Python:script:' || user_id || ':' || event_type || '#' || event_id"
+SCRIPT = f"'{BASE}:script:Python:run.py:script#' || user_id"
+FUNCTION = f"'{BASE}:function:Python:' || event_type"
+TIME = "2024-01-01T00:00:00"
 TREE = """tree AS (
   SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, '[' || n_nationkey || ']' AS label FROM region JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, '.customers[' || c_custkey || ']' FROM customer
@@ -42,156 +53,340 @@ TREE = """tree AS (
 
 def executions(spark: SparkSession, d: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), order.alias("n"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value", k.alias("k"), order.alias("n"))
 
 
-def state(n) -> F.Column:
+def state(n) -> Column:
     return urns.object_urn(AUTHORITY, F.lit("session.State"), F.concat_ws("-", "user_id", n))
 
 
-def run_urn() -> F.Column:
+def run_urn() -> Column:
     return urns.execution_urn(AUTHORITY, F.lit("script"), "user_id", "event_type", "event_id")
 
 
+def _object(kind, digest: Column, **more: Column) -> Column:
+    """An object of an execution record."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    fixed = (F.lit("object").alias("kind"), kind.alias("type"), digest.alias("hash"), F.lit("key").alias("hash_method"))
+    return F.struct(*fixed, *(c.alias(name) for name, c in more.items()))
+
+
+def _value(x: Column, datatype: str) -> Column:
+    return F.array(x.cast("string"), F.lit(datatype))
+
+
+def _record(session: Column, execution: Column, order: Column, name, inputs: Column, outputs: Column, params: list[tuple]) -> Column:
+    """An execution record as JSON text; ``params`` are (name, value, type)."""
+    pairs = [F.concat(F.lit(f'["{k}",["'), v.cast("string"), F.lit(f'","{datatype}"]]')) for k, v, datatype in params]
+    fields = {
+        "authority": F.lit(AUTHORITY),
+        "script": F.struct(F.lit("/srv/run.py").alias("path"), F.lit("script").alias("hash")),
+        "session": session.cast("string"),
+        "execution_id": execution.cast("string"),
+        "order": order,
+        "function": F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), F.lit("").alias("module"), F.lit("").alias("version")),
+        "inputs": inputs,
+        "outputs": outputs,
+        "params": F.array(*pairs),
+        "started": F.lit(TIME),
+        "ended": F.lit(TIME),
+    }
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("value")
+
+
+def trace(spark: SparkSession, d: str, none: bool = False, where: str = "true") -> DataFrame:
+    """Triples of the events' execution records; with ``none`` every tenth k has no result."""
+    key = F.concat_ws("-", "user_id", "n")
+    kind = F.when(F.col("k") % 10 == 0, build.NONE).otherwise("session.State") if none else "session.State"
+    about = {"details": F.create_map(F.lit("k"), _value(F.col("k"), "integer")), "annotations": F.create_map(F.lit("kind"), _value(F.col("event_type"), "string"))}
+    used = F.array(_object("session.State", F.concat_ws("-", "user_id", F.col("n") - 1)))
+    used = F.when(F.col("n") > 1, used).otherwise(F.array().cast(used_kind := "array<struct<kind:string,type:string,hash:string,hash_method:string>>")).cast(used_kind)
+    params = [("k", F.col("k"), "integer"), ("kind", F.col("event_type"), "string")]
+    rows = executions(spark, d).where(where)
+    return log_triples(rows.select(_record(F.col("user_id"), F.col("event_id"), F.col("n"), F.col("event_type"), used, F.array(_object(kind, key, **about)), params)))
+
+
+def held(spark: SparkSession, d: str, types: bool = False) -> DataFrame:
+    """Triples of the containers' membership records: nations by index, customers by attribute, orders by slice."""
+
+    def rows(t: str, a: str, key_a: str, b: str, key_b: str, kind_a: str, kind_b: str, key: str, prefix: str, suffix: str = "") -> DataFrame:
+        src, dst = (F.concat(F.lit(x), F.col(k)) for x, k in ((a, key_a), (b, key_b)))
+        more = {"types": F.array(F.lit(f"urn:tpch:{kind_b}"))} if types else {}
+        text = F.concat(F.lit(prefix), F.col(key_b).cast("string"), F.lit(suffix))
+        name = "attribute" if key == "name" else "subscript"
+        sides = F.array(_object(f"tpch.{kind_a}", src)), F.array(_object(f"tpch.{kind_b}", dst, **more))
+        datatype = "integer" if key == "index" else "string"
+        return table(spark, d, t).select(_record(F.lit("s"), dst, F.lit(0), name, *sides, [(key, text, datatype)]))
+
+    out = rows("nation", "r", "n_regionkey", "n", "n_nationkey", "Region", "Nation", "index", "")
+    out = out.union(rows("customer", "n", "c_nationkey", "c", "c_custkey", "Nation", "Customer", "name", "c"))
+    return log_triples(out.union(rows("orders", "c", "o_custkey", "o", "o_orderkey", "Customer", "Order", "slice", "", ":")))
+
+
+HELD = f"""held AS (
+  SELECT '{BASE}:object:Python:tpch.Region:r' || r_regionkey AS src, '{BASE}:object:Python:tpch.Nation:n' || n_nationkey AS dst, '[' || n_nationkey || ']' AS label
+  FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT '{BASE}:object:Python:tpch.Nation:n' || c_nationkey, '{BASE}:object:Python:tpch.Customer:c' || c_custkey, '.c' || c_custkey FROM customer
+  UNION ALL SELECT '{BASE}:object:Python:tpch.Customer:c' || o_custkey, '{BASE}:object:Python:tpch.Order:o' || o_orderkey, '[' || o_orderkey || ':]' FROM orders)"""
+
+
 def tree(spark: SparkSession, d: str) -> DataFrame:
     def edges(t, a, key_a, b, key_b, before):
-        return t.select(F.concat(F.lit(a), F.col(key_a)).alias("src"), F.concat(F.lit(b), F.col(key_b)).alias("dst"), F.concat(F.lit(before), F.lit("["), F.col(key_b), F.lit("]")).alias("label"))
+        ends = (F.concat(F.lit(a), F.col(key_a)).alias("src"), F.concat(F.lit(b), F.col(key_b)).alias("dst"))
+        return t.select(*ends, F.concat(F.lit(before), F.lit("["), F.col(key_b), F.lit("]")).alias("label"))
 
     rows = edges(table(spark, d, "nation"), "r", "n_regionkey", "n", "n_nationkey", "")
     rows = rows.union(edges(table(spark, d, "customer"), "n", "c_nationkey", "c", "c_custkey", ".customers"))
     return rows.union(edges(table(spark, d, "orders"), "c", "o_custkey", "o", "o_orderkey", ".orders"))
 
 
-# --- projections and identifiers
+# --- triples and the graph built from them
 
+OWN = f"'{NAMESPACE}"
 
-@query(f"WITH {EX} SELECT {RUN} AS id, event_type AS label, n AS execution_order, k AS param_k, CAST(event_id AS VARCHAR) AS execution_id FROM ex")
-def exec_nodes(spark, d):
-    return executions(spark, d).select(run_urn().alias("id"), F.col("event_type").alias("label"), F.col("n").cast("long").alias("execution_order"), F.col("k").alias("param_k"), F.col("event_id").cast("string").alias("execution_id"))
 
+def _blank(owner: str, relation: str, place: int = 0) -> str:
+    return f"'_:' || event_id || '.{relation}.{place}.' || {owner}"
 
-@query(f"WITH {EX}, u AS (SELECT {STATE} n AS id FROM ex) SELECT id, 'object' AS type, 'session.State' AS python_name, 'State' AS label, string_split(id, ':')[-1] AS data_hash FROM u")
-def entity_urns(spark, d):
-    rows = executions(spark, d).select(state("n").alias("id"))
-    info = urns.entity_info("id")
-    return rows.select("id", *(info[k].alias(k) for k in ("type", "python_name", "label", "data_hash")))
 
+OF_STATE, OF_RUN = "user_id || '-' || n", "event_type || '.' || event_id"
 
-@query(f"WITH {EX}, u AS (SELECT DISTINCT event_type FROM ex) SELECT '{BASE}:function:Python:' || event_type AS plain, '{BASE}:function:Python:events.' || event_type AS in_module, '{BASE}:script:Python:run.py:abc#' || event_type AS script, '{BASE}:file:sha256:' || event_type AS file FROM u")
-def function_urns(spark, d):
-    u = executions(spark, d).select("event_type").distinct()
-    return u.select(urns.function_urn(AUTHORITY, F.lit(""), "event_type").alias("plain"), urns.function_urn(AUTHORITY, F.lit("events"), "event_type").alias("in_module"), urns.script_urn(AUTHORITY, F.lit("/srv/run.py"), F.lit("abc"), "event_type").alias("script"), urns.file_urn(AUTHORITY, F.lit("sha256"), "event_type").alias("file"))
 
-
-@query("SELECT sha1(text) AS data_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
-def content_identity(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha1("text").alias("data_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+def _named(s: str, relation: str, place: int, owner: str, key: str, value: str) -> str:
+    b = _blank(owner, relation, place)
+    return f"""UNION ALL SELECT {s}, '{relation}', {b} FROM ex UNION ALL SELECT {b}, 'type', {OWN}NameValuePair' FROM ex
+  UNION ALL SELECT {b}, 'pairName', '{key}' FROM ex UNION ALL SELECT {b}, 'pairValue', {value} FROM ex"""
 
 
 TRIPLES = f"""SELECT DISTINCT s, p, o FROM (
-  SELECT {RUN} AS s, 'usedFunction' AS p, event_type AS o FROM ex
+  SELECT {SCRIPT} AS s, 'type' AS p, {OWN}ScriptAgent' AS o FROM ex
+  UNION ALL SELECT {SCRIPT}, 'scriptPath', '/srv/run.py' FROM ex
+  UNION ALL SELECT {STATE} n, 'type', {OWN}DataObjectEntity' FROM ex
+  UNION ALL SELECT {STATE} n, 'wasAttributedTo', {SCRIPT} FROM ex
+  UNION ALL SELECT {STATE} n, 'hashSource', 'key' FROM ex
+  {_named(f"{STATE} n", "hasAttribute", 0, OF_STATE, "k", "CAST(k AS VARCHAR)")}
+  {_named(f"{STATE} n", "hasAnnotation", 0, OF_STATE, "kind", "event_type")}
+  UNION ALL SELECT {FUNCTION}, 'type', {OWN}Function' FROM ex
+  UNION ALL SELECT {FUNCTION}, 'functionName', event_type FROM ex
+  UNION ALL SELECT {FUNCTION}, 'implementedIn', '' FROM ex
+  UNION ALL SELECT {FUNCTION}, 'functionVersion', '' FROM ex
+  UNION ALL SELECT {RUN}, 'type', {OWN}FunctionExecution' FROM ex
+  UNION ALL SELECT {RUN}, 'startedAtTime', '{TIME}' FROM ex
+  UNION ALL SELECT {RUN}, 'endedAtTime', '{TIME}' FROM ex
+  UNION ALL SELECT {RUN}, 'wasAssociatedWith', {SCRIPT} FROM ex
+  UNION ALL SELECT {RUN}, 'usedFunction', {FUNCTION} FROM ex
+  UNION ALL SELECT {RUN}, 'codeStatement', '' FROM ex
   UNION ALL SELECT {RUN}, 'executionOrder', CAST(n AS VARCHAR) FROM ex
+  {_named(RUN, "hasParameter", 0, OF_RUN, "k", "CAST(k AS VARCHAR)")}
+  {_named(RUN, "hasParameter", 1, OF_RUN, "kind", "event_type")}
   UNION ALL SELECT {RUN}, 'used', {STATE} (n - 1) FROM ex WHERE n > 1
-  UNION ALL SELECT {STATE} n, 'wasGeneratedBy', {RUN} FROM ex)"""
+  UNION ALL SELECT {STATE} n, 'wasGeneratedBy', {RUN} FROM ex
+  UNION ALL SELECT {STATE} n, 'wasDerivedFrom', {STATE} (n - 1) FROM ex WHERE n > 1)"""
 
 
 @query(f"WITH {EX} {TRIPLES}")
 def triple_explode(spark, d):
-    cell = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
-    rows = executions(spark, d).select(F.explode(F.array(cell(run_urn(), "usedFunction", F.col("event_type")), cell(run_urn(), "executionOrder", F.col("n").cast("string")), cell(run_urn(), "used", F.when(F.col("n") > 1, state(F.col("n") - 1))), cell(state("n"), "wasGeneratedBy", run_urn()))).alias("t"))
-    return rows.select("t.*").where("o IS NOT NULL").distinct()
+    return trace(spark, d).select("s", build.local_name("p").alias("p"), "o")
 
 
-def _pairs(spark, d) -> DataFrame:
-    e = executions(spark, d)
-    pair = lambda n: F.concat(F.lit("_:"), "event_id", F.lit(n))
-    cell = lambda s, p, o, dt="": F.struct(s.cast("string").alias("s"), F.lit(p).alias("l"), o.cast("string").alias("o"), F.lit(dt).alias("o_datatype"))
-    event = F.col("event_id")
-    cells = [c for name, v in (("k", F.col("k")), ("type", F.col("event_type"))) for c in (cell(event, "hasParameter", pair(name)), cell(pair(name), "pairName", F.lit(name)), cell(pair(name), "pairValue", v, "#integer" if name == "k" else "#string"))]
-    return e.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
+@query(f"WITH {EX} {TRIPLES}")
+def merge_sources(spark, d):
+    """Two overlapping logs read into one document: equal triples merge, blank nodes of one execution are the same."""
+    doc = ProvDocument(spark)
+    doc.add(trace(spark, d, where="event_type <> 'click'"))
+    doc.add(trace(spark, d, where="event_type <> 'view'"))
+    return doc.triples.select("s", build.local_name("p").alias("p"), "o")
 
 
-@query(f"WITH {EX} SELECT CAST(event_id AS VARCHAR) AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex UNION ALL SELECT CAST(event_id AS VARCHAR), 'type', event_type FROM ex")
-def name_value_pivot(spark, d):
-    return build.pairs(_pairs(spark, d), "hasParameter").select("id", "name", "value")
+@query(f"WITH {EX} {TRIPLES}")
+def rdf_roundtrip(spark, d):
+    """Triples of the trace written as N-Triples by the executors and read back; blank nodes lose the mark of their file."""
+    import uuid
 
+    from .sources.reader import read_triples, write_nt
 
-@query(f"WITH {EX} SELECT CAST(event_id AS VARCHAR) AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex")
-def attribute_selection(spark, d):
-    return build.chosen(build.pairs(_pairs(spark, d), "hasParameter"), ("k",)).select("id", "name", "value")
+    path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    write_nt(trace(spark, d), path)
+    own = [F.regexp_replace(c, "^_:[0-9a-f]{40}[.]", "_:").alias(c) for c in ("s", "o")]
+    return read_triples(spark, path, form="nt").select(own[0], build.local_name("p").alias("p"), own[1])
 
 
-@query(f"WITH {EX} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, count(DISTINCT k) AS n_values FROM ex GROUP BY 1, 2 HAVING count(DISTINCT k) > 1")
-def name_value_conflicts(spark, d):
-    return build.conflicts(executions(spark, d).select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("k").alias("value")))
+@query(f"""WITH {EX}
+SELECT {STATE} n AS id, 'object' AS type, 'State' AS label, 'session.State' AS python_name, user_id || '-' || n AS data_hash,
+       NULL AS execution_id, NULL AS execution_order, CAST(k AS VARCHAR) AS k, NULL AS param_k FROM ex
+UNION ALL SELECT {RUN}, 'function', event_type, event_type, NULL, CAST(event_id AS VARCHAR), CAST(n AS VARCHAR), CAST(k AS VARCHAR), CAST(k AS VARCHAR) FROM ex""")
+def graph_nodes(spark, d):
+    nodes, _, _ = build.build(trace(spark, d), attributes="all")
+    k = F.coalesce(F.col("attrs")["k"], F.col("attrs")[F.concat("label", F.lit(":k"))])["value"]
+    order = F.col("execution_order").cast("string").alias("execution_order")
+    fixed = ("id", "type", "label", "python_name", "data_hash", "execution_id", order)
+    return nodes.select(*fixed, k.alias("k"), F.col("params")["k"]["value"].alias("param_k"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'attribute:' || lang END AS name FROM documents")
-def strip_namespace_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.concat(F.lit("attribute:"), "lang")).alias("name"))
+EDGES = f"SELECT {STATE} (n - 1) AS src, {RUN} AS dst FROM ex WHERE n > 1 UNION ALL SELECT {RUN}, {STATE} n FROM ex"
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'default') AS filled FROM events")
-def json_params(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("default")).alias("filled"))
+@query(f"WITH {EX} SELECT src, dst, false AS membership FROM ({EDGES})")
+def graph_edges(spark, d):
+    return build.build(trace(spark, d))[1].select("src", "dst", "membership")
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN 'builtins.NoneType' WHEN value = floor(value) THEN 'xsd:integer' ELSE 'xsd:double' END AS datatype, CASE WHEN event_type IN ('click', 'view') THEN 'parameter' ELSE 'input' END AS role FROM events")
-def value_datatypes(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").select("event_id", F.when(v.isNull(), "builtins.NoneType").when(v == F.floor(v), "xsd:integer").otherwise("xsd:double").alias("datatype"), F.when(F.col("event_type").isin("click", "view"), "parameter").otherwise("input").alias("role"))
+@query(f"""WITH {EX}
+SELECT {STATE} n AS id, 'attribute:k' AS name, CAST(k AS VARCHAR) AS value, CAST(k AS DOUBLE) AS num FROM ex
+UNION ALL SELECT {STATE} n, 'annotation:kind', event_type, NULL FROM ex
+UNION ALL SELECT {RUN}, event_type || ':k', CAST(k AS VARCHAR), CAST(k AS DOUBLE) FROM ex
+UNION ALL SELECT {RUN}, event_type || ':kind', event_type, NULL FROM ex""")
+def graph_attributes(spark, d):
+    nodes, _, _ = build.build(trace(spark, d), attributes="all", annotations="all", strip_namespace=False)
+    return nodes.select("id", F.explode("attrs").alias("name", "v")).select("id", "name", "v.value", "v.num")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'http://www.w3.org/ns/prov#' || event_type WHEN event_id % 3 = 1 THEN 'http://x.org/' || event_type END AS uri FROM events")
-def curie_expand(spark, d):
-    t = F.col("event_type")
-    curie = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("prov:"), t)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("<http://x.org/"), t, F.lit(">"))).otherwise(F.concat(F.lit("no:"), t))
-    return table(spark, d, "events").select("event_id", urns.expand_curie(curie, {"prov": "http://www.w3.org/ns/prov#"}).alias("uri"))
+@query(f"""WITH {EX} SELECT {RUN} AS id, 'k' AS name, CAST(k AS VARCHAR) AS value, true AS numeric FROM ex
+UNION ALL SELECT {RUN}, 'kind', event_type, false FROM ex""")
+def graph_parameters(spark, d):
+    nodes, _, _ = build.build(trace(spark, d))
+    rows = nodes.select("id", F.explode("params").alias("name", "v"))
+    return rows.select("id", "name", "v.value", F.col("v.num").isNotNull().alias("numeric"))
 
 
-# --- joins
+@query(f"WITH {EX} SELECT {STATE} n AS id, 'k' AS name FROM ex UNION ALL SELECT {STATE} n, 'kind' FROM ex")
+def strip_namespace_keys(spark, d):
+    nodes, _, _ = build.build(trace(spark, d), attributes="all", annotations="all")
+    return nodes.where("type = 'object'").select("id", F.explode(F.map_keys("attrs")).alias("name"))
+
+
+@query(f"WITH {EX} SELECT {RUN} AS id, event_type AS label, n AS execution_order, CAST(event_id AS VARCHAR) AS execution_id FROM ex")
+def exec_nodes(spark, d):
+    nodes, _, _ = build.build(trace(spark, d))
+    return nodes.where("type = 'function'").select("id", "label", "execution_order", "execution_id")
 
 
-@query(f"WITH {EX} SELECT DISTINCT {STATE} (n - 1) AS src, {RUN} AS dst FROM ex WHERE n > 1")
+@query(f"WITH {EX} SELECT {STATE} (n - 1) AS src, {RUN} AS dst FROM ex WHERE n > 1")
 def used_edges(spark, d):
-    return executions(spark, d).where("n > 1").select(state(F.col("n") - 1).alias("src"), run_urn().alias("dst")).distinct()
+    nodes, edges, _ = build.build(trace(spark, d))
+    return edges.join(nodes.where("type = 'function'").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 @query(f"WITH {EX} SELECT {RUN} AS src, {STATE} n AS dst, event_type AS function_name, n AS execution_order FROM ex")
 def generated_edges(spark, d):
-    e = executions(spark, d)
-    made = e.select(run_urn().alias("src"), state("n").alias("dst"))
-    return made.join(e.select(run_urn().alias("src"), F.col("event_type").alias("function_name"), F.col("n").cast("long").alias("execution_order")), "src")
+    nodes, edges, _ = build.build(trace(spark, d))
+    runs = nodes.where("type = 'function'").select(F.col("id").alias("src"), F.col("label").alias("function_name"), "execution_order")
+    return edges.join(runs, "src").select("src", "dst", "function_name", "execution_order")
 
 
-@query(f"WITH {EX}, none AS (SELECT user_id, n FROM ex WHERE k % 10 = 0) SELECT {RUN} AS src, {STATE} n AS dst FROM ex WHERE NOT EXISTS (SELECT 1 FROM none WHERE none.user_id = ex.user_id AND none.n = ex.n)")
+@query(f"WITH {EX} SELECT {STATE} (n - 1) AS src, {RUN} AS dst FROM ex WHERE n > 1 UNION ALL SELECT {RUN}, {STATE} n FROM ex WHERE k % 10 <> 0")
 def none_anti_join(spark, d):
-    e = executions(spark, d)
-    none = e.where("k % 10 = 0").select(state("n").alias("dst"))
-    return e.select(run_urn().alias("src"), state("n").alias("dst")).join(none, "dst", "left_anti").select("src", "dst")
+    """Edges without those to results None."""
+    return build.build(trace(spark, d, none=True))[1].select("src", "dst")
 
 
 @query(f"WITH {EX} SELECT {STATE} n AS entity, {STATE} (n - 1) AS source FROM ex WHERE n > 1")
 def derived_from(spark, d):
-    e = executions(spark, d)
-    used = e.where("n > 1").select("event_id", state(F.col("n") - 1).alias("source"))
-    return used.join(e.select("event_id", state("n").alias("entity")), "event_id").select("entity", "source")
+    return trace(spark, d).where(build.local_name("p") == "wasDerivedFrom").select(F.col("s").alias("entity"), F.col("o").alias("source"))
 
 
-@query(f"WITH {EX} SELECT {STATE} n AS entity, 'agent-' || user_id AS agent, c_name AS agent_name FROM ex LEFT JOIN customer ON c_custkey = user_id")
+@query(f"WITH {EX} SELECT {STATE} n AS id, 'wasAttributedTo' AS relation, {SCRIPT} AS agent FROM ex UNION ALL SELECT {RUN}, 'wasAssociatedWith', {SCRIPT} FROM ex")
 def attributed_to(spark, d):
-    agents = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("agent_name"))
-    return executions(spark, d).join(agents, "user_id", "left").select(state("n").alias("entity"), F.concat(F.lit("agent-"), "user_id").alias("agent"), "agent_name")
+    p = build.local_name("p")
+    rows = trace(spark, d).where(p.isin("wasAttributedTo", "wasAssociatedWith"))
+    return rows.select(F.col("s").alias("id"), p.alias("relation"), F.col("o").alias("agent"))
+
+
+def _pairs(spark, d) -> DataFrame:
+    return build.pairs(trace(spark, d).withColumn("l", build.local_name("p")), "hasParameter")
+
+
+@query(f"WITH {EX} SELECT {RUN} AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex UNION ALL SELECT {RUN}, 'kind', event_type FROM ex")
+def name_value_pivot(spark, d):
+    return _pairs(spark, d).select("id", "name", "value")
+
+
+@query(f"WITH {EX} SELECT {RUN} AS id, 'k' AS name, CAST(k AS VARCHAR) AS value FROM ex")
+def attribute_selection(spark, d):
+    return build.chosen(_pairs(spark, d), ("k",)).select("id", "name", "value")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, arg_max(json_extract_string(props, '$.k'), event_id) AS value
+FROM events GROUP BY 1, 2""")
+def last_parameter(spark, d):
+    """Of several values of one name the last given stays."""
+    pair = F.concat(F.lit("_:e.hasParameter."), F.col("event_id").cast("string"), F.lit(".x"))
+    k = F.get_json_object("props", "$.k")
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), k.alias("value"), k.cast("double").alias("num"), pair.alias("pair"))
+    return build.last_wins(rows).select("id", "name", "value")
+
+
+@query(f"WITH {EX} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, count(DISTINCT k) AS n_values FROM ex GROUP BY 1, 2 HAVING count(DISTINCT k) > 1")
+def name_value_conflicts(spark, d):
+    rows = executions(spark, d).select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("k").alias("value"))
+    return build.conflicts(rows)
+
+
+@query(f"""WITH {EX} SELECT {STATE} n AS id, 0 AS n_attrs FROM ex UNION ALL SELECT {RUN}, 2 FROM ex""")
+def remove_attributes(spark, d):
+    g = ProvGraph(spark=spark, triples=trace(spark, d), attributes="all")
+    g.remove_attributes("k")
+    return g.nodes.select("id", F.size("attrs").alias("n_attrs"))
+
+
+@query(f"""WITH {EX}, found AS (SELECT 'State' AS label, {STATE} n AS id FROM ex UNION ALL SELECT event_type, {RUN} FROM ex)
+SELECT count(*) AS member_count, min(id) AS first_member FROM found GROUP BY label""")
+def trace_summary(spark, d):
+    nodes, _, _ = build.build(trace(spark, d))
+    return _counted(summarize.group_key(nodes, {}, use_function_parameters=False), nodes)
+
 
+# --- identifiers
 
-@query(f"WITH {TREE} SELECT * FROM tree")
+
+@query(f"WITH {EX}, u AS (SELECT {STATE} n AS id FROM ex) SELECT id, 'object' AS type, 'session.State' AS python_name, 'State' AS label, string_split(id, ':')[-1] AS data_hash FROM u")
+def entity_urns(spark, d):
+    rows = executions(spark, d).select(state("n").alias("id"))
+    info = urns.entity_info("id")
+    return rows.select("id", *(info[k].alias(k) for k in ("type", "python_name", "label", "data_hash")))
+
+
+@query(f"""WITH {EX}, u AS (SELECT DISTINCT event_type FROM ex)
+SELECT '{BASE}:function:Python:' || event_type AS plain, '{BASE}:function:Python:events.' || event_type AS in_module,
+       '{BASE}:script:Python:run.py:abc#' || event_type AS script, '{BASE}:file:sha256:' || event_type AS file FROM u""")
+def function_urns(spark, d):
+    u = executions(spark, d).select("event_type").distinct()
+    return u.select(
+        urns.function_urn(AUTHORITY, F.lit(""), "event_type").alias("plain"),
+        urns.function_urn(AUTHORITY, F.lit("events"), "event_type").alias("in_module"),
+        urns.script_urn(AUTHORITY, F.lit("/srv/run.py"), F.lit("abc"), "event_type").alias("script"),
+        urns.file_urn(AUTHORITY, F.lit("sha256"), "event_type").alias("file"),
+    )
+
+
+@query(f"""SELECT '{BASE}:object:Python:builtins.str:' || sha1(text) AS id, sha1(text) AS data_hash, count(*) AS copies, min(doc_id) AS first_doc
+FROM documents GROUP BY 1, 2""")
+def content_identity(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", urns.object_urn(AUTHORITY, F.lit("builtins.str"), F.sha1("text")).alias("id"))
+    return rows.groupBy("id", urns.entity_info("id")["data_hash"].alias("data_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'http://www.w3.org/ns/prov#' || event_type
+  WHEN event_id % 3 = 1 THEN 'http://x.org/' || event_type END AS uri FROM events""")
+def curie_expand(spark, d):
+    t = F.col("event_type")
+    curie = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("prov:"), t)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("<http://x.org/"), t, F.lit(">")))
+    curie = curie.otherwise(F.concat(F.lit("no:"), t))
+    return table(spark, d, "events").select("event_id", urns.expand_curie(curie, {"prov": "http://www.w3.org/ns/prov#"}).alias("uri"))
+
+
+# --- memberships
+
+
+@query(f"WITH {HELD} SELECT src, dst, label FROM held")
 def membership_labels(spark, d):
-    return tree(spark, d)
+    return build.build(held(spark, d))[1].where("membership").select("src", "dst", "label")
 
 
-@query(f"WITH {TREE} SELECT 'c' || c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM tree WHERE src = 'c' || c_custkey)")
+@query(f"WITH {TREE} SELECT src, dst, label FROM tree")
 def membership_subgraph(spark, d):
-    return table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).join(tree(spark, d).select(F.col("src").alias("id")), "id", "left_semi")
+    return membership.subgraph(*_held(spark, d))[1].select("src", "dst", "label")
 
 
 LEVELS = f"""WITH RECURSIVE {TREE}, below AS (
@@ -201,14 +396,17 @@ LEVELS = f"""WITH RECURSIVE {TREE}, below AS (
 
 @query(f"{LEVELS} SELECT top, level, count(*) AS members FROM below GROUP BY 1, 2")
 def container_levels(spark, d):
-    t = tree(spark, d)
-    level = t.where(F.col("src").startswith("r")).select(F.col("src").alias("top"), F.col("dst").alias("node"))
-    out = None
-    for n in (1, 2, 3):  # as deep as the annotation goes
-        rows = level.groupBy("top").agg(F.count(F.lit(1)).alias("members")).select("top", F.lit(n).alias("level"), "members")
-        out = rows if out is None else out.unionByName(rows)
-        level = level.join(t.select(F.col("src").alias("node"), F.col("dst").alias("below")), "node").select("top", F.col("below").alias("node"))
-    return out
+    tops = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    rows = membership.levels(tops, tree(spark, d), 3).where("level > 0")
+    return rows.groupBy("top", "level").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query(f"""WITH {HELD} SELECT dst AS id, 'urn:tpch:' || CASE WHEN dst LIKE '%Nation%' THEN 'Nation' WHEN dst LIKE '%Customer%' THEN 'Customer' ELSE 'Order' END AS term
+FROM held""")
+def container_annotations(spark, d):
+    """Terms that annotations give members."""
+    typed = held(spark, d, types=True).where((build.local_name("p") == "type") & F.col("o").startswith("urn:tpch:"))
+    return typed.select(F.col("s").alias("id"), F.col("o").alias("term"))
 
 
 def _held(spark, d):
@@ -236,14 +434,19 @@ def condense_preserve(spark, d):
 # --- intervals
 
 
-@query(f"WITH {EX} SELECT user_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS orders FROM ex GROUP BY 1")
+@query(f"""WITH {EX}, t AS (
+  SELECT {RUN} AS id, n AS o FROM ex UNION ALL SELECT {STATE} n, n FROM ex UNION ALL SELECT {STATE} (n - 1), n FROM ex WHERE n > 1)
+SELECT id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS orders FROM t GROUP BY 1""")
 def interval_collect(spark, d):
-    return executions(spark, d).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x.cast("string")), ",").alias("orders"))
+    _, edges, touches = build.build(trace(spark, d))
+    found = membership.intervals(touches, edges)
+    return found.select("id", F.array_join(F.transform("orders", lambda x: x.cast("string")), ",").alias("orders"))
 
 
-@query(f"WITH {EX} SELECT user_id, '<' || string_agg(printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)), ';' ORDER BY n) || '>' AS intervals FROM ex WHERE event_type = 'click' GROUP BY 1")
+@query(f"""WITH {EX} SELECT user_id, event_type, '<' || string_agg(printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)), ';' ORDER BY n) || '>' AS intervals
+FROM ex GROUP BY 1, 2""")
 def interval_strings(spark, d):
-    return executions(spark, d).where("event_type = 'click'").groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("intervals"))
+    return executions(spark, d).groupBy("user_id", "event_type").agg(membership.interval_text(F.collect_list("n")).alias("intervals"))
 
 
 @query(f"{LEVELS} SELECT top AS id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS sum_orders FROM below JOIN orders ON node = 'o' || o_orderkey GROUP BY 1")
@@ -315,15 +518,17 @@ def summarize_values(spark, d):
     return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(summarize.joined_values(F.col("k").cast("string"), F.col("k").cast("double")).alias("k_values"))
 
 
-@query(f"WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex WHERE n <= 12) SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1")
+@query(f"WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex) SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1")
 def summarize_intervals(spark, d):
     text = executions(spark, d).groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("t"))
     return text.select("user_id", summarize.merge_intervals(F.col("t")).alias("intervals"))
 
 
-@query("SELECT c_nationkey AS nation, count(*) AS member_count, string_agg('c' || c_custkey, ';' ORDER BY 'c' || c_custkey) AS members FROM customer GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, count(*) AS member_count, string_agg('c' || c_custkey, ';' ORDER BY 'c' || c_custkey) AS members FROM customer GROUP BY 1")
 def members(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("member_count"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("c"), "c_custkey"))), ";").alias("members"))
+    nodes = _nodes(spark, d).where("label = 'Customer'")
+    found, _ = summarize.aggregate(nodes, spark.createDataFrame([], "src string, dst string"), {"Customer": ("attr",)})
+    return found.select(F.col("attrs")["attr"].alias("segment"), "member_count", "members")
 
 
 def _rounds(n: int) -> str:
@@ -344,32 +549,37 @@ def snap_topology(spark, d):
     return _counted(_topology(spark, d), None)
 
 
-@query(_rounds(4) + ", least AS (SELECT g, min(id) AS first FROM g4 GROUP BY g) SELECT DISTINCT a.first AS src, b.first AS dst FROM tree JOIN g4 x ON x.id = src JOIN g4 y ON y.id = dst JOIN least a ON a.g = x.g JOIN least b ON b.g = y.g")
+@query(
+    _rounds(4)
+    + """, least AS (SELECT g, 'Step ' || (row_number() OVER (ORDER BY min(id)) - 1) AS step FROM g4 GROUP BY g)
+SELECT DISTINCT a.step AS src, b.step AS dst FROM tree JOIN g4 x ON x.id = src JOIN g4 y ON y.id = dst JOIN least a ON a.g = x.g JOIN least b ON b.g = y.g"""
+)
 def snap_superedges(spark, d):
-    groups = _topology(spark, d)
-    named = groups.join(groups.groupBy("g").agg(F.min("id").alias("first")), "g").select("id", "first")
-    return tree(spark, d).join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return summarize.aggregate(_nodes(spark, d), tree(spark, d), {"Customer": ("attr",), "Order": ("attr",)}, record_members=False)[1]
 
 
-@query(_rounds(4) + ", v AS (SELECT DISTINCT g, label, attr FROM g4 JOIN nodes ON nodes.id = g4.id), c AS (SELECT g, count(*) AS member_count FROM g4 GROUP BY g) SELECT min(label) AS label, string_agg(attr, ';' ORDER BY attr) AS attr, any_value(member_count) AS member_count FROM v JOIN c ON c.g = v.g GROUP BY v.g")
-def aggregate_graph(spark, d):
-    nodes, _ = summarize.aggregate(_nodes(spark, d), tree(spark, d), {"Customer": ("attr",), "Order": ("attr",)}, record_members=False)
-    return nodes.select(F.col("attrs")["label"].alias("label"), F.col("attrs")["attr"].alias("attr"), "member_count")
+@query(
+    f"""WITH {TREE}, {GRAPH}, k AS (SELECT id, label, CASE WHEN label = 'Nation' THEN (SELECT count(*) FROM tree WHERE src = id) END AS many FROM nodes)
+SELECT count(*) AS member_count, min(id) AS first_member FROM k GROUP BY label, many"""
+)
+def group_by_neighbours(spark, d):
+    """Nations by how many customers they hold: a callable that looks at edges."""
 
+    def held_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        counts = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("value"))
 
-@query(f"WITH {GRAPH} SELECT id, label, CASE WHEN attr IS NULL OR label = 'Order' THEN 0 ELSE 1 END AS n_attrs FROM nodes")
-def remove_attributes(spark, d):
-    kept = F.map_filter("attrs", lambda k, _: ~((k == "attr") & (F.col("label") == "Order")))
-    return _nodes(spark, d).select("id", "label", F.size(kept).alias("n_attrs"))
+    n = _nodes(spark, d)
+    return _counted(summarize.group_key(n, {"Nation": (held_by,)}, edges=tree(spark, d)), n)
 
 
-# --- sets, containers, sources
+@query(_rounds(4) + ", v AS (SELECT DISTINCT g, label, attr FROM g4 JOIN nodes ON nodes.id = g4.id), c AS (SELECT g, count(*) AS member_count FROM g4 GROUP BY g) SELECT min(label) AS label, string_agg(attr, ';' ORDER BY attr) AS attr, any_value(member_count) AS member_count FROM v JOIN c ON c.g = v.g GROUP BY v.g")
+def aggregate_graph(spark, d):
+    nodes, _ = summarize.aggregate(_nodes(spark, d), tree(spark, d), {"Customer": ("attr",), "Order": ("attr",)}, record_members=False)
+    return nodes.select(F.col("attrs")["label"].alias("label"), F.col("attrs")["attr"].alias("attr"), "member_count")
 
 
-@query(f"WITH {EX} {TRIPLES}")
-def merge_sources(spark, d):
-    t = triple_explode(spark, d)
-    return t.where(F.hash("s") % 3 != 0).unionByName(t.where(F.hash("s") % 2 != 0)).unionByName(t).distinct()
+# --- containers, files, statements
 
 
 @query("SELECT vec_id, i - 1 AS idx, '[' || (i - 1) || ']' AS label, embedding[i] AS element FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
@@ -378,25 +588,27 @@ def array_membership(spark, d):
     return rows.select("vec_id", F.col("idx").cast("long").alias("idx"), urns.membership_label(F.lit("index"), F.col("idx").cast("string")).alias("label"), "element")
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n_members FROM conversations")
+@query("""SELECT 'urn:my-authority:sparkprov:object:Python:chat.Conversation:' || conv_id AS src, 'urn:my-authority:sparkprov:object:Python:chat.Turn:' || conv_id || '-' || turn AS dst,
+  '[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ']' AS label FROM conversations""")
 def conversation_containers(spark, d):
-    w = Window.partitionBy("conv_id")
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", (F.row_number().over(w.orderBy("turn")) - 1).cast("long").alias("ordinal"), F.count(F.lit(1)).over(w).alias("n_members"))
-
-
-@query(f"{LEVELS} SELECT 'prov:' || repeat('*', level) AS term, count(*) AS typed FROM below GROUP BY 1")
-def container_annotations(spark, d):
-    levels = container_levels(spark, d)
-    return levels.groupBy(F.concat(F.lit("prov:"), F.repeat(F.lit("*"), F.col("level"))).alias("term")).agg(F.sum("members").alias("typed"))
+    """Turns as members of their conversations, by index."""
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turn = F.concat_ws("-", "conv_id", "turn")
+    sides = F.array(_object("chat.Conversation", F.col("conv_id").cast("string"))), F.array(_object("chat.Turn", turn))
+    rows = table(spark, d, "conversations").withColumn("at", at)
+    log = rows.select(_record(F.lit("s"), turn, F.lit(0), "subscript", *sides, [("index", F.col("at"), "integer")]))
+    return build.build(log_triples(log))[1].select("src", "dst", "label")
 
 
 @query(f"WITH {EX} SELECT a.event_id, max(b.n) AS statement FROM ex a JOIN ex b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.n <= a.n GROUP BY 1")
 def statement_asof(spark, d):
-    last = F.max(F.when(F.col("event_type") == "view", F.col("n"))).over(Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return executions(spark, d).withColumn("statement", last.cast("long")).where("statement IS NOT NULL").select("event_id", "statement")
+    """The last view at or before each event of a user."""
+    e = executions(spark, d)
+    found = last_before(e, e.where("event_type = 'view'").select("user_id", "n", F.col("n").cast("long").alias("statement")), ["user_id"], "n")
+    return found.where("statement IS NOT NULL").select("event_id", "statement")
 
 
-@query()
+@query()  # of files, not of tables
 def file_identity(spark, d):
     from .sources.files import hash_files
 
@@ -404,30 +616,6 @@ def file_identity(spark, d):
     return hash_files(spark, d).select(F.substring_index("path", f"/{d.rsplit('/', 1)[-1]}/", -1).alias("name"), "hash_type", "hash")
 
 
-@query()
-def rdf_roundtrip(spark, d):
-    """Triples of the trace written as N-Triples by the executors and read back."""
-    import uuid
-
-    from .plans.tables import shared_dir
-    from .sources.reader import read_triples, write_nt
-
-    t = triple_explode(spark, d).select(F.col("s"), F.concat(F.lit("urn:p#"), "p").alias("p"), "o", F.lit("literal").alias("o_kind"), F.lit("http://www.w3.org/2001/XMLSchema#string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"), F.lit("x").alias("source"))
-    path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
-    write_nt(t, path)
-    return read_triples(spark, path, form="nt").select("s", build.local_name("p").alias("p"), "o")
-
-
-SQL["rdf_roundtrip"] = SQL["triple_explode"]
-FLAGSHIP = "WITH " + EX + " SELECT event_type AS label, count(*) AS member_count, string_agg(DISTINCT CAST(k AS VARCHAR), ';' ORDER BY CAST(k AS VARCHAR)) AS k_values, min(n) AS first_order FROM ex GROUP BY 1"
-
-
-@query(FLAGSHIP)
-def trace_summary(spark, d):
-    e = executions(spark, d)
-    return e.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("member_count"), F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), ";").alias("k_values"), F.min("n").cast("long").alias("first_order"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The container graph's summary by attributes and topology."""
     return aggregate_graph(spark, d)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.history import PREFIXES, record_triples
+from ..plans.history import PREFIXES, log_triples
 from . import rdf
 from .files import prov_format
 from .reader import collected, distinct_triples, read_triples
@@ -15,16 +17,21 @@ class ProvDocument:
         self.spark = spark or SparkSession.getActiveSession()
         self.triples: DataFrame | None = None
 
-    def _add(self, more: DataFrame) -> None:
+    def add(self, more: DataFrame) -> None:
+        """Add triples; equal ones merge."""
         self.triples = more if self.triples is None else distinct_triples(self.triples.unionByName(more))
 
     def read_records(self, file_name, file_format: str | None = "turtle") -> None:
         """Add a file's triples; without a format its extension tells."""
-        self._add(read_triples(self.spark, str(file_name), form=file_format))
+        self.add(read_triples(self.spark, str(file_name), form=file_format))
 
     def add_history(self, history: list[dict], show_progress: bool = False) -> None:
-        rows = [(*t, r["session"]) for r in history for t in record_triples(r)]
-        self._add(distinct_triples(self.spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, o_lang string, source string")))
+        """Add a session's records; empty histories add nothing."""
+        from ..capture.tracker import progress
+
+        rows = [(json.dumps(r),) for r in progress(history, show_progress)]
+        if rows:
+            self.add(log_triples(self.spark.createDataFrame(rows, "value string")))
 
     def serialize(self, file_name=None, file_format: str | None = "turtle"):
         """Write one file, or give the text; ``reader.write_nt`` writes large sets from the executors."""

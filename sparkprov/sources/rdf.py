@@ -41,7 +41,7 @@ def escape(text: str) -> str:
 
 TOKEN = re.compile(
     r"""\s+|\#[^\n]*
-    |(?P<uri><[^<>"{}|^`\\\x00-\x20]*>)
+    |(?P<uri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
     |(?P<long>\"{3}(?:[^"\\]|\\.|"{1,2}(?!"))*\"{3}|'{3}(?:[^'\\]|\\.|'{1,2}(?!'))*'{3})
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)

@@ -5,14 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rdf
 from .files import prov_format
 
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string, o_lang string, source string"
-LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?\s*\.'
+NODE = r"""<[^<>"\s]*>|_:[^\s<>"]*[^\s<>".]"""
+LINE = (
+    rf"""^[ \t]*({NODE})[ \t]*<([^<>"\s]*)>[ \t]*({NODE}|"(?:[^"\\]|\\.)*")"""
+    r"""(?:\^\^<([^<>"\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?[ \t]*\.[ \t]*(?:#.*)?$"""
+)
+
+
+def unescaped(text: Column) -> Column:
+    """A literal's or IRI's text without its escapes: \\uXXXX, \\UXXXXXXXX and \\ before a single character."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+
+    def plain(x: Column) -> Column:
+        digits = F.lpad(F.substring(x, 3, 8), 8, "0")
+        out = F.when(x.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), F.decode(F.unhex(digits), "UTF-32"))
+        for code, c in rdf.ESCAPES.items():
+            out = out.when(x == "\\" + code, F.lit(c))
+        return out.otherwise(x)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
 
 
 def _named(path: str, form: str | None) -> str:
@@ -35,24 +53,7 @@ def read_triples(spark: SparkSession, *paths: str, form: str | None = None) -> D
     for path in paths:
         kind = _named(path, form)
         if kind == "nt":
-            lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source")).where(F.col("value").rlike(LINE))
-            s, o = F.regexp_extract("value", LINE, 1), F.regexp_extract("value", LINE, 3)
-            blank = F.concat(F.lit("_:"), F.sha1("source"), F.lit("."), F.substring(s, 3, 1 << 20))
-            blank_o = F.concat(F.lit("_:"), F.sha1("source"), F.lit("."), F.substring(o, 3, 1 << 20))
-            literal = F.regexp_replace(F.expr("substring(o, 2, length(o) - 2)"), r"\\\\", "\u0001")
-            for code, plain in (('\\\\"', '"'), (r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t")):
-                literal = F.regexp_replace(literal, code, plain)
-            kinds = F.when(o.startswith("<"), "uri").when(o.startswith("_:"), "bnode").otherwise("literal")
-            lang, dt = F.nullif(F.regexp_extract("value", LINE, 5), F.lit("")), F.nullif(F.regexp_extract("value", LINE, 4), F.lit(""))
-            rows = lines.withColumn("o", o).withColumn("kind", kinds)
-            inner = F.expr("substring(o, 2, length(o) - 2)")
-            parts.append(rows.select(
-                F.when(s.startswith("_:"), blank).otherwise(F.regexp_extract(s, "^<(.*)>$", 1)).alias("s"),
-                F.regexp_extract("value", LINE, 2).alias("p"),
-                F.when(F.col("kind") == "uri", inner).when(F.col("kind") == "bnode", blank_o).otherwise(F.regexp_replace(literal, "\u0001", r"\\")).alias("o"),
-                F.col("kind").alias("o_kind"),
-                F.when((F.col("kind") == "literal") & lang.isNull(), F.coalesce(dt, F.lit(rdf.XSD + "string"))).alias("o_datatype"), lang.alias("o_lang"), "source",
-            ))
+            parts.append(_lines(spark, path))
         else:
             parts.append(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parser(kind), SCHEMA))
     out = parts[0]
@@ -61,6 +62,32 @@ def read_triples(spark: SparkSession, *paths: str, form: str | None = None) -> D
     return distinct_triples(out)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """N-Triples by line; blank lines and comments are left out, any other line that is no triple is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"))
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    bad = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200)))
+    lines = lines.withColumn("value", F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(bad))
+    s, p, o, datatype, lang = (F.regexp_extract("value", LINE, i) for i in range(1, 6))
+    rows = lines.select("source", s.alias("s"), p.alias("p"), o.alias("o"), F.nullif(datatype, F.lit("")).alias("dt"), F.nullif(lang, F.lit("")).alias("lang"))
+
+    def node(c: str) -> Column:
+        blank = F.concat(F.lit("_:"), F.sha1("source"), F.lit("."), F.expr(f"substring({c}, 3)"))
+        return F.when(F.col(c).startswith("_:"), blank).otherwise(unescaped(F.expr(f"substring({c}, 2, length({c}) - 2)")))
+
+    kind = F.when(F.col("o").startswith("<"), "uri").when(F.col("o").startswith("_:"), "bnode").otherwise("literal")
+    typed = F.when((kind == "literal") & F.col("lang").isNull(), F.coalesce(unescaped(F.col("dt")), F.lit(rdf.XSD + "string")))
+    return rows.select(
+        node("s").alias("s"),
+        unescaped(F.col("p")).alias("p"),
+        node("o").alias("o"),
+        kind.alias("o_kind"),
+        typed.alias("o_datatype"),
+        F.col("lang").alias("o_lang"),
+        "source",
+    )
+
+
 def _parser(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -92,7 +119,10 @@ def write_nt(triples: DataFrame, path: str) -> None:
     text = F.col("o")
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(plain), F.lit(code))
-    tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_datatype") != rdf.XSD + "string", F.concat(F.lit("^^<"), "o_datatype", F.lit(">"))).otherwise("")
-    o = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).when(F.col("o_kind") == "bnode", F.col("o")).otherwise(F.concat(F.lit('"'), text, F.lit('"'), tail))
+    typed = F.when(F.col("o_datatype") != rdf.XSD + "string", F.concat(F.lit("^^<"), "o_datatype", F.lit(">"))).otherwise("")
+    tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).otherwise(typed)
+    bracketed = F.concat(F.lit("<"), "o", F.lit(">"))
+    literal = F.concat(F.lit('"'), text, F.lit('"'), tail)
+    o = F.when(F.col("o_kind") == "uri", bracketed).when(F.col("o_kind") == "bnode", F.col("o")).otherwise(literal)
     s = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(F.concat(F.lit("<"), "s", F.lit(">")))
     triples.select(F.concat(s, F.lit(" <"), "p", F.lit("> "), o, F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
