@@ -177,6 +177,12 @@ class Shingler:
         return out
 
 
+def _parts(pieces: dict[int, np.ndarray], name: str) -> pa.RecordBatch:
+    """Pieces of a vector as rows (part, bytes)."""
+    packed = pa.array([x.tobytes() for x in pieces.values()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), packed], names=["part", name])
+
+
 def summed(counts: DataFrame, cells: int, chunk: int) -> np.ndarray:
     """Add up rows (part int, counts binary) of int64 pieces of a fixed-size vector; ``cells`` numbers reach the driver."""
 
@@ -186,7 +192,7 @@ def summed(counts: DataFrame, cells: int, chunk: int) -> np.ndarray:
             for part, x in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
                 x = np.frombuffer(x, np.int64)
                 total[part] = total[part] + x if part in total else x
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+        yield _parts(total, "counts")
 
     out = np.zeros(cells, np.int64)
     parts = min(partitions(counts.sparkSession), -(-cells // chunk))
@@ -211,8 +217,8 @@ def bitmap(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
             seen[(mix(x) >> U64(64 - bits)).astype(np.int64)] = True
         packed = np.packbits(seen)
         step = part * 8
-        rows = [(i, packed[i * step : (i + 1) * step].tobytes()) for i in range(len(packed) // step) if packed[i * step : (i + 1) * step].any()]
-        yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "m": pa.array([r[1] for r in rows], pa.binary())})
+        pieces = {i: packed[i * step : (i + 1) * step] for i in range(len(packed) // step)}
+        yield _parts({i: x for i, x in pieces.items() if x.any()}, "m")
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -220,7 +226,7 @@ def bitmap(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
             for i, x in zip(b.column("part").to_pylist(), b.column("m").to_pylist()):
                 x = np.frombuffer(x, np.uint8)
                 total[i] = total[i] | x if i in total else x
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "m": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+        yield _parts(total, "m")
 
     out = np.zeros((1 << bits) // 8, np.uint8)
     marks = ids.select(column).mapInArrow(mark, "part int, m binary").repartition(min(16, words // part), "part")
@@ -242,15 +248,20 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
     Large-star and small-star rounds over written tables until each node hangs on one root that hangs on none; minima and
     roles are grouped partially before any shuffle, so a hub costs no more than its links.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut(edges.distinct(), name)
     while not _stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = cut(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), name)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        after = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        after = cut(after.where("a <> b").distinct(), name)
+        drop(edges)
+        edges = after
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
 def _stars(edges: DataFrame) -> bool:

@@ -12,8 +12,7 @@ A document's set holds its distinct shingles of five words.  Two documents link
 * A large cell's points are packed into an R-tree (slabs by size, leaves by the slab's leading group, boxes of
   coordinate maxima and size ranges); box bounds, then point bounds discard pairs, and the whole texts of the pairs left
   are compared.  One tree over all points would bound nothing: in so many dimensions every box overlaps every query.
-* Families of near copies are first gathered by verified links to a leader, then by each cluster's best pair in each
-  cell; pairs within a cluster are never listed.  The last search is exhaustive between the clusters left.
+* Families of near copies are first gathered by verified links to a leader, then by each cluster's tightest pair; pairs within a cluster are never listed.  The last search is exhaustive between the clusters left.
 
 A text's set is its 64-bit hashes and equal sets are those with equal size and equal 128-bit sums: results are exact but
 for collisions of these hashes.  Words of up to 64 bytes have polynomial hashes, longer ones cryptographic digests.
@@ -32,6 +31,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +233,7 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
                         to.append(x)
                     owners.append((doc, len(s)))
                     size += len(tokens[-1])
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield from flush()
                 tokens, marks, owners, size = [], [], [], 0
         yield from flush()
@@ -287,30 +287,35 @@ def _cells(postings: DataFrame, firsts: DataFrame) -> DataFrame:
     return out
 
 
-def _picked(table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of ``table`` that may be of the nodes: a bitmap of fixed size; an exact join has to follow."""
-    marks = table.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+def _marks(nodes: DataFrame) -> Broadcast:
+    return nodes.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+
+
+def _picked(table: DataFrame, marks: Broadcast, column: str | None = None) -> DataFrame:
+    """Rows of ``table`` whose nodes may be among the marked: a bitmap of fixed size; an exact join has to follow.
+
+    With a ``column`` of texts the rows are (node, z): that column's whole texts compressed.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3).compress
         for b in batches:
             b = b.filter(b.column("node").is_valid())
             ids = b.column("node").to_numpy(zero_copy_only=False)
-            if len(ids):
-                yield b.filter(pa.array(in_bitmap(marks.value, ids)))
+            if not len(ids):
+                continue
+            b = b.filter(pa.array(in_bitmap(marks.value, ids)))
+            if column:
+                z = pa.array([press(t) for _, t in rows_of([b], "node", column)], pa.binary())
+                b = pa.RecordBatch.from_arrays([b.column("node"), z], names=["node", "z"])
+            yield b
 
-    return table.mapInArrow(read, table.schema)
+    return table.mapInArrow(read, "node long, z binary" if column else table.schema)
 
 
-def _packed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _packed(texts: DataFrame, nodes: DataFrame, marks: Broadcast) -> DataFrame:
     """(node, z): the whole texts of the nodes, compressed."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(3).compress
-        for b in batches:
-            z = [press(t) for _, t in rows_of([b], "node")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(z, pa.binary())], names=["node", "z"])
-
-    found = _picked(texts.select("node", "text"), nodes).mapInArrow(pack, "node long, z binary")
+    found = _picked(texts.select("node", "text"), marks, "text")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("z").alias("z"))
 
 
@@ -465,7 +470,7 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
 def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose whole texts' sets link."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    texts = _picked(packed, wanted)
+    texts = _picked(packed, _marks(wanted))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, open_ = Shingler(), zstandard.ZstdDecompressor().decompress
@@ -505,9 +510,10 @@ def _clusters(cells: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, cluster) of every node that stands in a cell: the least node that links reach."""
     parts = partitions(cells.sparkSession)
     nodes = cut(cells.select("node").distinct(), "jaccard-nodes")
-    points = _picked(rows.select("node", "n", *(f"m{j}" for j in range(ROUNDS)), "point"), nodes)
+    marks = _marks(nodes)
+    points = _picked(rows.select("node", "n", *(f"m{j}" for j in range(ROUNDS)), "point"), marks)
     points = cut(points.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-points")
-    packed = cut(_packed(texts, nodes), "jaccard-texts")
+    packed = cut(_packed(texts, nodes, marks), "jaccard-texts")
     clusters = cut(nodes.select("node", F.col("node").alias("cluster")), "jaccard-clusters")
 
     def gathered(pairs: DataFrame) -> DataFrame | None:
@@ -520,7 +526,7 @@ def _clusters(cells: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     if not stars.isEmpty():
         clusters = gathered(stars) or clusters
     drop(stars)
-    for every in (False, False, True):
+    for every in (False, True):
         met = _meetings(cells, clusters, points).repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
         pairs = met.mapInArrow(lambda b, all_=every: _search(b, all_), "a long, b long, asks long, tight double")
         if not every:  # one a cluster; the last search lists what is left
