@@ -42,6 +42,8 @@ PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+", re.ASCII)
 CHUNK_BYTES = 16 << 20
+#: Words and ids that a task keeps at most; beyond, it forgets them and encodes words again when they come.
+KNOWN_BYTES = 64 << 20
 DOC_WORDS = 1 << 18
 
 
@@ -138,7 +140,6 @@ def _send(model: Callable[[], str], parts: int) -> Callable[[Iterator[pa.RecordB
             for bucket, (numbers, some) in dealt.items():
                 yield row(bucket, chunk, False, pack(np.diff(numbers, prepend=0), np.array([len(w) for w in some]), b"".join(some)))
 
-
     return run
 
 
@@ -151,6 +152,7 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
         tokenizer.no_truncation()
         tokenizer.no_padding()
         known: dict[bytes, bytes] = {}
+        size = 0
         for b in batches:
             for chunk, doc, packed in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 if doc:
@@ -159,11 +161,14 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
                 gaps, lengths, raw = unpack(packed)
                 ends = np.cumsum([0, *ints(lengths)]).tolist()
                 words = [raw[x:y] for x, y in zip(ends, ends[1:])]
+                if size > KNOWN_BYTES:
+                    known, size = {}, 0
                 new = [w for w in words if w not in known]
                 for i in range(0, len(new), 1024):
                     some = new[i : i + 1024]
                     for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                         known[w] = struct.pack(f"<{len(e)}i", *e.ids)
+                        size += 200 + len(w) + len(known[w])
                 found = [known[w] for w in words]
                 out = pack(ints(gaps), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4"))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([False]), pa.array([out], pa.binary())], names=["chunk", "doc", "packed"])

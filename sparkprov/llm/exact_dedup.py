@@ -2,8 +2,8 @@
 
 Texts are equal when identical after deleting every byte of [\\x20\\x09-\\x0D].  Null text counts as empty, and all empty
 texts are equal.  Of a group the row with the most code points, then the smallest doc_id stays (a null doc_id last);
-rows with one doc_id are told apart by content, and of wholly equal rows with one doc_id all carry the same keep_id and
-kept flag.  An empty table gives an empty result; other columns are ignored.
+rows with one doc_id are told apart by content, and rows with one doc_id, equal texts and as many code points all carry
+the same keep_id and kept flag; ``keep_one`` keeps one of them.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def normal(text: bytes) -> bytes:
     return text.translate(None, GAPS)
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_hash) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), a row per document.
+def _groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_hash) -> DataFrame:
+    """(doc_id, n code points, keep_id, group_size, kept, text_sha256), a row per document.
 
     First pass: hash and length of each text.  Second pass, only over texts whose hash others share (found by a bitmap
     of fixed size, then exactly): distinct bytes of each hash, grouped partially before the shuffle, so thousands of
@@ -83,17 +83,30 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_has
     groups = keyed.groupBy("h", "variant").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
     out = keyed.join(groups, ["h", "variant"])
     keep = -F.col("best.id")
-    return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(keep) & (F.col("n") == F.col("best.n"))).alias("kept"), F.col("sha").alias("text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(keep) & (F.col("n") == F.col("best.n"))
+    return out.select("doc_id", "n", keep.alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_hash) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), a row per document."""
+    return _groups(docs, digest).drop("n")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the copies: one row of each group, whole."""
-    rows = cut(exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg(F.count(F.lit(1)).alias("_n")), "dedup-kept")
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    same = docs.withColumn("_sha", sha).join(rows, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    if not rows.where("_n > 1").isEmpty():  # rows repeated under one doc_id
-        same = same.dropDuplicates(["doc_id", "_sha"])
-    return same.select(*docs.columns)
+    """Documents without the copies: one row of each group, whole.
+
+    Where several rows of one doc_id may stay, the least of them as JSON does.
+    """
+    rows = _groups(docs).where("kept").groupBy("doc_id", "text_sha256", "n").agg(F.count(F.lit(1)).alias("many"))
+    rows = cut(rows.toDF("_doc_id", "_sha", "_n", "many"), "dedup-kept")
+    text = F.coalesce("text", F.lit(""))
+    sha = F.sha2(F.translate(text, GAPS.decode(), ""), 256)
+    docs = docs.select("doc_id", sha.alias("sha"), F.char_length(text).cast("long").alias("n"), F.struct("*").alias("row"))
+    same = docs["doc_id"].eqNullSafe(rows["_doc_id"]) & (docs["sha"] == rows["_sha"]) & (docs["n"] == rows["_n"])
+    out = docs.join(rows, same, "left_semi")
+    if not rows.where("many > 1").isEmpty():
+        out = out.groupBy("doc_id", "sha", "n").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.select("row.*")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import BLOCK, documents, partitions
 
 LEAST, USUAL, MOST = 16, 64, 384
 #: Zero bits asked for before and after the usual length.
@@ -36,14 +36,23 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places after bytes whose hash has STRICT zero bits, and LOOSE ones; a long text is read in windows."""
+    strict, loose = [], []
+    for at in range(0, len(data), BLOCK):
+        before = min(at, 31)
+        h = gear(data[at - before : at + BLOCK])[before:]
+        for out, bits in ((strict, STRICT), (loose, LOOSE)):
+            out.append(np.flatnonzero(h >> np.uint32(32 - bits) == 0) + at + 1)
+    return np.concatenate(strict), np.concatenate(loose)
+
+
 def boundaries(data: np.ndarray) -> list[int]:
     """Ends of the chunks."""
     n = len(data)
     if n <= LEAST:
         return [n] if n else []
-    h = gear(data)
-    loose = np.flatnonzero(h >> np.uint32(32 - LOOSE) == 0) + 1
-    strict = np.flatnonzero(h >> np.uint32(32 - STRICT) == 0) + 1
+    strict, loose = marks(data)
     ends, at = [], 0
     while n - at > LEAST:
         early = np.searchsorted(strict, at + LEAST)
@@ -80,65 +89,92 @@ def containment(a: dict[str, int], b: dict[str, int]) -> float:
     return sum(n for d, n in a.items() if d in b) / whole
 
 
+def range_of(edges: list[int], value: Column) -> Column:
+    """How many of the ascending edges are at most ``value``: found in two steps, each over about the root of their number."""
+    wide = max(1, round(len(edges) ** 0.5))
+    parts = [edges[i : i + wide] for i in range(0, len(edges), wide)]
+
+    def longs(text: str) -> Column:
+        return F.split(F.lit(text), ",").cast("array<long>")
+
+    if not parts:
+        return F.lit(0)
+    coarse = F.size(F.filter(longs(",".join(str(p[0]) for p in parts)), lambda c: c <= value))
+    fine = F.split(F.lit(";".join(",".join(map(str, p)) for p in parts)), ";")
+    inside = F.size(F.filter(F.split(F.element_at(fine, F.greatest(coarse, F.lit(1))), ",").cast("array<long>"), lambda c: c <= value))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + inside)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text, fingerprint, edited, edited_fingerprint, near_edited, near_next).
 
     Rows are dealt by range of doc_id and sorted within ranges; a range also gets the first document of the next range
-    with rows (the last one the very first), so texts are shuffled once and no task holds more than a range.
+    with rows (the last one the very first), so texts are shuffled once and no task holds more than one document and its
+    next.  Rows with one doc_id go through one task, one after another.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    edges = F.array(*(F.lit(int(c)) for c in cuts)).cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
-    firsts = ids.select("doc_id", part.alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).orderBy("part").collect()
+    shares = [i / parts for i in range(1, parts)]
+    cuts = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", shares, 0.2 / parts) if shares else []
+    edges = sorted({int(c) for c in cuts})
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(range_of(edges, F.col("doc_id")))
+    found = (F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null"))
+    firsts = ids.select("doc_id", part.alias("part")).groupBy("part").agg(*found).orderBy("part").collect()
     # one row a range: its first doc_id goes to the range before as well
-    after = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    heads = [(None if r["null"] else r["first"], r["part"], after[r["part"]]) for r in firsts]
-    known = spark.createDataFrame([(h[0], h[1], h[2]) for h in heads], "head long, own int, before int")
+    heads = [(None if r["null"] else r["first"], r["part"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    known = spark.createDataFrame(heads, "head long, own int, before int")
     dealt = rows.withColumn("part", part).withColumn("extra", F.lit(0))
-    lent = rows.withColumn("own", part).join(F.broadcast(known.withColumnRenamed("own", "o")), (F.col("own") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    lent = lent.groupBy("before").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id")).select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("extra"))
+    # heads by id: at most one a range, so the broadcast has as many rows as there are partitions
+    lent = rows.join(F.broadcast(known), F.col("doc_id").eqNullSafe(F.col("head")))
+    lent = lent.groupBy("before").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    lent = lent.select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("extra"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, size = None, 0
         out: list[tuple] = []
 
         def emit(nxt: tuple) -> None:
+            nonlocal size
             doc, text, mine = held[0], held[1], held[2]
             k = len(text) // 4
             edited = text[: len(text) - k] + nxt[1][:k]
             theirs = fingerprint(edited.encode())
+            size += len(text)
             out.append((doc, text, written(mine), edited, written(theirs), containment(mine, theirs), containment(mine, nxt[2])))
 
         def batch() -> pa.RecordBatch:
+            nonlocal size
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             names = ("doc_id", "text", "fingerprint", "edited", "edited_fingerprint", "near_edited", "near_next")
             made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
             out.clear()
+            size = 0
             return made
 
         for b in batches:
             for doc, text, extra, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "extra", "part"))):
                 row = (doc, text, fingerprint(text.encode()), at)
                 if held is not None:
-                    assert held[3] == at, "a range without the first row of the next"
+                    if held[3] != at:
+                        raise RuntimeError("a range without the first row of the next")
                     emit(row)
                 held = None if extra else row
-                if len(out) >= 200:
+                if len(out) >= 200 or size > BLOCK:
                     yield batch()
         if out:
             yield batch()
 
     sent = dealt.unionByName(lent).repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
-    return sent.mapInArrow(scan, "doc_id long, text string, fingerprint string, edited string, edited_fingerprint string, near_edited double, near_next double")
+    texts = "doc_id long, text string, fingerprint string, edited string, edited_fingerprint string"
+    return sent.mapInArrow(scan, f"{texts}, near_edited double, near_next double")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     out = fingerprints(documents(spark, sf_dir))
-    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    n_chars, edited = F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+    return out.select("doc_id", n_chars, edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 QUERIES, SQL = {"op10_fingerprints": op10_fingerprints}, {}

@@ -24,6 +24,8 @@ from .ftrl import fold
 
 SIZE = 512
 TABLE = 1 << 14
+#: Characters of a text that are held as arrays at once.
+WINDOW = 1 << 18
 
 
 class Bundler:
@@ -56,21 +58,34 @@ class Bundler:
             out.append(k)
         return out
 
+    def _grams(self, text: str) -> Iterator[np.ndarray]:
+        """Trigrams window by window: letters, runs of anything else as one gap, a gap at either end."""
+        last = np.zeros(1, np.int64)
+        for at in range(0, len(text), WINDOW):
+            codes = self.lower[np.frombuffer(text[at : at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            codes = codes[(codes != 0) | (np.append(last[-1:], codes[:-1]) != 0)]
+            codes = np.append(last, codes)
+            yield self._bound(codes)
+            last = codes[-2:]
+        if last[-1]:
+            yield self._bound(np.append(last, 0))
+
+    @staticmethod
+    def _bound(codes: np.ndarray) -> np.ndarray:
+        return (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+
     def __call__(self, text: str | None) -> np.ndarray | None:
         """None without a letter."""
-        codes = self.lower[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not codes.any():
-            return None
-        codes = np.concatenate([[0], codes, [0]])
-        codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
-        grams, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
-        total = np.zeros(SIZE, np.float32)
-        for i in range(0, len(grams), TABLE):
-            part = grams[i : i + TABLE]
-            if len(self.at) + len(part) > TABLE:
-                self._clear()
-            total += counts[i : i + TABLE].astype(np.float32) @ self.rows[self._places(part)].astype(np.float32)
-        return total
+        total, any_ = np.zeros(SIZE, np.float32), False
+        for found in self._grams(text or ""):
+            grams, counts = np.unique(found, return_counts=True)
+            any_ = any_ or len(grams) > 0
+            for i in range(0, len(grams), TABLE):
+                part = grams[i : i + TABLE]
+                if len(self.at) + len(part) > TABLE:
+                    self._clear()
+                total += counts[i : i + TABLE].astype(np.float32) @ self.rows[self._places(part)].astype(np.float32)
+        return total if any_ else None
 
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:

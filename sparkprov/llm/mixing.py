@@ -4,8 +4,9 @@ DataFrame functions only.  Each source has a weight schedule over training time
 shape.  The schedule is integrated, the integral scaled to the source's target, and the inverse of that cumulative demand
 gives every copy of a document its training position; documents are range-sorted by position.
 
-Null text counts as empty (size 0, nothing taken); a null source is a source of its own, after all others; rows with
-equal doc_id, source and size get equal decisions; an empty table gives an empty result; other columns are ignored.
+Null text counts as empty (size 0, nothing taken); a null source is a source of its own, after all others.  Rows with
+equal doc_id, source and text are copies: they stand one after another in their source, and the whole result doesn't
+depend on which row is which.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def segments(shape: list[tuple[float, float]]) -> Column:
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(shape, shape[1:]))
     out, done = [], 0.0
     for (t, v), (t1, v1) in zip(shape, shape[1:]):
-        out.append(F.struct(*(F.lit(float(x)).alias(n) for n, x in (("t", t), ("v", v / area), ("slope", (v1 - v) / area / (t1 - t)), ("done", done)))))
+        fields = (("t", t), ("v", v / area), ("slope", (v1 - v) / area / (t1 - t)), ("done", done))
+        out.append(F.struct(*(F.lit(float(x)).alias(n) for n, x in fields)))
         done += (t1 - t) * (v + v1) / 2 / area
     return F.array(*out)
 
@@ -52,7 +54,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     per = per.withColumn("most", cap * F.col("source_size")).withColumn("full_at", F.col("most") / F.col("weight"))
     every = Window.partitionBy()
     before = Window.orderBy("full_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    none = F.lit(0.0)
+    words = F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), none)
+    level = words / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), none))
     per = per.withColumn("level", level).withColumn("open", F.col("level") <= F.col("full_at"))
     first = F.min(F.when(F.col("open"), F.struct("full_at", F.col("source").isNull(), "source", "level"))).over(every)
     per = per.withColumn("level", first["level"])
@@ -60,46 +64,89 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = CAP, shapes: dict[float, list[tuple[float, float]]] | None = None, digits: int = 3) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, positions (array of double, one a copy).
+def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("doc_id", "source", "h")) -> Column:
+    """Rows of the same document: null matches null."""
+    out = F.lit(True)
+    for k in keys:
+        out &= a[k].eqNullSafe(b[f"_{k}"])
+    return out
 
-    A source's documents lie in the order of md5(doc_id); its stream, repeated, is taken up to the target.  The place of
-    a document in the stream is its place within one of 16**digits buckets of its source plus the sum of the buckets
-    before, so no task gets a whole source.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, h, size): h tells texts apart."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("h"), size.alias("size"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    cap: float = CAP,
+    shapes: dict[float, list[tuple[float, float]]] | None = None,
+    digits: int = 3,
+) -> DataFrame:
+    """One row per document: doc_id, source, h (of the text), size, source_size, target, taken, positions (array of
+    double, one a copy in the mix), whole (array of boolean: at least half of that copy was taken, or it is all its
+    source gives).
+
+    A source's documents lie in the order of a hash of doc_id and text; its stream, repeated, is taken up to the target.
+    The place of a document in the stream is its place within one of 16**digits buckets of its source plus the sum of the
+    buckets before, so no task gets a whole source.  Copies of one row are counted before any row is placed, so neither
+    a source nor a document that is repeated often meets in one task.
     """
     shapes = shapes or SHAPES
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = cut(sizes, "mix-sizes").withColumn("at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("at", 1, digits))
+    rows = cut(_keyed(docs).groupBy("doc_id", "source", "h", "size").agg(F.count(F.lit(1)).alias("times")), "mix-sizes")
+    at = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "h"))
+    rows = rows.withColumn("at", at).withColumn("bucket", F.substring("at", 1, digits)).withColumn("words", F.col("size") * F.col("times"))
     flat = [(0.0, 1.0), (1.0, 1.0)]
     shape = F.coalesce(*(F.when(F.col("weight") == w, segments(shapes.get(w, flat))) for w in dict.fromkeys(weights)))
-    goal = targets(sizes, weights, cap).withColumn("segs", shape)
-    per = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    goal = targets(rows.select("source", F.col("words").alias("size")), weights, cap).withColumn("segs", shape)
+    per = rows.groupBy("source", "bucket").agg(F.sum("words").alias("in_bucket"))
     per = per.withColumn("offset", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket"))
-    per = per.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(F.col("p.source").alias("s"), F.col("p.bucket").alias("b"), "offset", "source_size", "target", "segs")
+    per = per.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
+    per = per.select(F.col("p.source").alias("_source"), F.col("p.bucket").alias("_bucket"), "offset", "source_size", "target", "segs")
     inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size")
-    rows = sizes.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    rows = rows.withColumn("begin", F.col("offset") + F.col("end") - F.col("size")).withColumn("whole", F.floor("target"))
-    copies = F.transform(
-        F.sequence(F.lit(0), F.lit(max(0, int(-(-cap // 1)) - 1))),
-        lambda e: F.struct((F.col("begin") + e * F.col("source_size")).alias("from"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("whole") - F.col("begin") - e * F.col("source_size"))).alias("words")),
-    )
-    rows = rows.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    positions = F.transform("copies", lambda c: when_reached(F.col("segs"), F.least(F.lit(1.0), (c["from"] + c["words"] / 2.0) / F.col("target"))))
-    halves = F.transform("copies", lambda c: 2 * c["words"] >= F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"), halves.alias("halves"))
+    rows = rows.withColumn("end", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(per, _same(rows, per, ("source", "bucket")))
+    rows = rows.withColumn("first", F.col("offset") + F.col("end") - F.col("words")).withColumn("limit", F.floor("target"))
+    # a row for each copy again, in two steps so that no array grows with the copies of one document
+    step = 1 << 16
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(step).cast("long"))))
+    rows = rows.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("times"), F.col("_from") + step) - 1)))
+    rows = rows.withColumn("begin", F.col("first") + F.col("_i") * F.col("size"))
+
+    def copy(e: Column) -> Column:
+        start = F.col("begin") + e * F.col("source_size")
+        words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("limit") - start))
+        return F.struct(start.alias("from"), words.alias("words"))
+
+    copies = F.transform(F.sequence(F.lit(0), F.lit(max(0, int(-(-cap // 1)) - 1))), copy)
+    rows = rows.withColumn("placed", F.filter(copies, lambda c: c["words"] > 0))
+    taken = F.aggregate("placed", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    positions = F.transform("placed", lambda c: when_reached(F.col("segs"), F.least(F.lit(1.0), (c["from"] + c["words"] / 2.0) / F.col("target"))))
+    whole = F.transform("placed", lambda c: (2 * c["words"] >= F.col("size")) | (c["from"] == 0))
+    fixed = ("doc_id", "source", "h", "size", "source_size", "target")
+    return rows.select(*fixed, taken.alias("taken"), positions.alias("positions"), whole.alias("whole"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each whole document once a copy of which at least half was taken, range-sorted by training position."""
-    kept = mix_sources(docs, **options).select("doc_id", "source", "size", F.arrays_zip("positions", "halves").alias("copies"))
-    kept = kept.withColumn("copies", F.transform(F.filter("copies", lambda c: c["halves"]), lambda c: c["positions"])).where(F.size("copies") > 0)
-    kept = kept.dropDuplicates(["doc_id", "source", "size"]).select(F.col("doc_id").alias("k1"), F.col("source").alias("k2"), F.col("size").alias("k3"), "copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("k1")) & F.col("source").eqNullSafe(F.col("k2")) & (size == F.col("k3"))
-    out = docs.join(kept, same).select(*docs.columns, F.explode("copies").alias("_position"))
-    return out.orderBy("_position", "doc_id").drop("_position")
+    """The mix itself: a row for each whole copy, range-sorted by training position.
+
+    A copy that the target cuts is in the mix if half of it was taken or if it is its source's first; so a source's words
+    differ from its target by at most half of one document, or by less than one where the target is less than half
+    of it, and no source with a target is absent.  Of rows with equal doc_id, source and text that differ in other
+    columns the least (as JSON) stands for all; null texts count as empty ones.
+    """
+    mix = mix_sources(docs, **options)
+    copies = mix.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), F.arrays_zip("positions", "whole").alias("c"))
+    copies = copies.select("_doc_id", "_source", "_h", F.explode("c").alias("c")).where("c.whole").select("_doc_id", "_source", "_h", F.col("c.positions").alias("position"))
+    copies = cut(copies, "mix-copies")
+    keys = ["doc_id", "source", "h"]
+    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.struct("*").alias("row"))
+    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+        rows = rows.groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    out = rows.join(copies, _same(rows, copies)).select("row", "position", "doc_id")
+    return out.orderBy("position", "doc_id").select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -110,7 +157,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS at,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS at,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),

@@ -33,12 +33,13 @@ class Features:
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        words = self.words.scan(raw, first)
         shape = self.kind[raw]
         keep = np.append(True, shape[1:] != shape[:-1]) | self.shapes.space[shape]
-        shapes = self.shapes.scan(shape[keep], np.append(0, np.cumsum(keep))[first])
+        ends = np.append(0, np.cumsum(keep))[first]
+        shape = shape[keep].tobytes()
+        shapes = [shape[a : b - 1] for a, b in zip(ends, ends[1:])]
         found, owner = [], []
-        for salt, (h, doc) in enumerate(((words.h, words.doc), (shapes.h, shapes.doc))):
+        for salt, (h, doc) in enumerate((self.words.hashes(texts), self.shapes.hashes(shapes))):
             for n in (1, 2, 3)[: 2 + salt]:
                 if len(h) < n:
                     continue

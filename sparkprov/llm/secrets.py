@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 or more characters of [A-Za-z0-9+/_=-]; values of any length and character after a word that
+Candidates are runs of 16 or more characters of [A-Za-z0-9+/_=-]; private key blocks from BEGIN to END; three such runs
+that dots join (web tokens); values of any length and character after a word that
 speaks for a secret and =, : or "is", or after "Bearer" (in quotes: all within; else up to white space, and up to the
 first of ``,;&`` too); and what stands between user: and @host.  Candidates may overlap.  The forest sees its length, shares of
 character classes, transitions between classes, entropy, the share that dictionary words cover, the path it comes from
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+BLOCKS = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+DOTTED = re.compile(r"\b[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2}")
 NEAR = 40
 SET = re.compile(r"[=:]+>?(?:\s*[\"']?bearer\s)?|\b(?:is|bearer)\s", re.I)
 NAME = re.compile(r"([\w\-]+)[\"'\]]*\s*$")
@@ -80,7 +83,7 @@ def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray
         word, bad = str(rng.choice(FOR)), str(rng.choice(AGAINST))
         path = str(rng.choice(["src/app/settings.py", "deploy/prod.env", "src7", "src12", "notes.txt"]))
         form = f"{prose()} {word} {rng.choice(['=', ':', '= ', ': '])}{rng.choice(['', chr(34), chr(39)])}"
-        kind = int(rng.integers(0, 16))
+        kind = int(rng.integers(0, 18))
         if kind in (12, 13):
             secret = draw("any", int(rng.integers(4, 24))) if rng.random() < 0.7 else str(rng.choice(PLAIN)).title() + draw("digits", int(rng.integers(2, 5))) + str(rng.choice(list("!#$?@")))
             row = (secret, form if kind == 12 else f"{prose()} {rng.choice(['postgres://', 'https://', 'amqp://', ''])}{rng.choice(PLAIN)}:", '" ' + prose() if kind == 12 else f"@{rng.choice(PLAIN)}.{rng.choice(PLAIN)}/", path)
@@ -89,6 +92,16 @@ def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray
             if kind == 15:
                 plain = [str(rng.choice(list("=-_/+"))) * int(rng.integers(16, 60)), "".join(str(w).title() for w in rng.choice(PLAIN, 5)), "_".join(map(str, rng.choice(PLAIN, 5))), "-".join(map(str, rng.choice(PLAIN, 5))), str(rng.choice(["a", "x", "ab"])) * 20, "".join(map(str, rng.choice(SYLLABLES, 7))), "".join(map(str, rng.choice(SYLLABLES, 7))).upper()][int(rng.integers(0, 7))]
             row = (plain, form if kind == 14 or rng.random() < 0.2 else prose() + " ", " " + prose(), path)
+        elif kind == 16:
+            head = str(rng.choice(["", "RSA ", "EC ", "OPENSSH "])) + "PRIVATE KEY"
+            body = "\n".join(draw("alnum", 64) for _ in range(int(rng.integers(1, 8))))
+            block = f"-----BEGIN {head}-----\n{body}\n-----END {head}-----"
+            row = (block, prose() + "\n", "\n" + prose(), path)
+        elif kind == 17:
+            dotted = rng.random() < 0.5
+            parts = [draw("alnum", int(rng.integers(20, 80))) for _ in range(2)]
+            words = ".".join(str(rng.choice(SYLLABLES)) + str(rng.choice(PLAIN)) + str(rng.choice(SYLLABLES)) for _ in range(3))
+            row = ("eyJ" + ".".join([draw("alnum", 17), *parts]) if dotted else words, form if dotted else prose() + " ", " " + prose(), path)
         elif kind < 5:
             secret = [draw("hex", int(rng.choice([32, 40, 64]))), draw("alnum", int(rng.integers(20, 64))), "AKIA" + draw("upper", 16), "ghp_" + draw("alnum", 36), "sk-" + draw("alnum", 48)][kind]
             row = (secret, form if kind < 2 or rng.random() < 0.6 else prose() + " ", '" ' + prose(), path)
@@ -99,7 +112,7 @@ def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray
             ][kind - 5]
             row = (plain, f"{prose()} {bad} {rng.choice(['', '= ', ': '])}" if kind in (6, 7, 11) else prose() + " ", " " + prose(), path if kind != 11 else "tests/fixture.txt")
         rows.append(features(*row))
-        y.append(float(kind < 5 or kind in (12, 13)))
+        y.append(float(kind < 5 or kind in (12, 13, 16) or kind == 17 and dotted))
     return np.array(rows), np.array(y)
 
 
@@ -155,7 +168,8 @@ class Forest:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate, every span once, in order."""
-    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    spans = {m.span() for found in (CANDIDATE, DOTTED) for m in found.finditer(text)}
+    spans |= {m.span() for m in BLOCKS.finditer(text)} if "PRIVATE KEY" in text else set()
     at = end = 0
     while m := SET.search(text, at):
         at = m.end()

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, documents
+from .common import BLOCK, WordHasher, documents
 from .ftrl import Ftrl, fold, labelled_sample, scored, sigmoid, split_by_doc, trained, verdicts
 
 BITS = 20
@@ -41,6 +41,10 @@ class Features:
         self.words = WordHasher(space=LETTERS_ONLY)
 
     def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK:  # in windows; of a word longer than one its beginning counts
+            parts = [self([t[:BLOCK] if word else t])[0][0] for t, word in self.words.windows(texts[0])]
+            at = np.unique(np.concatenate(parts))
+            return [(at, np.ones(len(at)))]
         words = self.words(texts)
         found = [(words.h, words.doc), *(words.prefixes(k) for k in PREFIXES)]
         at = np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64) for h, _ in found])
