@@ -66,7 +66,7 @@ def features(found: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
-def made_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def made_findings(n: int = 5000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings: (features, 1 for a secret)."""
     rng = np.random.default_rng(seed)
     letters = {"hex": "0123456789abcdef", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
