@@ -74,9 +74,13 @@ def interval_text(orders) -> F.Column:
     return F.concat(F.lit("<"), F.array_join(piece, ";"), F.lit(">"))
 
 
-def intervals(touches: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, orders): a node's own executions; containers that have none get those of all they hold."""
+def interval_rows(touches: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, execution_order): a node's own executions; containers that have none get those of all they hold."""
     held = edges.where("membership")
     inherited = closure(held).join(touches.withColumnRenamed("id", "node"), "node").select(F.col("top").alias("id"), "execution_order")
-    inherited = inherited.join(touches.select("id").distinct(), "id", "left_anti")
-    return touches.unionByName(inherited).groupBy("id").agg(F.array_sort(F.collect_list("execution_order")).alias("orders"))
+    return touches.unionByName(inherited.join(touches.select("id").distinct(), "id", "left_anti"))
+
+
+def intervals(touches: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, orders): the same with a node's executions in one row, as its text needs them."""
+    return interval_rows(touches, edges).groupBy("id").agg(F.array_sort(F.collect_list("execution_order")).alias("orders"))

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of tables that aren't deleted yet.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset and Spark is this one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,16 +30,29 @@ def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    WRITTEN.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written = path
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in WRITTEN:
+        WRITTEN.remove(name)
+
+
 def drop(*written: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and that nothing will read again."""
     for df in written:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all that operators have written in this process: results not yet written elsewhere are lost."""
+    for name in list(WRITTEN):
+        _delete(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

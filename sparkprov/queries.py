@@ -416,8 +416,10 @@ def _held(spark, d):
     kind = F.substring("id", 1, 1)
     label = F.when(kind == "r", "Region").when(kind == "n", "Nation").when(kind == "c", "Customer").otherwise("Order")
     runs = t.where(F.col("dst").startswith("o")).select("dst")
-    nodes = ids.select("id", F.lit("object").alias("type"), label.alias("label")).union(runs.select(F.concat(F.lit("f"), "dst").alias("id"), F.lit("function").alias("type"), F.lit("ship").alias("label")))
-    edges = t.select("src", "dst", F.lit(True).alias("membership"), "label").union(runs.select(F.col("dst").alias("src"), F.concat(F.lit("f"), "dst"), F.lit(False), F.lit(None).cast("string")))
+    ships = runs.select(F.concat(F.lit("f"), "dst").alias("id"), F.lit("function").alias("type"), F.lit("ship").alias("label"))
+    nodes = ids.select("id", F.lit("object").alias("type"), label.alias("label")).union(ships)
+    uses = runs.select(F.col("dst").alias("src"), F.concat(F.lit("f"), "dst"), F.lit(False), F.lit(None).cast("string"))
+    edges = t.select("src", "dst", F.lit(True).alias("membership"), "label").union(uses)
     return nodes, edges
 
 
@@ -452,9 +454,10 @@ def interval_strings(spark, d):
 @query(f"{LEVELS} SELECT top AS id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS sum_orders FROM below JOIN orders ON node = 'o' || o_orderkey GROUP BY 1")
 def interval_propagation(spark, d):
     t = tree(spark, d).withColumn("membership", F.lit(True))
-    touches = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("execution_order"))
-    found = membership.intervals(touches, t).where(F.col("id").startswith("r"))
-    return found.select("id", F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_orders"))
+    orders = table(spark, d, "orders")
+    touches = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderkey").cast("long").alias("execution_order"))
+    found = membership.interval_rows(touches, t).where(F.col("id").startswith("r"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("execution_order").alias("sum_orders"))
 
 
 # --- grouping and summaries
@@ -467,7 +470,10 @@ GRAPH = """nodes AS (
 
 
 def _graph(spark, d) -> DataFrame:
-    part = lambda t, a, key, label, attr: table(spark, d, t).select(F.concat(F.lit(a), key).alias("id"), F.lit(label).alias("label"), (F.col(attr) if attr else F.lit(None).cast("string")).alias("attr"))
+    def part(t: str, a: str, key: str, label: str, attr: str | None) -> DataFrame:
+        value = F.col(attr) if attr else F.lit(None).cast("string")
+        return table(spark, d, t).select(F.concat(F.lit(a), key).alias("id"), F.lit(label).alias("label"), value.alias("attr"))
+
     rows = part("region", "r", "r_regionkey", "Region", "r_name").union(part("nation", "n", "n_nationkey", "Nation", None))
     return rows.union(part("customer", "c", "c_custkey", "Customer", "c_mktsegment")).union(part("orders", "o", "o_orderkey", "Order", "o_orderpriority"))
 
@@ -475,7 +481,9 @@ def _graph(spark, d) -> DataFrame:
 def _nodes(spark, d) -> DataFrame:
     g = _graph(spark, d)
     one = F.create_map(F.lit("attr"), F.struct(F.col("attr").alias("value"), F.lit(None).cast("double").alias("num")))
-    return g.select("id", F.lit("object").alias("type"), "label", F.map_filter(one, lambda k, v: v["value"].isNotNull()).alias("attrs"), F.from_json(F.lit("{}"), build.ATTRS).alias("params"))
+    attrs = F.map_filter(one, lambda k, v: v["value"].isNotNull())
+    none = F.from_json(F.lit("{}"), build.ATTRS)
+    return g.select("id", F.lit("object").alias("type"), "label", attrs.alias("attrs"), none.alias("params"))
 
 
 def _counted(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -509,16 +517,20 @@ def group_by_callable(spark, d):
 @query(f"WITH {EX} SELECT count(*) AS member_count, min('e' || event_id) AS first_member FROM ex GROUP BY event_type, k")
 def group_by_params(spark, d):
     value = F.struct(F.col("k").cast("string").alias("value"), F.col("k").cast("double").alias("num"))
-    n = executions(spark, d).select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("function").alias("type"), F.col("event_type").alias("label"), F.from_json(F.lit("{}"), build.ATTRS).alias("attrs"), F.create_map(F.lit("k"), value).alias("params"))
+    fixed = (F.concat(F.lit("e"), "event_id").alias("id"), F.lit("function").alias("type"), F.col("event_type").alias("label"))
+    attrs = F.from_json(F.lit("{}"), build.ATTRS).alias("attrs")
+    n = executions(spark, d).select(*fixed, attrs, F.create_map(F.lit("k"), value).alias("params"))
     return _counted(summarize.group_key(n, {}), n)
 
 
 @query(f"WITH {EX} SELECT event_type AS label, string_agg(CAST(k AS VARCHAR), ';' ORDER BY k) AS k_values FROM (SELECT DISTINCT event_type, k FROM ex) GROUP BY 1")
 def summarize_values(spark, d):
-    return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(summarize.joined_values(F.col("k").cast("string"), F.col("k").cast("double")).alias("k_values"))
+    values = summarize.joined_values(F.col("k").cast("string"), F.col("k").cast("double"))
+    return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(values.alias("k_values"))
 
 
-@query(f"WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex) SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1")
+@query(f"""WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex)
+SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1""")
 def summarize_intervals(spark, d):
     text = executions(spark, d).groupBy("user_id").agg(membership.interval_text(F.collect_list("n")).alias("t"))
     return text.select("user_id", summarize.merge_intervals(F.col("t")).alias("intervals"))
