@@ -9,10 +9,11 @@ A document's set holds its distinct shingles of five words.  Two documents link
   one).  Rarity is a fixed-size count over all shingles of the corpus; it orders, it never drops.  The rarest shingle a
   pair shares is among the rarest seventh of the set that isn't larger: only these postings look for partners, of their
   set's size to a third more.  Postings without such a partner go, and of cells with the same documents one stays.
-* A large cell's points are packed into an R-tree (slabs by size, leaves by the slab's leading group, boxes of
+* A large cell's points are packed into an R-tree (slabs by size, leaves by the slab's leading groups, boxes of
   coordinate maxima and size ranges); box bounds, then point bounds discard pairs, and the whole texts of the pairs left
   are compared.  One tree over all points would bound nothing: in so many dimensions every box overlaps every query.
-* Families of near copies are first gathered by verified links to a leader, then by each cluster's tightest pair; pairs within a cluster are never listed.  The last search is exhaustive between the clusters left.
+* Families of near copies are first gathered by verified links to a leader, then by each cluster's tightest pair; pairs
+  within a cluster are never listed.  The last search is exhaustive between the clusters left.
 
 A text's set is its 64-bit hashes and equal sets are those with equal size and equal 128-bit sums: results are exact but
 for collisions of these hashes.  Words of up to 64 bytes have polynomial hashes, longer ones cryptographic digests.
@@ -41,7 +42,8 @@ GROUPS = 256
 MOST = (1 << 8) - 1
 CELLS = 1 << 19
 CHUNK = 1 << 13
-LEAF, FAN = 32, 16
+LEAF, FAN, LEADING = 8, 64, 4
+DIRECT = 32
 PIECE = 4096
 ROWS = 1 << 14
 ROUNDS = 4
@@ -79,45 +81,60 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """R-tree over count vectors: slabs of FAN leaves by size, in a slab leaves of LEAF points by its leading group.
+    """R-tree over count vectors: slabs of FAN leaves by size, in a slab leaves of LEAF points by cluster and leading groups.
 
-    The leading group is the one whose counts vary most.  ``discarded`` counts points by the bound that left them out.
+    Leading are the LEADING groups whose counts vary most; like points agree there, and near copies share a cluster, so
+    they come into one leaf.  Leaves are small, as the maxima of many unlike points bound nothing.  Points of the asking
+    cluster aren't wanted: leaves of nothing else are passed over.  ``discarded`` counts points by what left them out.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, clusters: np.ndarray | None = None):
+        clusters = np.arange(len(sizes)) if clusters is None else clusters
         order, wide = np.argsort(sizes, kind="stable"), LEAF * FAN
         for i in range(0, len(order), wide):
             slab = order[i : i + wide]
-            lead = int(points[slab].astype(np.float32).var(0).argmax())
-            order[i : i + wide] = slab[np.argsort(points[slab, lead], kind="stable")]
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
+            lead = np.argsort(points[slab].astype(np.float32).var(0), kind="stable")[-LEADING:]
+            several = clusters[slab] if len(np.unique(clusters[slab])) < len(slab) else np.zeros(len(slab))
+            order[i : i + wide] = slab[np.lexsort([*points[slab][:, lead].T, several])]
+        self.order, self.points, self.sizes, self.clusters = order, points[order], sizes[order], clusters[order]
         self.slabs, self.leaves = (self._boxes(np.arange(0, len(order), step)) for step in (wide, LEAF))
         self.discarded: Counter = Counter()
 
-    def _boxes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+    def _boxes(self, starts: np.ndarray) -> list[np.ndarray]:
+        """Coordinate maxima, least and largest size, and the cluster where it is one, else -1."""
+        low, high = (f.reduceat(self.clusters, starts) for f in (np.minimum, np.maximum))
+        ends = [f.reduceat(self.sizes, starts) for f in (np.minimum, np.maximum)]
+        return [np.maximum.reduceat(self.points, starts), *ends, np.where(low == high, low, -1), low == high]
 
-    def _open(self, boxes: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-        top, low, high = (x[at] for x in boxes)
+    def _open(self, boxes: list[np.ndarray], at: np.ndarray, p: np.ndarray, n: int, cluster: int | None) -> np.ndarray:
+        top, low, high, of, one = (x[at] for x in boxes)
         fits = (DEN * n >= NUM * low) & (DEN * high >= NUM * n)
+        if cluster is not None:
+            fits &= ~one | (of != cluster)
         at, top, low = at[fits], top[fits], low[fits]
         return at[overlap_bound(top, p) >= need(n, np.maximum(low, -(-NUM * n // DEN)))]
 
-    def near(self, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the given order) of the points that may be within reach of point p of size n, and their bounds."""
-        slabs = self._open(self.slabs, np.arange(len(self.slabs[1])), p, n)
+    def near(self, p: np.ndarray, n: int, cluster: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the given order) of the points that may be within reach of point p of size n, and their bounds;
+        with a cluster, only of points in others."""
+        slabs = self._open(self.slabs, np.arange(len(self.slabs[1])), p, n, cluster)
         at = (slabs[:, None] * FAN + np.arange(FAN)).ravel()
-        leaves = self._open(self.leaves, at[at < len(self.leaves[1])], p, n)
+        leaves = self._open(self.leaves, at[at < len(self.leaves[1])], p, n, cluster)
         at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.sizes)]
-        self.discarded["box"] += len(self.sizes) - len(at)
+        if cluster is not None:
+            wanted = int((self.clusters != cluster).sum())
+            at = at[self.clusters[at] != cluster]
+        else:
+            wanted = len(self.sizes)
+        self.discarded["box"] += wanted - len(at)
         m = self.sizes[at]
         fits = DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
+        self.discarded["size"] += int((~fits).sum())
         at, m = at[fits], m[fits]
         bound = overlap_bound(self.points[at], p)
         left = bound >= need(n, m)
         self.discarded["point"] += len(m) - int(left.sum())
-        self.discarded["size"] += int((~fits).sum())
         return self.order[at[left]], bound[left]
 
 
@@ -201,6 +218,7 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     """
     heavy, many = counts.mean() + 6 * np.sqrt(counts.mean()) + 500, parts * SUB
     shared = texts.sparkSession.sparkContext.broadcast((counts, heavy))
+    names = ["bucket", *(c for c, _ in POSTING), "pack"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -217,14 +235,16 @@ def _postings(texts: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             if hot.any():
                 salt = (mix(t[hot] ^ mix(d[hot].view(np.uint64))) % U64(many)).astype(np.int32)
                 rows = [t[hot].view(np.int64), d[hot], n[hot].astype(np.int32), m[hot]]
-                yield pa.RecordBatch.from_arrays([pa.array(salt), *map(pa.array, rows), pa.nulls(len(salt), pa.binary())], names=["bucket", *(c for c, _ in POSTING), "pack"])
+                columns = [pa.array(salt), *map(pa.array, rows), pa.nulls(len(salt), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
             bucket = (mix(t, 3) % U64(many)).astype(np.int32)[~hot]
             order = np.argsort(bucket, kind="stable")
-            columns = [x[~hot][order].astype(kind, copy=False) if kind != np.int64 else x[~hot][order].view(kind) for x, (_, kind) in zip((t, d, n, m), POSTING)]
+            light = [x[~hot][order] for x in (t.view(np.int64), d, n, m)]
+            columns = [x.astype(kind, copy=False) for x, (_, kind) in zip(light, POSTING)]
             full, start = np.unique(bucket[order], return_index=True)
             packs = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(start, [*start[1:], len(order)])]
             none = [pa.nulls(len(full), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *none, pa.array(packs, pa.binary())], names=["bucket", *(c for c, _ in POSTING), "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *none, pa.array(packs, pa.binary())], names=names)
 
         for ids, block in blocks(rows_of(batches, "node")):
             for doc, s in zip(ids, shingles(block)):
@@ -359,7 +379,8 @@ def _meetings(cells: DataFrame, clusters: DataFrame, points: DataFrame) -> DataF
     def pieces(c: Column) -> Column:
         return F.when(whole, 1).otherwise(F.ceil(c / PIECE)).cast("int")
 
-    mixed = mixed.select("token", F.col("main.cluster").alias("main"), whole.alias("whole"), pieces(F.col("main.c")).alias("mine"), pieces(F.col("k") - F.col("main.c")).alias("others"))
+    mine, others = pieces(F.col("main.c")), pieces(F.col("k") - F.col("main.c"))
+    mixed = mixed.select("token", F.col("main.cluster").alias("main"), whole.alias("whole"), mine.alias("mine"), others.alias("others"))
     rows = held.join(mixed, "token").withColumn("main", ~F.col("whole") & (F.col("cluster") == F.col("main")))
     at = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mine")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", F.when(F.col("whole"), 0).when(F.col("main"), at).otherwise(F.col("mine") + at))
@@ -414,7 +435,7 @@ def _fitting(n: np.ndarray, small: np.ndarray, group: np.ndarray) -> tuple[np.nd
 def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes in different clusters that the bounds leave: (a, b, cluster of the one that asks, tightness).
 
-    All of them if ``every``, else the tightest of each meeting and asking cluster.  Cells that would fill one leaf
+    All of them if ``every``, else the tightest of each meeting and asking cluster.  Cells of up to DIRECT points
     compare points directly, several cells at once and each pair once.
     """
     for t, starts in _runs(batches, ["token", "p", "q"]):
@@ -428,7 +449,7 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
         points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
         apart = p != q
         sizes = np.bincount(group)
-        direct = sizes[group] <= LEAF
+        direct = sizes[group] <= DIRECT
         found = []
         i, k = _fitting(n, small & direct, group)
         ok = (cluster[i] != cluster[k]) & (~apart[i] | (own[i] != own[k]))
@@ -443,13 +464,13 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
             bound = overlap_bound(points[a], points[b])
             left = bound >= need(n[a], n[b])
             found.append((a[left], b[left], bound[left]))
-        for g in np.flatnonzero(sizes > LEAF):
+        for g in np.flatnonzero(sizes > DIRECT):
             at = np.flatnonzero(group == g)
-            tree = CountTree(points[at], n[at])
+            tree = CountTree(points[at], n[at], cluster[at])
             for a in at[small[at]]:
-                near, bound = tree.near(points[a], int(n[a]))
+                near, bound = tree.near(points[a], int(n[a]), int(cluster[a]))
                 b = at[near]
-                ok = (cluster[b] != cluster[a]) & (n[b] >= n[a])
+                ok = n[b] >= n[a]
                 if apart[a]:
                     ok &= own[b] != own[a]
                 if not every and ok.any():  # the tightest of these is enough
