@@ -104,11 +104,16 @@ def chunk_name(ids: list, texts: list[bytes], *place: int) -> int:
     return int.from_bytes(found.digest(), "little", signed=True)
 
 
+def _packed(chunk: int, doc: bool, packed: bytes) -> pa.RecordBatch:
+    columns = [pa.array([chunk], pa.int64()), pa.array([doc]), pa.array([packed], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc", "packed"])
+
+
 def _send(model: Callable[[], str], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Chunks as rows of words by bucket (gaps of their ascending numbers, lengths, bytes) and rows of documents, dealt evenly."""
 
     def row(bucket: int, chunk: int, doc: bool, packed: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([doc]), pa.array([packed], pa.binary())], names=["bucket", "chunk", "doc", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *_packed(chunk, doc, packed).columns], names=["bucket", "chunk", "doc", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = Splitter(model()), TaskContext.get().partitionId()
@@ -156,7 +161,7 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
         for b in batches:
             for chunk, doc, packed in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 if doc:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([True]), pa.array([packed], pa.binary())], names=["chunk", "doc", "packed"])
+                    yield _packed(chunk, True, packed)
                     continue
                 gaps, lengths, raw = unpack(packed)
                 ends = np.cumsum([0, *ints(lengths)]).tolist()
@@ -171,7 +176,7 @@ def _encode_words(model: Callable[[], str]) -> Callable[[Iterator[pa.RecordBatch
                         size += 200 + len(w) + len(known[w])
                 found = [known[w] for w in words]
                 out = pack(ints(gaps), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([False]), pa.array([out], pa.binary())], names=["chunk", "doc", "packed"])
+                yield _packed(chunk, False, out)
 
     return run
 
@@ -253,7 +258,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = list(_lists(b.column(1)))
         hashes = [sha(",".join(map(str, x))) for x in ids], [sha(x) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, hashes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(h, pa.string()) for h in hashes)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

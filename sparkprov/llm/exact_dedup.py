@@ -64,9 +64,9 @@ def _groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_hash) ->
             keys = [digest(t) for t in found]
             slots = np.array([int.from_bytes(k[:8].ljust(8, b"\0"), "little", signed=True) for k in keys], np.int64)
             keep = np.flatnonzero(in_bitmap(marks.value, slots)) if len(slots) else []
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column(0).cast(pa.int64()).take(pa.array(keep, pa.int64())), "h": pa.array([keys[i] for i in keep], pa.binary()), "content": pa.array([found[i] for i in keep], pa.binary())}
-            )
+            ids = b.column(0).cast(pa.int64()).take(pa.array(keep, pa.int64()))
+            columns = [ids, *(pa.array([x[i] for i in keep], pa.binary()) for x in (keys, found))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "content"])
 
     near = texts.mapInArrow(suspects, "doc_id long, h binary, content binary")
     contents = near.groupBy("h", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -77,7 +77,8 @@ def _groups(docs: DataFrame, digest: Callable[[bytes], bytes] = content_hash) ->
         several = near.join(clash, "h").select("doc_id", "h", "content")
         order = several.select("h", "content").distinct().withColumn("variant", F.dense_rank().over(Window.partitionBy("h").orderBy("content")))
         apart = several.join(order, ["h", "content"]).select("doc_id", "h", F.sha2("content", 256).alias("sha"), "variant").distinct()
-        keyed = rows.join(apart.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")) & (rows.h == apart.h) & (rows.sha == apart.sha), "left")
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (rows.h == apart.h) & (rows.sha == apart.sha)
+        keyed = rows.join(apart.withColumnRenamed("doc_id", "d"), same, "left")
         keyed = keyed.select(rows.doc_id, rows.h, "n", rows.sha, F.coalesce("variant", F.lit(0)).alias("variant"))
     best = F.max(F.struct("n", (-F.col("doc_id")).alias("id")))
     groups = keyed.groupBy("h", "variant").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))

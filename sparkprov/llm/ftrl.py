@@ -79,7 +79,8 @@ def scored(docs: DataFrame, weights: np.ndarray, features: Callable[[], Callable
 
 
 def verdicts(scores: DataFrame, n: int, held: int, least: float) -> DataFrame:
-    return scores.select("doc_id", F.coalesce(fold("doc_id", n) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    held_out = F.coalesce(fold("doc_id", n) == held, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def split_by_doc(at: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:

@@ -97,7 +97,8 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (v := bundler(text)) is not None and (length := float(np.linalg.norm(v))):
                     total[lang] = total.get(lang, 0) + v / length
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": pa.array([v.astype(float).tolist() for v in total.values()], pa.list_(pa.float64()))})
+        vectors = pa.array([v.astype(float).tolist() for v in total.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": vectors})
 
     sent = docs.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v"))
     rows = sent.groupBy("lang", "pos").agg(F.sum("col").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
@@ -120,7 +121,8 @@ def predicted(docs: DataFrame, langs: list[str], vectors: np.ndarray) -> DataFra
                 best = int(near.round(6).argmax())
                 langs.append(names[best] if v is not None else "und")
                 scores.append(min(1.0, max(0.0, float(near[best]))))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).cast(pa.int64()), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            columns = [b.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(compare, "doc_id long, lang_pred string, score double")
 

@@ -138,10 +138,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     columns the least (as JSON) stands for all; null texts count as empty ones.
     """
     mix = mix_sources(docs, **options)
-    copies = mix.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), F.arrays_zip("positions", "whole").alias("c"))
-    copies = copies.select("_doc_id", "_source", "_h", F.explode("c").alias("c")).where("c.whole").select("_doc_id", "_source", "_h", F.col("c.positions").alias("position"))
-    copies = cut(copies, "mix-copies")
     keys = ["doc_id", "source", "h"]
+    own = [F.col(k).alias(f"_{k}") for k in keys]
+    copies = mix.select(*own, F.explode(F.arrays_zip("positions", "whole")).alias("c")).where("c.whole")
+    copies = cut(copies.select(*(f"_{k}" for k in keys), F.col("c.positions").alias("position")), "mix-copies")
     rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.struct("*").alias("row"))
     if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
         rows = rows.groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -51,7 +51,9 @@ def write_flat(docs: DataFrame, ranks: bytes, pattern: str, eod: int = EOD) -> t
             for ids, block in blocks(rows_of(batches)):
                 for tokens in encoding.encode_ordinary_batch([t.decode() for t in block], num_threads=1):
                     out.write(np.array(tokens, "<u2").tobytes() + end)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(ids)), "ordinal": pa.array(range(ordinal, ordinal + len(ids)), pa.int64()), "doc_id": pa.array(ids, pa.int64())})
+                places = pa.array(range(ordinal, ordinal + len(ids)), pa.int64())
+                rows = {"file": pa.array([name] * len(ids), pa.string()), "ordinal": places, "doc_id": pa.array(ids, pa.int64())}
+                yield pa.RecordBatch.from_pydict(rows)
                 ordinal += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "file string, ordinal long, doc_id long")
@@ -63,7 +65,10 @@ def count_tokens(spark: SparkSession, folder: str, eod: int = EOD, width: int =
     if block_bytes % width:
         raise ValueError("a block holds whole tokens")
     listed = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
-    spans = listed.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))
+    spans = listed.where("length > 0").select("file", "length", F.explode(numbers).alias("block"))
+    longs = ("block", "k", "head", "tail")
+    schema = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in longs), ("inner", pa.list_(pa.int64()))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = FileSystem.from_uri(folder)
@@ -73,10 +78,12 @@ def count_tokens(spark: SparkSession, folder: str, eod: int = EOD, width: int =
                     tokens = np.frombuffer(f.read_at(min(block_bytes, length - block * block_bytes), block * block_bytes), f"<u{width}")
                 at = np.flatnonzero(tokens == eod)
                 k = len(at)
-                row = {"file": file, "block": block, "k": k, "head": int(at[0]) if k else len(tokens), "tail": len(tokens) - int(at[-1]) - 1 if k else len(tokens), "inner": (np.diff(at) - 1).tolist()}
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.list_(pa.int64()))]))
+                head, tail = (int(at[0]), len(tokens) - int(at[-1]) - 1) if k else (len(tokens), len(tokens))
+                row = {"file": file, "block": block, "k": k, "head": head, "tail": tail, "inner": (np.diff(at) - 1).tolist()}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    found = cut(spans.repartition(partitions(spark), "file", "block").mapInArrow(search, "file string, block long, k long, head long, tail long, inner array<long>"), "tokens-blocks")
+    kinds = f"file string, {', '.join(f'{c} long' for c in longs)}, inner array<long>"
+    found = cut(spans.repartition(partitions(spark), "file", "block").mapInArrow(search, kinds), "tokens-blocks")
     order = Window.partitionBy("file").orderBy("block")
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = found.select("file", "block", "k", "head", "tail").withColumn("seg", F.sum((F.col("k") > 0).cast("int")).over(up_to))
