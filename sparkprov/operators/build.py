@@ -49,7 +49,8 @@ def attribute_map(rows: DataFrame) -> DataFrame:
     """(id, attrs); several values of one name are an error."""
     one = rows.groupBy("id", "name").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.min("num").alias("num"))
     name = F.when(F.col("value") != F.col("other"), F.raise_error(F.lit("Several values of one attribute; keep the namespaces apart"))).otherwise(F.col("name"))
-    return one.withColumn("name", name).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "num").alias("v")))).alias("attrs"))
+    entries = F.collect_list(F.struct("name", F.struct("value", "num").alias("v")))
+    return one.withColumn("name", name).groupBy("id").agg(F.map_from_entries(entries).alias("attrs"))
 
 
 def place(pair: Column | str) -> Column:

@@ -271,7 +271,8 @@ def read_jsonld(text: str) -> list[Triple]:
     return out
 
 
-READERS = {"turtle": lambda t: Turtle(t).parse(), "n3": lambda t: Turtle(t).parse(), "nt": lambda t: Turtle(t).parse(), "trig": lambda t: Turtle(t).parse(), "xml": read_xml, "json-ld": read_jsonld}
+READERS = {form: lambda t: Turtle(t).parse() for form in ("turtle", "n3", "nt", "trig")}
+READERS |= {"xml": read_xml, "json-ld": read_jsonld}
 
 
 def parse(text: str, form: str) -> list[Triple]:

@@ -11,7 +11,8 @@ from ..plans.history import log_triples
 def read_log(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
     """Records (value, execution_id, ended) of a folder of JSON lines; a repeated execution counts once within ``late``."""
     lines = spark.readStream.format("text").load(folder)
-    rows = lines.select("value", F.get_json_object("value", "$.execution_id").alias("execution_id"), F.get_json_object("value", "$.ended").cast("timestamp").alias("ended"))
+    execution, ended = F.get_json_object("value", "$.execution_id"), F.get_json_object("value", "$.ended").cast("timestamp")
+    rows = lines.select("value", execution.alias("execution_id"), ended.alias("ended"))
     return rows.withWatermark("ended", late).dropDuplicatesWithinWatermark(["execution_id"])
 
 
