@@ -99,12 +99,18 @@ def trace(spark: SparkSession, d: str, none: bool = False, where: str = "true")
     """Triples of the events' execution records; with ``none`` every tenth k has no result."""
     key = F.concat_ws("-", "user_id", "n")
     kind = F.when(F.col("k") % 10 == 0, build.NONE).otherwise("session.State") if none else "session.State"
-    about = {"details": F.create_map(F.lit("k"), _value(F.col("k"), "integer")), "annotations": F.create_map(F.lit("kind"), _value(F.col("event_type"), "string"))}
+    about = {
+        "details": F.create_map(F.lit("k"), _value(F.col("k"), "integer")),
+        "annotations": F.create_map(F.lit("kind"), _value(F.col("event_type"), "string")),
+    }
     used = F.array(_object("session.State", F.concat_ws("-", "user_id", F.col("n") - 1)))
-    used = F.when(F.col("n") > 1, used).otherwise(F.array().cast(used_kind := "array<struct<kind:string,type:string,hash:string,hash_method:string>>")).cast(used_kind)
+    nothing = F.array().cast("array<struct<kind:string,type:string,hash:string,hash_method:string>>")
+    used = F.when(F.col("n") > 1, used).otherwise(nothing)
     params = [("k", F.col("k"), "integer"), ("kind", F.col("event_type"), "string")]
     rows = executions(spark, d).where(where)
-    return log_triples(rows.select(_record(F.col("user_id"), F.col("event_id"), F.col("n"), F.col("event_type"), used, F.array(_object(kind, key, **about)), params)))
+    made = F.array(_object(kind, key, **about))
+    names = (F.col(c) for c in ("user_id", "event_id", "n", "event_type"))
+    return log_triples(rows.select(_record(*names, used, made, params)))
 
 
 def held(spark: SparkSession, d: str, types: bool = False) -> DataFrame:
@@ -286,7 +292,10 @@ def derived_from(spark, d):
     return trace(spark, d).where(build.local_name("p") == "wasDerivedFrom").select(F.col("s").alias("entity"), F.col("o").alias("source"))
 
 
-@query(f"WITH {EX} SELECT {STATE} n AS id, 'wasAttributedTo' AS relation, {SCRIPT} AS agent FROM ex UNION ALL SELECT {RUN}, 'wasAssociatedWith', {SCRIPT} FROM ex")
+@query(
+    f"""WITH {EX} SELECT {STATE} n AS id, 'wasAttributedTo' AS relation, {SCRIPT} AS agent FROM ex UNION ALL
+SELECT {RUN}, 'wasAssociatedWith', {SCRIPT} FROM ex"""
+)
 def attributed_to(spark, d):
     p = build.local_name("p")
     rows = trace(spark, d).where(p.isin("wasAttributedTo", "wasAssociatedWith"))
@@ -313,11 +322,15 @@ def last_parameter(spark, d):
     """Of several values of one name the last given stays."""
     pair = F.concat(F.lit("_:e.hasParameter."), F.col("event_id").cast("string"), F.lit(".x"))
     k = F.get_json_object("props", "$.k")
-    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), k.alias("value"), k.cast("double").alias("num"), pair.alias("pair"))
+    fixed = (F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"))
+    rows = table(spark, d, "events").select(*fixed, k.alias("value"), k.cast("double").alias("num"), pair.alias("pair"))
     return build.last_wins(rows).select("id", "name", "value")
 
 
-@query(f"WITH {EX} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, count(DISTINCT k) AS n_values FROM ex GROUP BY 1, 2 HAVING count(DISTINCT k) > 1")
+@query(
+    f"""WITH {EX} SELECT CAST(user_id AS VARCHAR) AS id, event_type AS name, count(DISTINCT k) AS n_values FROM ex GROUP BY 1, 2
+HAVING count(DISTINCT k) > 1"""
+)
 def name_value_conflicts(spark, d):
     rows = executions(spark, d).select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("k").alias("value"))
     return build.conflicts(rows)
@@ -340,7 +353,10 @@ def trace_summary(spark, d):
 # --- identifiers
 
 
-@query(f"WITH {EX}, u AS (SELECT {STATE} n AS id FROM ex) SELECT id, 'object' AS type, 'session.State' AS python_name, 'State' AS label, string_split(id, ':')[-1] AS data_hash FROM u")
+@query(
+    f"""WITH {EX}, u AS (SELECT {STATE} n AS id FROM ex)
+SELECT id, 'object' AS type, 'session.State' AS python_name, 'State' AS label, string_split(id, ':')[-1] AS data_hash FROM u"""
+)
 def entity_urns(spark, d):
     rows = executions(spark, d).select(state("n").alias("id"))
     info = urns.entity_info("id")
@@ -364,15 +380,16 @@ def function_urns(spark, d):
 FROM documents GROUP BY 1, 2""")
 def content_identity(spark, d):
     rows = table(spark, d, "documents").select("doc_id", urns.object_urn(AUTHORITY, F.lit("builtins.str"), F.sha1("text")).alias("id"))
-    return rows.groupBy("id", urns.entity_info("id")["data_hash"].alias("data_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+    found = rows.groupBy("id", urns.entity_info("id")["data_hash"].alias("data_hash"))
+    return found.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'http://www.w3.org/ns/prov#' || event_type
   WHEN event_id % 3 = 1 THEN 'http://x.org/' || event_type END AS uri FROM events""")
 def curie_expand(spark, d):
     t = F.col("event_type")
-    curie = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("prov:"), t)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("<http://x.org/"), t, F.lit(">")))
-    curie = curie.otherwise(F.concat(F.lit("no:"), t))
+    kind, whole = F.col("event_id") % 3, F.concat(F.lit("<http://x.org/"), t, F.lit(">"))
+    curie = F.when(kind == 0, F.concat(F.lit("prov:"), t)).when(kind == 1, whole).otherwise(F.concat(F.lit("no:"), t))
     return table(spark, d, "events").select("event_id", urns.expand_curie(curie, {"prov": "http://www.w3.org/ns/prov#"}).alias("uri"))
 
 
@@ -423,12 +440,19 @@ def _held(spark, d):
     return nodes, edges
 
 
-@query(f"{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 3 UNION ALL SELECT dst, 'f' || dst, false, NULL FROM tree WHERE dst LIKE 'o%'")
+@query(
+    f"""{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 3 UNION ALL
+SELECT dst, 'f' || dst, false, NULL FROM tree WHERE dst LIKE 'o%'"""
+)
 def condense_full(spark, d):
     return membership.condense(*_held(spark, d))[1]
 
 
-@query(f"{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 2 UNION ALL SELECT src, dst, true, label FROM tree WHERE dst LIKE 'o%' UNION ALL SELECT dst, 'f' || dst, false, NULL FROM tree WHERE dst LIKE 'o%'")
+@query(
+    f"""{LEVELS} SELECT top AS src, node AS dst, true AS membership, label FROM below WHERE level = 2 UNION ALL
+SELECT src, dst, true, label FROM tree WHERE dst LIKE 'o%' UNION ALL SELECT dst, 'f' || dst, false, NULL FROM tree
+WHERE dst LIKE 'o%'"""
+)
 def condense_preserve(spark, d):
     return membership.condense(*_held(spark, d), preserve=("Customer",))[1]
 
@@ -451,7 +475,10 @@ def interval_strings(spark, d):
     return executions(spark, d).groupBy("user_id", "event_type").agg(membership.interval_text(F.collect_list("n")).alias("intervals"))
 
 
-@query(f"{LEVELS} SELECT top AS id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS sum_orders FROM below JOIN orders ON node = 'o' || o_orderkey GROUP BY 1")
+@query(
+    f"""{LEVELS} SELECT top AS id, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS sum_orders FROM below
+JOIN orders ON node = 'o' || o_orderkey GROUP BY 1"""
+)
 def interval_propagation(spark, d):
     t = tree(spark, d).withColumn("membership", F.lit(True))
     orders = table(spark, d, "orders")
@@ -475,7 +502,8 @@ def _graph(spark, d) -> DataFrame:
         return table(spark, d, t).select(F.concat(F.lit(a), key).alias("id"), F.lit(label).alias("label"), value.alias("attr"))
 
     rows = part("region", "r", "r_regionkey", "Region", "r_name").union(part("nation", "n", "n_nationkey", "Nation", None))
-    return rows.union(part("customer", "c", "c_custkey", "Customer", "c_mktsegment")).union(part("orders", "o", "o_orderkey", "Order", "o_orderpriority"))
+    rows = rows.union(part("customer", "c", "c_custkey", "Customer", "c_mktsegment"))
+    return rows.union(part("orders", "o", "o_orderkey", "Order", "o_orderpriority"))
 
 
 def _nodes(spark, d) -> DataFrame:
@@ -496,19 +524,28 @@ def group_by_label(spark, d):
     return _counted(summarize.group_key(n, {}), n)
 
 
-@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label IN ('Customer', 'Order') THEN attr END")
+@query(
+    f"""WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes
+GROUP BY label, CASE WHEN label IN ('Customer', 'Order') THEN attr END"""
+)
 def group_by_attribute(spark, d):
     n = _nodes(spark, d)
     return _counted(summarize.group_key(n, {"Customer": ("attr",), "Order": ("attr",)}), n)
 
 
-@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label IN ('Region', 'Nation') THEN attr END")
+@query(
+    f"""WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes
+GROUP BY label, CASE WHEN label IN ('Region', 'Nation') THEN attr END"""
+)
 def group_by_missing_attribute(spark, d):
     n = _nodes(spark, d)
     return _counted(summarize.group_key(n, {"Region": ("attr",), "Nation": ("attr",)}), n)
 
 
-@query(f"WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes GROUP BY label, CASE WHEN label = 'Order' THEN attr LIKE '1%' END")
+@query(
+    f"""WITH {GRAPH} SELECT count(*) AS member_count, min(id) AS first_member FROM nodes
+GROUP BY label, CASE WHEN label = 'Order' THEN attr LIKE '1%' END"""
+)
 def group_by_callable(spark, d):
     n = _nodes(spark, d)
     return _counted(summarize.group_key(n, {"Order": (lambda nodes: F.col("attrs")["attr"]["value"].startswith("1"),)}), n)
@@ -523,7 +560,10 @@ def group_by_params(spark, d):
     return _counted(summarize.group_key(n, {}), n)
 
 
-@query(f"WITH {EX} SELECT event_type AS label, string_agg(CAST(k AS VARCHAR), ';' ORDER BY k) AS k_values FROM (SELECT DISTINCT event_type, k FROM ex) GROUP BY 1")
+@query(
+    f"""WITH {EX} SELECT event_type AS label, string_agg(CAST(k AS VARCHAR), ';' ORDER BY k) AS k_values
+FROM (SELECT DISTINCT event_type, k FROM ex) GROUP BY 1"""
+)
 def summarize_values(spark, d):
     values = summarize.joined_values(F.col("k").cast("string"), F.col("k").cast("double"))
     return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(values.alias("k_values"))
@@ -536,7 +576,10 @@ def summarize_intervals(spark, d):
     return text.select("user_id", summarize.merge_intervals(F.col("t")).alias("intervals"))
 
 
-@query("SELECT c_mktsegment AS segment, count(*) AS member_count, string_agg('c' || c_custkey, ';' ORDER BY 'c' || c_custkey) AS members FROM customer GROUP BY 1")
+@query(
+    """SELECT c_mktsegment AS segment, count(*) AS member_count, string_agg('c' || c_custkey, ';' ORDER BY 'c' || c_custkey) AS members
+FROM customer GROUP BY 1"""
+)
 def members(spark, d):
     nodes = _nodes(spark, d).where("label = 'Customer'")
     found, _ = summarize.aggregate(nodes, spark.createDataFrame([], "src string, dst string"), {"Customer": ("attr",)})
@@ -585,7 +628,11 @@ def group_by_neighbours(spark, d):
     return _counted(summarize.group_key(n, {"Nation": (held_by,)}, edges=tree(spark, d)), n)
 
 
-@query(_rounds(4) + ", v AS (SELECT DISTINCT g, label, attr FROM g4 JOIN nodes ON nodes.id = g4.id), c AS (SELECT g, count(*) AS member_count FROM g4 GROUP BY g) SELECT min(label) AS label, string_agg(attr, ';' ORDER BY attr) AS attr, any_value(member_count) AS member_count FROM v JOIN c ON c.g = v.g GROUP BY v.g")
+@query(
+    _rounds(4) + """, v AS (SELECT DISTINCT g, label, attr FROM g4 JOIN nodes ON nodes.id = g4.id), c AS (SELECT g, count(*) AS member_count FROM g4
+GROUP BY g) SELECT min(label) AS label, string_agg(attr, ';' ORDER BY attr) AS attr, any_value(member_count) AS member_count
+FROM v JOIN c ON c.g = v.g GROUP BY v.g"""
+)
 def aggregate_graph(spark, d):
     nodes, _ = summarize.aggregate(_nodes(spark, d), tree(spark, d), {"Customer": ("attr",), "Order": ("attr",)}, record_members=False)
     return nodes.select(F.col("attrs")["label"].alias("label"), F.col("attrs")["attr"].alias("attr"), "member_count")
@@ -594,10 +641,14 @@ def aggregate_graph(spark, d):
 # --- containers, files, statements
 
 
-@query("SELECT vec_id, i - 1 AS idx, '[' || (i - 1) || ']' AS label, embedding[i] AS element FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+@query(
+    """SELECT vec_id, i - 1 AS idx, '[' || (i - 1) || ']' AS label, embedding[i] AS element
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
+)
 def array_membership(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "element"))
-    return rows.select("vec_id", F.col("idx").cast("long").alias("idx"), urns.membership_label(F.lit("index"), F.col("idx").cast("string")).alias("label"), "element")
+    label = urns.membership_label(F.lit("index"), F.col("idx").cast("string"))
+    return rows.select("vec_id", F.col("idx").cast("long").alias("idx"), label.alias("label"), "element")
 
 
 @query("""SELECT 'urn:my-authority:sparkprov:object:Python:chat.Conversation:' || conv_id AS src, 'urn:my-authority:sparkprov:object:Python:chat.Turn:' || conv_id || '-' || turn AS dst,
@@ -612,7 +663,10 @@ def conversation_containers(spark, d):
     return build.build(log_triples(log))[1].select("src", "dst", "label")
 
 
-@query(f"WITH {EX} SELECT a.event_id, max(b.n) AS statement FROM ex a JOIN ex b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.n <= a.n GROUP BY 1")
+@query(
+    f"""WITH {EX} SELECT a.event_id, max(b.n) AS statement FROM ex a
+JOIN ex b ON a.user_id = b.user_id AND b.event_type = 'view' AND b.n <= a.n GROUP BY 1"""
+)
 def statement_asof(spark, d):
     """The last view at or before each event of a user."""
     e = executions(spark, d)
@@ -620,7 +674,11 @@ def statement_asof(spark, d):
     return found.where("statement IS NOT NULL").select("event_id", "statement")
 
 
-@query()  # of files, not of tables
+#: Files aren't among an SQL engine's tables, so this SQL names the folder that it is compared on.
+FILES = "/root/testdata/sf0.01"
+
+
+@query(f"SELECT parse_filename(filename) AS name, 'sha256' AS hash_type, sha256(content) AS hash FROM read_blob('{FILES}/*.parquet')")
 def file_identity(spark, d):
     from .sources.files import hash_files
 
