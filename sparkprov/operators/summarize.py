@@ -94,6 +94,21 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     return sorted_.join(F.broadcast(sizes), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
 
 
+def values(nodes: DataFrame, groups: DataFrame, left_out=()) -> DataFrame:
+    """(g, name, value, num): the distinct values of each group's members, a row each; however many, no row holds them all."""
+
+    def entry(name, value: Column, num: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"), num.alias("num"))
+
+    none = F.lit(None).cast("double")
+    fixed = [c for c in ("type", "label", "python_name", "data_hash", "hash_type", "execution_id", "execution_order") if c in nodes.columns]
+    fixed = [entry(F.lit(c), F.col(c).cast("string"), F.col(c).cast("double") if c == "execution_order" else none) for c in fixed]
+    own = F.transform(F.map_entries("attrs"), lambda e: entry(e["key"], e["value"]["value"], e["value"]["num"]))
+    rows = nodes.select("id", F.explode(F.concat(F.array(*fixed), own)).alias("c")).select("id", "c.*")
+    rows = rows.where(F.col("value").isNotNull() & ~F.col("name").isin(list(left_out)))
+    return rows.join(groups, "id").select("g", "name", "value", "num").distinct()
+
+
 def aggregate(
     nodes: DataFrame,
     edges: DataFrame,
@@ -112,20 +127,9 @@ def aggregate(
     listed = [F.array_join(F.array_sort(F.collect_set("id")), ";").alias("members")] if record_members else []
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("member_count"), F.min("id").alias("least"), *listed)
     steps = cut(numbered(sizes, "least").withColumn("step", F.concat(F.lit("Step "), "place")).drop("least", "place"), "steps")
-
-    def entry(name, value: Column, num: Column) -> Column:
-        return F.struct(name.alias("name"), value.alias("value"), num.alias("num"))
-
-    none = F.lit(None).cast("double")
-    fixed = [c for c in ("type", "label", "python_name", "data_hash", "hash_type", "execution_id", "execution_order") if c in nodes.columns]
-    fixed = [entry(F.lit(c), F.col(c).cast("string"), F.col(c).cast("double") if c == "execution_order" else none) for c in fixed]
-    own = F.transform(F.map_entries("attrs"), lambda e: entry(e["key"], e["value"]["value"], e["value"]["num"]))
-    values = nodes.select("id", F.explode(F.concat(F.array(*fixed), own)).alias("c")).select("id", "c.*")
-    values = values.where(F.col("value").isNotNull() & ~F.col("name").isin(left_out))
-    values = values.join(groups, "id").select("g", "name", "value", "num").distinct()
-    values = values.groupBy("g", "name").agg(joined_values(F.col("value"), F.col("num")).alias("value"))
-    values = values.withColumn("value", F.when(F.col("name") == "Time Interval", merge_intervals(F.col("value"))).otherwise(F.col("value")))
-    attrs = values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attrs"))
+    joined = values(nodes, groups, left_out).groupBy("g", "name").agg(joined_values(F.col("value"), F.col("num")).alias("value"))
+    joined = joined.withColumn("value", F.when(F.col("name") == "Time Interval", merge_intervals(F.col("value"))).otherwise(F.col("value")))
+    attrs = joined.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attrs"))
     out = steps.join(attrs, "g", "left").select(F.col("step").alias("id"), "attrs", "member_count", *(["members"] if record_members else []))
     at = groups.join(steps.select("g", "step"), "g").select("id", "step")
     ends = edges.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")

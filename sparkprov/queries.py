@@ -569,6 +569,14 @@ def summarize_values(spark, d):
     return executions(spark, d).groupBy(F.col("event_type").alias("label")).agg(values.alias("k_values"))
 
 
+@query(f"WITH {GRAPH} SELECT DISTINCT label, 'attr' AS name, attr AS value FROM nodes WHERE attr IS NOT NULL")
+def group_values(spark, d):
+    """The values of each label's members as rows."""
+    n = _nodes(spark, d)
+    found = summarize.values(n, summarize.group_key(n, {}), ("type", "label"))
+    return found.select(F.get_json_object("g", "$.label").alias("label"), "name", "value")
+
+
 @query(f"""WITH {EX}, i AS (SELECT user_id, printf('[%.1f,%.1f]', CAST(n AS DOUBLE), CAST(n AS DOUBLE)) AS piece FROM ex)
 SELECT user_id, '<' || string_agg(piece, ';' ORDER BY piece) || '>' AS intervals FROM i GROUP BY 1""")
 def summarize_intervals(spark, d):
