@@ -273,6 +273,20 @@ def test_forest_equals_a_walk_of_each_tree():
         assert score == pytest.approx(total / len(forest.trees))
 
 
+def test_dictionary_and_coverage(spark):
+    texts = ["Haus haus HAUS maison, maison! tree", None, "tree tree abc", "élan élan x" * 2]
+    counts = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if 4 <= len(w) <= 14)
+    top = sorted(counts, key=lambda w: (-counts[w], w))
+    for size in (2, 100):
+        assert secrets.dictionary(frame(spark, texts), size) == set(top[:size]) | set(secrets.PLAIN)
+    words = frozenset({"haus", "hausboot", "boot", "tree"})
+    for low in ("hausbootx7tree", "xhausxtre", "", "bootree"):
+        marks = [any(low[i:j] in words and i <= at < j for i in range(len(low)) for j in range(i, len(low) + 1)) for at in range(len(low))]
+        assert secrets.covered(low, words).tolist() == marks
+    a, b = (secrets.features("hausboottree2024x", "", "", "", w) for w in (words, frozenset(secrets.PLAIN)))
+    assert [i for i, (x, y) in enumerate(zip(a, b)) if x != y] == [11]
+
+
 def test_secret_candidates_equal_a_scan_of_characters():
     allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
     rng = random.Random(6)
