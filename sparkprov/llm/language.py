@@ -6,7 +6,8 @@ whose prototype is nearest by cosine; the score is that cosine (0 at least).
 
 Learnt from every document with a lang in the training folds.  Null texts and texts without a letter are ``und`` with
 score 0, as is every text where nothing could be learnt; repeated rows agree; ties go to the first lang by code point; a
-null doc_id isn't held out; an empty table gives an empty result; other columns are ignored.
+null doc_id isn't held out; more than ``LANGS`` languages are an error; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .ftrl import fold
 
 SIZE = 512
 TABLE = 1 << 14
+#: Languages at most: what a task holds and the broadcast are bounded by it, more are an error.
+LANGS = 4096
 #: Characters of a text that are held as arrays at once.
 WINDOW = 1 << 18
 
@@ -97,11 +100,16 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (v := bundler(text)) is not None and (length := float(np.linalg.norm(v))):
                     total[lang] = total.get(lang, 0) + v / length
+            if len(total) > LANGS:
+                raise ValueError(f"more than {LANGS} languages")
         vectors = pa.array([v.astype(float).tolist() for v in total.values()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": vectors})
 
     sent = docs.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v"))
-    rows = sent.groupBy("lang", "pos").agg(F.sum("col").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
+    sums = sent.groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).limit(LANGS + 1).collect()
+    if len(rows) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     rows = sorted(rows, key=lambda r: r["lang"])
     vectors = np.array([[x["x"] for x in r["v"]] for r in rows], np.float32).reshape(len(rows), SIZE)
     return [r["lang"] for r in rows], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
