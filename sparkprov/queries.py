@@ -51,10 +51,16 @@ TREE = """tree AS (
   UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, '.orders[' || o_orderkey || ']' FROM orders)"""
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def executions(spark: SparkSession, d: str) -> DataFrame:
+    """Events numbered by user; dealt to all partitions, as each row makes some thirty triples later."""
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value", k.alias("k"), order.alias("n"))
+    events = table(spark, d, "events").repartition(partitions(spark), "user_id")
+    return events.select("event_id", "user_id", "event_type", "ts", "value", k.alias("k"), order.alias("n"))
 
 
 def state(n) -> Column:
@@ -127,7 +133,8 @@ def held(spark: SparkSession, d: str, types: bool = False) -> DataFrame:
 
     out = rows("nation", "r", "n_regionkey", "n", "n_nationkey", "Region", "Nation", "index", "")
     out = out.union(rows("customer", "n", "c_nationkey", "c", "c_custkey", "Nation", "Customer", "name", "c"))
-    return log_triples(out.union(rows("orders", "c", "o_custkey", "o", "o_orderkey", "Customer", "Order", "slice", "", ":")))
+    out = out.union(rows("orders", "c", "o_custkey", "o", "o_orderkey", "Customer", "Order", "slice", "", ":"))
+    return log_triples(out.repartition(partitions(spark)))
 
 
 HELD = f"""held AS (
