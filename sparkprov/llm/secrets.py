@@ -16,7 +16,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 BLOCKS = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
@@ -48,30 +48,18 @@ PLAIN = ("the", "and", "for", "with", "from", "data", "file", "name", "user", "t
 SYLLABLES = ("er", "sch", "ber", "tion", "men", "ta", "ver", "ein", "gen", "lo", "qui", "ra", "ment", "ne", "si", "ung", "des", "au")
 
 
-def _head(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The first ``size`` rows of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = size
-        for b in batches:
-            yield b.slice(0, left)
-            left -= min(left, len(b))
-
-    return run
-
-
 def dictionary(docs: DataFrame, size: int = WORDS) -> frozenset[str]:
-    """The most frequent words of all documents, ties by code point.
+    """The most frequent words of all documents, ties by code point; ``size`` bounds what reaches the driver.
 
-    Every partition keeps its first ``size``, sixteen partitions keep theirs of those, and the driver gets no more than
-    these, however many partitions there were.
+    A quantile of the counts, low enough to stand below the last word wanted, leaves out rare words before any are sorted.
     """
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
     words = words.where(F.char_length("w").between(*LETTERS)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    order = (F.desc("n"), "w")
-    for parts in (None, 16):
-        words = (words.repartition(parts) if parts else words).sortWithinPartitions(*order).mapInArrow(_head(size), "w string, n long")
-    return frozenset(r["w"] for r in words.orderBy(*order).limit(size).collect()) | frozenset(PLAIN)
+    words, accuracy = cut(words, "secrets-words"), 100_000
+    if (many := words.count()) > 2 * size:
+        share = max(0.0, 1 - (size + 2 * many / accuracy + 1) / many)
+        words = words.where(F.col("n") >= words.agg(F.percentile_approx("n", share, accuracy)).first()[0])
+    return frozenset(r["w"] for r in words.orderBy(F.desc("n"), "w").limit(size).collect()) | frozenset(PLAIN)
 
 
 def covered(low: str, words: frozenset[str]) -> np.ndarray:
