@@ -14,6 +14,8 @@ A document's set holds its distinct shingles of five words.  Two documents link
   are compared.  One tree over all points would bound nothing: in so many dimensions every box overlaps every query.
 * Families of near copies are first gathered by verified links to a leader, then by each cluster's tightest pair; pairs
   within a cluster are never listed.  The last search is exhaustive between the clusters left.
+* A pair is listed where it meets first, not in each cell that it shares: points carry their node's EARLY least cells,
+  and a meeting after a common one of these is passed over.  Where these hold no common cell, it is listed again.
 
 A text's set is its 64-bit hashes and equal sets are those with equal size and equal 128-bit sums: results are exact but
 for collisions of these hashes.  Words of up to 64 bytes have polynomial hashes, longer ones cryptographic digests.
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Shingler, bitmap, blocks, components, cut, documents, drop, in_bitmap, mix, partitions, rows_of, summed
@@ -48,6 +50,7 @@ PIECE = 4096
 ROWS = 1 << 14
 ROUNDS = 4
 SUB = 8
+EARLY = 8
 NUM, DEN = 3, 4
 #: Bytes of a posting: token, node, set size, whether it looks for partners.
 POSTING = (("token", np.int64), ("node", np.int64), ("n", np.int32), ("small", bool))
@@ -365,8 +368,15 @@ def _points(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
+def _early(cells: DataFrame) -> DataFrame:
+    """(node, early, asked): the EARLY least tokens of the cells that a node stands in, and those where it looks for partners."""
+    place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
+    least = cells.select("node", "token", "small", place.alias("place")).where(F.col("place") <= EARLY)
+    return least.groupBy("node").agg(F.collect_list("token").alias("early"), F.collect_list(F.when(F.col("small"), F.col("token"))).alias("asked"))
+
+
 def _meetings(cells: DataFrame, clusters: DataFrame, points: DataFrame) -> DataFrame:
-    """Postings of the cells with several clusters, with their points, by meeting (token, p, q).
+    """Postings of the cells with several clusters, with what ``points`` holds of their nodes, by meeting (token, p, q).
 
     A cell of more than PIECE postings is dealt to pieces, its main cluster's apart from the others'; pieces of the main
     cluster meet those of the others, and the others' meet each other.  ``own`` is a posting's piece.
@@ -388,7 +398,7 @@ def _meetings(cells: DataFrame, clusters: DataFrame, points: DataFrame) -> DataF
     others = F.when(F.col("whole"), F.array(F.lit(0))).when(F.col("main"), after).otherwise(F.concat(before, after))
     rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "small", "cluster")
-    return rows.join(points.select("node", "point"), "node")
+    return rows.join(points, "node")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -432,11 +442,26 @@ def _fitting(n: np.ndarray, small: np.ndarray, group: np.ndarray) -> tuple[np.nd
     return i, k
 
 
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of up to EARLY tokens as rows, filled up with the largest long: no token is after it."""
+    lists = column.combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(lists), EARLY), np.iinfo(np.int64).max)
+    out[np.arange(EARLY) < size[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _met(asked: np.ndarray, early: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Marks pairs, row by row, that meet in a cell before ``token``: the one asked there and the other stands in it."""
+    common = (asked[:, :, None] == early[:, None, :]).any(2)
+    return (common & (asked < token[:, None])).any(1)
+
+
 def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes in different clusters that the bounds leave: (a, b, cluster of the one that asks, tightness).
 
-    All of them if ``every``, else the tightest of each meeting and asking cluster.  Cells of up to DIRECT points
-    compare points directly, several cells at once and each pair once.
+    All of them if ``every``, else the tightest of each meeting and asking cluster, in both cases of the pairs that met
+    in no earlier cell.  Cells of up to DIRECT points compare points directly, several cells at once and each pair once.
     """
     for t, starts in _runs(batches, ["token", "p", "q"]):
         group = np.zeros(len(t), np.int64)
@@ -445,7 +470,8 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
         n = t.column("n").to_numpy().astype(np.int64)
         order = np.lexsort((n, group))
         t, n, group = t.take(pa.array(order)), n[order], group[order]
-        node, cluster, small, own, p, q = (t.column(c).to_numpy() for c in ("node", "cluster", "small", "own", "p", "q"))
+        token, node, cluster, small, own, p, q = (t.column(c).to_numpy() for c in ("token", "node", "cluster", "small", "own", "p", "q"))
+        early, asked = (_lists(t.column(c)) for c in ("early", "asked"))
         points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
         apart = p != q
         sizes = np.bincount(group)
@@ -463,6 +489,7 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
             a, b = i[x : x + ROWS], k[x : x + ROWS]
             bound = overlap_bound(points[a], points[b])
             left = bound >= need(n[a], n[b])
+            left[left] = ~_met(asked[a[left]], early[b[left]], token[a[left]])
             found.append((a[left], b[left], bound[left]))
         for g in np.flatnonzero(sizes > DIRECT):
             at = np.flatnonzero(group == g)
@@ -473,6 +500,7 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
                 ok = n[b] >= n[a]
                 if apart[a]:
                     ok &= own[b] != own[a]
+                ok[ok] = ~_met(asked[[a]], early[b[ok]], token[[a]])
                 if not every and ok.any():  # the tightest of these is enough
                     ok &= np.arange(len(b)) == np.flatnonzero(ok)[bound[ok].argmax()]
                 found.append((np.full(int(ok.sum()), a), b[ok], bound[ok]))
@@ -533,7 +561,8 @@ def _clusters(cells: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = cut(cells.select("node").distinct(), "jaccard-nodes")
     marks = _marks(nodes)
     points = _picked(rows.select("node", "n", *(f"m{j}" for j in range(ROUNDS)), "point"), marks)
-    points = cut(points.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "jaccard-points")
+    points = points.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    points = cut(points.join(_early(cells), "node"), "jaccard-points")
     packed = cut(_packed(texts, nodes, marks), "jaccard-texts")
     clusters = cut(nodes.select("node", F.col("node").alias("cluster")), "jaccard-clusters")
 
@@ -548,7 +577,7 @@ def _clusters(cells: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
         clusters = gathered(stars) or clusters
     drop(stars)
     for every in (False, True):
-        met = _meetings(cells, clusters, points).repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
+        met = _meetings(cells, clusters, points.select("node", "point", "early", "asked")).repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
         pairs = met.mapInArrow(lambda b, all_=every: _search(b, all_), "a long, b long, asks long, tight double")
         if not every:  # one a cluster; the last search lists what is left
             pairs = pairs.groupBy("asks").agg(F.max(F.struct("tight", "a", "b")).alias("best")).select("best.a", "best.b")

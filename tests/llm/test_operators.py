@@ -170,6 +170,36 @@ def test_jaccard_meetings_of_a_large_cell(spark, monkeypatch):
         assert set(pairs) == {(i, j) for i in range(40) for j in range(i + 1, 40) if j >= main} and all(len(g) <= 30 for g in groups.values())
 
 
+def test_jaccard_lists_a_pair_where_it_meets_first(spark, monkeypatch):
+    """A family under the threshold whose points are left by the bounds, meeting in 40 cells and in runs of their own."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    stood = {i: sorted(rng.sample(range(60), 40)) for i in range(12)} | {i: [60 + i, 80] for i in (12, 13)}
+    cells = [(t, i, 10 + i % 2, rng.random() < 0.6 or t == 80) for i, ts in stood.items() for t in ts]
+    cells = spark.createDataFrame(cells, "token long, node long, n int, small boolean")
+    clusters = cells.select("node", F.col("node").alias("cluster")).distinct()
+    point = np.ones(jaccard.GROUPS, np.uint8).tobytes()
+    points = clusters.select("node", F.lit(bytearray(point)).alias("point"))
+    early = jaccard._early(cells).collect()
+    assert {r.node: sorted(r.early) for r in early} == {i: ts[: jaccard.EARLY] for i, ts in stood.items()}
+    met = jaccard._meetings(cells, clusters, points.join(jaccard._early(cells), "node")).orderBy("token", "p", "q").collect()
+    asks = {(r.token, r.node) for r in cells.where("small").collect()}
+    size = {i: 10 + i % 2 for i in stood}
+    wanted = {(min(i, k), max(i, k)) for i in stood for k in stood for t in set(stood[i]) & set(stood[k]) if i != k and size[i] <= size[k] and (t, i) in asks}
+
+    columns = [c for c in met[0].asDict()]
+    kinds = {"small": pa.bool_(), "point": pa.binary(), "n": pa.int32(), "early": pa.list_(pa.int64()), "asked": pa.list_(pa.int64())}
+    for direct in (jaccard.DIRECT, 2):  # compared directly, by a tree
+        monkeypatch.setattr(jaccard, "DIRECT", direct)
+        found = []
+        for token in sorted({r.token for r in met}):
+            rows = [r for r in met if r.token == token]
+            batch = pa.RecordBatch.from_arrays([pa.array([bytes(r[c]) if c == "point" else r[c] for r in rows], kinds.get(c, pa.int64())) for c in columns], names=columns)
+            found += [(r["a"], r["b"]) for out in jaccard._search(iter([batch]), True) for r in out.to_pylist()]
+        assert set(found) == wanted and len(found) < 2 * len(wanted)
+
+
 def test_words_of_long_texts():
     from sparkprov.llm.common import BLOCK, Shingler, WordHasher
 
