@@ -489,3 +489,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_log_triples_of_some_relations(spark):
+    import json
+
+    from sparkprov.plans.history import log_triples
+
+    a, b, c = ENTITIES
+    records = [record("f", "m.n", [a, c], [b], [("k", ("5", "integer"))], param_types={"k": ["urn:t:3"]}), record("subscript", "", [b], [a], [("index", ("4", "integer"))])]
+    log = spark.createDataFrame([(json.dumps(r),) for r in records], "value string")
+    local = lambda rows: {(r.s, r.p, r.o) for r in rows if build_local(r.p) in ("used", "hadMember", "containerIndex")}
+    build_local = lambda p: p.rsplit("#", 1)[-1].rsplit("/", 1)[-1]
+    some = log_triples(log, relations=("used", "hadMember", "containerIndex")).collect()
+    assert local(some) == local(log_triples(log).collect()) and len(some) == 4
+    pairs = {build_local(r.p) for r in log_triples(log, relations=("hasParameter", "pairName", "pairValue")).collect()}
+    assert pairs == {"hasParameter", "pairName", "pairValue"}
+    assert log_triples(log, relations=("hasParameter", "pairValue")).count() == 2  # not the entities' own values
