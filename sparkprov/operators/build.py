@@ -10,11 +10,6 @@ from ..plans.tables import cut
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 NONE = "builtins.NoneType"
-#: The relations that a graph is built from.
-RELATIONS = (
-    "type", "value", "used", "wasGeneratedBy", "hadMember", "hasAttribute", "hasAnnotation", "hasParameter", "pairName",
-    "pairValue", "filePath", "executionOrder", "usedFunction", "functionName", "containerIndex", "containerSlice", "fromAttribute",
-)
 ATTRS = "map<string,struct<value:string,num:double>>"
 
 
@@ -68,6 +63,27 @@ def chosen(rows: DataFrame, names) -> DataFrame:
     return rows if names == "all" else rows.where(F.col("name").isin(list(names)))
 
 
+#: The relations that each part of a graph is built from.
+PARTS = {
+    "entities": ("type", "filePath"),
+    "functions": ("wasGeneratedBy", "executionOrder", "usedFunction", "functionName"),
+    "parameters": ("hasParameter", "pairName", "pairValue"),
+    "edges": ("used", "wasGeneratedBy", "hadMember", "containerIndex", "containerSlice", "fromAttribute"),
+    "touches": ("used", "wasGeneratedBy", "executionOrder"),
+}
+NODES = ("entities", "functions", "parameters")
+
+
+def needed(parts, annotations=None, attributes=None, value_attribute: str | None = None) -> list[str]:
+    """The relations that ``build`` reads for these parts ("nodes" are entities, functions and parameters)."""
+    found = {r for p in parts for part in (NODES if p == "nodes" else (p,)) for r in PARTS[part]}
+    if "type" in found:
+        for relation, asked in (("hasAttribute", attributes), ("hasAnnotation", annotations)):
+            found |= {relation, "pairName", "pairValue"} if asked else set()
+        found |= {"value"} if value_attribute else set()
+    return sorted(found)
+
+
 def build(
     triples: DataFrame,
     annotations=None,
@@ -78,20 +94,24 @@ def build(
     use_class_in_method_name: bool = True,
     value_attribute: str | None = None,
     drop_falsy: bool = False,
+    parts=("nodes", "edges", "touches"),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, touches): touches are (id, execution_order) of all a function execution reaches, for intervals.
 
     Nothing that isn't asked for is in the plan: without attributes and annotations their pairs are never joined.
-    ``drop_falsy`` leaves out stored values 0, false and "".
+    ``drop_falsy`` leaves out stored values 0, false and "".  Of ``parts`` ("nodes" are "entities", "functions" and their
+    "parameters") those that aren't named are empty.
     """
-    t = triples.select("s", "p", "o", "o_datatype", local_name("p").alias("l")).where(F.col("l").isin(*RELATIONS))
+    wanted = needed(parts, annotations, attributes, value_attribute)
+    is_entity = (F.col("p") == RDF_TYPE) & local_name("o").isin("DataObjectEntity", "FileEntity")
+    t = triples.select("s", "p", "o", "o_datatype", local_name("p").alias("l")).where(F.col("l").isin(*wanted) & ((F.col("l") != "type") | is_entity))
     t = cut(t, "build-triples", by="l")  # the source is read once, each part of the graph reads its relations alone
+    parts = {x for p in parts for x in (NODES if p == "nodes" else (p,))}
 
     def keep(rows: DataFrame, column: str) -> DataFrame:
         return rows.where(~is_none(column)) if remove_none else rows
 
-    entity = (F.col("p") == RDF_TYPE) & local_name("o").isin("DataObjectEntity", "FileEntity")
-    ids = keep(t.where(entity).select(F.col("s").alias("id")).distinct(), "id")
+    ids = keep(t.where(F.col("l") == "type").select(F.col("s").alias("id")).distinct(), "id")
     wanted = []
     for relation, names, prefix in (("hasAttribute", attributes, "attribute"), ("hasAnnotation", annotations, "annotation")):
         if names:
@@ -128,9 +148,12 @@ def build(
     label = F.col("function_name") if use_class_in_method_name else F.element_at(F.split("function_name", r"\."), -1)
     act = activity_info("exec")
     functions = execs.join(order, "exec", "left").join(name, "exec", "left").withColumn("label", label)
-    params = last_wins(pairs(t, "hasParameter")).groupBy("id")
-    params = params.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "num").alias("v")))).alias("p"))
-    functions = functions.join(params.withColumnRenamed("id", "exec"), "exec", "left").withColumn("p", F.coalesce("p", empty))
+    if "parameters" in parts:
+        params = last_wins(pairs(t, "hasParameter")).groupBy("id")
+        params = params.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "num").alias("v")))).alias("p"))
+        functions = functions.join(params.withColumnRenamed("id", "exec"), "exec", "left").withColumn("p", F.coalesce("p", empty))
+    else:
+        functions = functions.withColumn("p", empty)
     prefix = F.col("label") if use_name_in_parameter else F.lit("parameter")
     functions = functions.select(
         F.col("exec").alias("id"),
@@ -144,7 +167,8 @@ def build(
         F.transform_keys("p", lambda k, _: F.concat(prefix, F.lit(":"), k)).alias("attrs"),
         F.col("p").alias("params"),
     )
-    nodes = entities.unionByName(functions)
+    found = [rows for part, rows in (("entities", entities), ("functions", functions)) if part in parts]
+    nodes = found[0].unionByName(found[1]) if len(found) > 1 else found[0] if found else entities.limit(0)
 
     used = t.where(F.col("l") == "used").select(F.col("s").alias("exec"), F.col("o").alias("entity")).join(execs, "exec", "left_semi")
     part = t.where(F.col("l").isin("containerIndex", "containerSlice", "fromAttribute"))
@@ -162,4 +186,4 @@ def build(
     touches = touches.unionByName(ordered.select(F.col("entity").alias("id"), "execution_order"))
     reads = used.select("exec", F.col("entity").alias("id"))
     touches = touches.unionByName(ordered.select("exec", "execution_order").join(reads, "exec").select("id", "execution_order"))
-    return nodes, edges, keep(touches, "id")
+    return nodes, edges if "edges" in parts else edges.limit(0), keep(touches, "id") if "touches" in parts else touches.limit(0)
