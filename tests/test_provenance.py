@@ -519,3 +519,10 @@ def test_parts_of_a_graph_read_their_relations_alone(spark):
     assert sorted(map(tuple, some[1].collect())) == sorted(map(tuple, whole[1].collect())) and some[0].count() == some[2].count() == 0
     (path,) = set(tables.WRITTEN) - before
     assert {r.l for r in spark.read.parquet(path).select("l").distinct().collect()} == {"used", "wasGeneratedBy"}
+
+
+def test_merged_logs_are_made_distinct_once(spark):
+    from sparkprov.queries import QUERIES
+
+    plan = QUERIES["merge_sources"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
