@@ -526,3 +526,12 @@ def test_merged_logs_are_made_distinct_once(spark):
 
     plan = QUERIES["merge_sources"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
+
+
+def test_round_trip_is_written_compressed(spark, tmp_path):
+    from sparkprov.sources.reader import read_triples, write_nt
+
+    t = spark.createDataFrame([("urn:a", "urn:p", "b c", "literal", "http://www.w3.org/2001/XMLSchema#string", None, "s")] * 2, "s string, p string, o string, o_kind string, o_datatype string, o_lang string, source string")
+    write_nt(t, str(tmp_path / "x"), compression="gzip")
+    assert list((tmp_path / "x").glob("*.gz")) and not list((tmp_path / "x").glob("*.txt"))
+    assert [r[:5] for r in map(tuple, read_triples(spark, str(tmp_path / "x"), form="nt").collect())] == [("urn:a", "urn:p", "b c", "literal", "http://www.w3.org/2001/XMLSchema#string")]
